@@ -13,9 +13,10 @@ from __future__ import annotations
 import base64
 import hashlib
 import heapq
+from array import array
 from collections.abc import Callable, Iterator
 from functools import lru_cache
-from itertools import chain, compress
+from itertools import chain
 
 import numpy as np
 import public_tokenizers
@@ -25,6 +26,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 RANKS = "byte_bpe_50k.tiktoken"
+#: No merge: above every rank.
+NONE = np.iinfo(np.int32).max
+#: Places of one rank from which they are merged at once, not one by one.
+MANY = 12
 #: Characters of text after which a block ends, and words that a worker remembers.
 BLOCK_CHARS = 1 << 23
 REMEMBERED = 1 << 19
@@ -40,19 +45,29 @@ class Vocabulary:
             self.tokens[i] = token
         self.numerals = [str(i) for i in range(len(self.tokens))]
         self.split = regex.compile(pattern).findall
-        self.bytes = [self.ranks[bytes([b])] for b in range(256)]
-        self.pairs: dict[tuple[int, int], int | None] = {}
+        self.bytes = np.array([self.ranks[bytes([b])] for b in range(256)], np.int32)
+        self.merges = self._merges()
+        keys = np.array(sorted(self.merges), np.int64)
+        self.keys, self.values = keys, np.array([self.merges[k] for k in keys.tolist()], np.int32)
+        # Tokens that take part in a merge which comes before the merge that makes them.
+        self.early = {x for k, r in self.merges.items() for x in (k >> 32, k & 0xFFFFFFFF) if x > r}
         self.known: dict[str, tuple[int, ...]] = {}
 
-    def rank(self, a: int, b: int) -> int | None:
-        """The rank of the merge of two tokens, None if there is none."""
-        try:
-            return self.pairs[a, b]
-        except KeyError:
-            if len(self.pairs) > 1 << 21:
-                self.pairs.clear()
-            r = self.pairs[a, b] = self.ranks.get(self.tokens[a] + self.tokens[b])
-            return r
+    def _merges(self) -> dict[int, int]:
+        """(left id << 32 | right id) -> id of the merged token, for every pair that merges."""
+        out, ranks = {}, self.ranks
+        for token, r in ranks.items():
+            for k in range(1, len(token)):
+                a, b = ranks.get(token[:k]), ranks.get(token[k:])
+                if a is not None and b is not None:
+                    out[a << 32 | b] = r
+        return out
+
+    def rank(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """The rank of the merge of each pair of tokens, NONE where there is none."""
+        wanted = (a.astype(np.int64) << 32) | b
+        at = np.minimum(np.searchsorted(self.keys, wanted), len(self.keys) - 1)
+        return np.where(self.keys[at] == wanted, self.values[at], NONE).astype(np.int32)
 
     def learn(self, words: set[str]) -> None:
         """Put the ids of every word among the known ones."""
@@ -73,61 +88,81 @@ class Vocabulary:
 
     def replay(self, words: list[bytes]) -> Iterator[list[int]]:
         """The ids of each word, by replaying all merges over all words at once."""
-        text = b"".join(words)
-        ends = np.cumsum([len(w) for w in words], dtype=np.int64) if words else np.zeros(0, np.int64)
-        token = [self.bytes[b] for b in text]
-        n = len(token)
-        after, before, live = list(range(1, n + 1)), list(range(-1, n - 1)), bytearray(b"\x01" * n)
-        for e in ends.tolist():  # no pair crosses the end of a word
-            if e:
-                after[e - 1] = -1
-                if e < n:
-                    before[e] = -1
-        index: dict[int, list[int]] = {}
-        rank = self.rank
-        for at in range(n):
-            if after[at] >= 0 and (r := rank(token[at], token[at + 1])) is not None:
-                index.setdefault(r, []).append(at)
-        waiting = list(index)
+        text = np.frombuffer(b"".join(words), np.uint8)
+        n, ends = len(text), np.cumsum([len(w) for w in words], dtype=np.int64)
+        if not n:
+            return
+        # Arrays for single places and, over the same memory, for many at once. joins: the rank of the pair at a place.
+        token, after, before, joins = (array("i", x.astype(np.int32).tobytes()) for x in (self.bytes[text], np.arange(1, n + 1), np.arange(-1, n - 1), np.full(n, NONE)))
+        tokens, afters, befores, joined = (np.frombuffer(x, np.int32) for x in (token, after, before, joins))
+        afters[ends - 1] = -1  # no pair crosses the end of a word
+        befores[ends[:-1]] = -1
+        first = np.flatnonzero(afters >= 0)
+        joined[first] = self.rank(tokens[first], tokens[first + 1])
+        first = first[joined[first] != NONE]
+        order = np.argsort(joined[first], kind="stable")
+        found, starts = np.unique(joined[first][order], return_index=True)
+        index: dict[int, list] = {r: [x] for r, x in zip(found.tolist(), np.split(first[order].astype(np.int32), starts[1:]))}
+        waiting, merges = list(index), self.merges.get
+
+        def enter(r: int, at: int) -> None:
+            """Put a place under the rank of its pair."""
+            if r in index:
+                index[r].append(at)
+            else:
+                index[r] = [at]
+                heapq.heappush(waiting, r)
+
         heapq.heapify(waiting)
         while waiting:
             r = heapq.heappop(waiting)
-            places = index.pop(r, None)
-            if places is None:
+            if (held := index.pop(r, None)) is None:
                 continue
-            places.sort()
+            whole = [x for x in held if isinstance(x, np.ndarray)]
+            places = np.unique(np.concatenate([*whole, np.array([x for x in held if not isinstance(x, np.ndarray)], np.int32)])) if whole or len(held) >= MANY else sorted(set(held))
+            if len(places) >= MANY and r not in self.early:
+                places = places[joined[places] == r]
+                nxt = afters[places]
+                if not (nxt[:-1] == places[1:]).any():  # no two pairs share a token
+                    far, near = afters[nxt], befores[places]
+                    tokens[places], tokens[nxt], joined[nxt], afters[places] = r, -1, NONE, far
+                    right, left = far >= 0, near >= 0
+                    befores[far[right]] = places[right]
+                    joined[places] = NONE
+                    at = np.concatenate([places[right], near[left]])
+                    new = joined[at] = self.rank(tokens[at], tokens[afters[at]])
+                    some = new != NONE
+                    for x, y in zip(new[some].tolist(), at[some].tolist()):
+                        enter(x, y)
+                    continue
+            if isinstance(places, np.ndarray):
+                places = places.tolist()
             for k, at in enumerate(places):
-                nxt = after[at]
-                if not live[at] or nxt < 0 or rank(token[at], token[nxt]) != r:
+                if joins[at] != r:
                     continue  # a neighbour was merged meanwhile
-                token[at], live[nxt] = r, 0
+                nxt = after[at]
                 far = after[at] = after[nxt]
-                lowest = r + 1
+                token[at], token[nxt], joins[nxt], lowest, new = r, -1, NONE, r + 1, NONE
                 if far >= 0:
                     before[far] = at
-                    if (new := rank(r, token[far])) is not None:
+                    if (new := merges(r << 32 | token[far], NONE)) != NONE:
+                        lowest = min(lowest, new)
+                        enter(new, at)
+                joins[at] = new
+                if (near := before[at]) >= 0:
+                    if (new := merges(token[near] << 32 | r, NONE)) != NONE:
                         lowest = min(lowest, new)
-                        self._enter(index, waiting, new, at)
-                near = before[at]
-                if near >= 0 and (new := rank(token[near], r)) is not None:
-                    lowest = min(lowest, new)
-                    self._enter(index, waiting, new, near)
+                        enter(new, near)
+                    joins[near] = new
                 if lowest <= r:  # a merge that comes before the rest of this one
                     for later in places[k + 1 :]:
-                        self._enter(index, waiting, r, later)
+                        enter(r, later)
                     break
-        start = 0
-        for e in ends.tolist():
-            yield list(compress(token[start:e], live[start:e]))
-            start = e
-
-    @staticmethod
-    def _enter(index: dict[int, list[int]], waiting: list[int], r: int, at: int) -> None:
-        if r in index:
-            index[r].append(at)
-        else:
-            index[r] = [at]
-            heapq.heappush(waiting, r)
+        live = tokens >= 0
+        ids, at = tokens[live].tolist(), 0
+        for count in np.add.reduceat(live, np.concatenate([[0], ends[:-1]]), dtype=np.int64).tolist():
+            yield ids[at : at + count]
+            at += count
 
     def encode(self, texts: list[str]) -> Iterator[list[int]]:
         """The ids of each text of a block."""

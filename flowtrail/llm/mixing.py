@@ -50,7 +50,9 @@ def targets(sizes: DataFrame) -> DataFrame:
 
     Sources by code point, null last, weigh WEIGHTS in turn and share SHARE of all sizes. A target
     stops at REPEATS times the source's size; the excess goes to the others by weight. That fixed
-    point is min(cap, level * weight) with one level, found by ordering the sources by cap / weight.
+    point is min(cap, level * weight) with one level, found by ordering the sources by cap / weight: if
+    those before a source are at their caps, the rest shares what they leave. Of the levels that the
+    source itself can take the right one is the highest.
     """
     every = Window.partitionBy()
     by_name = Window.orderBy(F.col("source").asc_nulls_last())
@@ -60,7 +62,7 @@ def targets(sizes: DataFrame) -> DataFrame:
     order = Window.orderBy(F.col("cap") / F.col("w"), F.col("source").asc_nulls_last())
     before, after = order.rowsBetween(Window.unboundedPreceding, -1), order.rowsBetween(0, Window.unboundedFollowing)
     level = (F.col("all") - F.coalesce(F.sum("cap").over(before), F.lit(0.0))) / F.sum("w").over(after)
-    s = s.withColumn("level", level).withColumn("level", F.min(F.when(F.col("level") * F.col("w") <= F.col("cap"), F.col("level"))).over(every))
+    s = s.withColumn("level", level).withColumn("level", F.max(F.when(F.col("level") * F.col("w") <= F.col("cap"), F.col("level"))).over(every))
     return s.select("key", "source", "source_size", F.least("cap", F.coalesce(F.col("level") * F.col("w"), F.col("cap"))).alias("target"), F.pmod(F.col("k"), F.lit(len(SCHEDULES))).alias("schedule"))
 
 

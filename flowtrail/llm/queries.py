@@ -107,7 +107,7 @@ def oracle_sql() -> dict[str, str]:
             w AS (SELECT *, CASE k WHEN 0 THEN 3.0::DOUBLE WHEN 1 THEN 1.0::DOUBLE ELSE 2.0::DOUBLE END AS w, CAST(source_size * 2 AS DOUBLE) AS cap, CAST(sum(source_size) OVER () AS DOUBLE) * 1.5::DOUBLE AS total FROM k),
             l AS (SELECT *, (total - coalesce(sum(cap) OVER (ORDER BY cap / w, source ASC NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0.0::DOUBLE))
                           / sum(w) OVER (ORDER BY cap / w, source ASC NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM w),
-            m AS (SELECT *, min(CASE WHEN level * w <= cap THEN level END) OVER () AS flat FROM l),
+            m AS (SELECT *, max(CASE WHEN level * w <= cap THEN level END) OVER () AS flat FROM l),
             t AS (SELECT source, source_size, least(cap, coalesce(flat * w, cap)) AS target FROM m),
             p AS (SELECT d.doc_id, d.source, d.size, t.source_size, t.target, coalesce(sum(d.size) OVER (PARTITION BY d.source ORDER BY h, d.doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS first
                   FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)

@@ -97,3 +97,54 @@ def pre_match(df: DataFrame, rules, **kw) -> DataFrame:
     method = F.get(F.array(*[F.lit(r.action.get("method", "default")) for r in rules]), F.col("rule_idx")) if rules else F.lit("default")
     verdict = F.when(F.col("rule_idx").isNull(), "continue").when(F.col("action") == "reject", F.when(method == "drop", "drop").otherwise("reject")).when(F.col("action") == "bypass", "bypass").when(F.col("action") == "hijack-dns", "continue").otherwise("flow")
     return out.withColumn("verdict", verdict)
+
+
+def by_lookup(df: DataFrame, rules, row_id: str, default: str = "direct") -> DataFrame:
+    """route() by joins, for long lists of rules that each ask for one kind of thing: row_id, rule_idx, action, outbound, rule.
+
+    Every condition of every rule becomes a row of a lookup table: values are found by equality, domain
+    suffixes by the host's labels, prefixes and port ranges by buckets. The least rule number wins. The
+    cost follows the rows' matches, not the number of rules.
+    """
+    from ..functions.net import prefix_range
+    from ..operators.lookup import range_join, small, suffix_join
+    from .compile import SETS
+    from .rules import RuleError, port_bounds
+
+    spark, equal, suffixes, ranges = df.sparkSession, [], [], []
+    for k, rule in enumerate(rules):
+        names = set(getattr(rule, "fields", {}))
+        if not names or rule.invert or len(names) > 1 and not names <= {"domain", "domain_suffix", "ip_cidr"} and not names <= {"port", "port_range"}:
+            raise RuleError(f"rule {k} is no plain lookup")
+        if not decides(rule):
+            continue
+        for name in names:
+            if name == "domain_suffix":
+                suffixes += [(v, k) for v in rule.get(name)]
+            elif name == "ip_cidr":
+                ranges += [(lo, hi, k) for _, lo, hi in map(prefix_range, rule.get(name))]
+            elif name == "port_range":
+                equal += [("dst_port", str(p), k) for v in rule.get(name) for p in range(port_bounds(v)[0], port_bounds(v)[1] + 1)]
+            elif name == "domain":
+                equal += [("host", v.lower(), k) for v in rule.get(name)]
+            elif name in SETS:
+                equal += [(SETS[name], str(v), k) for v in rule.get(name)]
+            else:
+                raise RuleError(f"rule {k} is no plain lookup")
+    hits = []
+    if equal:
+        table = spark.createDataFrame(equal, "field string, value string, idx int").groupBy("field", "value").agg(F.min("idx").alias("idx"))
+        fields = sorted({f for f, _, _ in equal})
+        values = F.explode(F.array(*[F.struct(F.lit(f).alias("field"), (F.lower(f) if f == "host" else F.col(f).cast("string")).alias("value")) for f in fields]))
+        hits.append(df.select(row_id, values.alias("v")).select(row_id, "v.*").join(small(table), ["field", "value"]).select(row_id, "idx"))
+    if suffixes:
+        hits.append(suffix_join(df.select(row_id, "host"), spark.createDataFrame(suffixes, "suffix string, idx int")).select(row_id, "idx"))
+    if ranges:
+        hits.append(range_join(df.select(row_id, "dst_ip"), spark.createDataFrame(ranges, "lo long, hi long, idx int"), "dst_ip").select(row_id, "idx"))
+    best = None
+    for h in hits:
+        best = h if best is None else best.unionByName(h)
+    out = df.select(row_id)
+    if best is None:
+        return named(out.withColumn("rule_idx", F.lit(None).cast("int")), rules, default)
+    return named(out.join(best.groupBy(row_id).agg(F.min("idx").alias("rule_idx")), row_id, "left"), rules, default)

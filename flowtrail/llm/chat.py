@@ -64,17 +64,18 @@ def paths(nodes: DataFrame, top: int = 1) -> DataFrame:
     """
     narrow = table(nodes.select("tree", "node", "parent", F.coalesce("score", F.lit(0.0)).cast("double").alias("score")), "chat-nodes")
     exists = narrow.select("tree", F.col("node").alias("parent"), F.lit(True).alias("there"))
-    step = table(narrow.join(exists, ["tree", "parent"], "left").select("tree", "node", F.when(F.col("there"), F.col("parent")).alias("up"), F.lit(1).cast("long").alias("depth"), F.col("score").alias("total")), "chat-up")
-    jumps, n = [step], narrow.count()
-    # jumps[k]: the ancestor 2^k above, and depth and score of the nodes passed on the way there.
-    while step.where("up is not null").limit(1).count() and 1 << (len(jumps) - 1) < n:
-        far = step.select("tree", F.col("node").alias("up"), F.col("up").alias("far"), F.col("depth").alias("d"), F.col("total").alias("t"))
-        step = table(
-            step.join(far, ["tree", "up"], "left").select("tree", "node", F.col("far").alias("up"), (F.col("depth") + F.coalesce("d", F.lit(0))).alias("depth"), (F.col("total") + F.coalesce("t", F.lit(0.0))).alias("total")), "chat-up"
-        )
-        jumps.append(step)
-    rooted = step.where("up is null")
-    parents = jumps[0].where("up is not null").select("tree", F.col("up").alias("node"))
+    first = narrow.join(exists, ["tree", "parent"], "left").select("tree", "node", F.when(F.col("there"), F.col("parent")).alias("up"), F.lit(1).cast("long").alias("depth"), F.col("score").alias("total"))
+    step, n = table(first, "chat-up"), narrow.count()
+    parents = step.where("up is not null").select("tree", F.col("up").alias("node"))
+    rooted, jumps = step.where("up is null"), []
+    # jumps[k]: for the nodes that deep, the ancestor 2^k above, and depth and score of the nodes on the way
+    # there. What has reached its root is done and steps no further.
+    while step.where("up is not null").limit(1).count() and 1 << len(jumps) <= n:
+        active = step.where("up is not null")
+        jumps.append(active)
+        far = active.unionByName(rooted).select("tree", F.col("node").alias("up"), F.col("up").alias("far"), F.col("depth").alias("d"), F.col("total").alias("t"))
+        step = table(active.join(far, ["tree", "up"]).select("tree", "node", F.col("far").alias("up"), (F.col("depth") + F.col("d")).alias("depth"), (F.col("total") + F.col("t")).alias("total")), "chat-up")
+        rooted = rooted.unionByName(step.where("up is null"))
     leaves = rooted.join(parents, ["tree", "node"], "left_anti")
     best = F.struct((-F.col("total")).alias("total"), "node", "depth")
     if top == 1:  # partial minima, so a tree with very many leaves is no single task's sort
@@ -83,7 +84,7 @@ def paths(nodes: DataFrame, top: int = 1) -> DataFrame:
         ranked = leaves.withColumn("rank", F.row_number().over(Window.partitionBy("tree").orderBy(F.desc("total"), "node"))).where(F.col("rank") <= top).select("tree", F.col("node").alias("leaf"), "rank", "depth")
     on = table(ranked.select("tree", "leaf", "rank", F.col("leaf").alias("node"), (F.col("depth") - 1).alias("place")), "chat-paths")
     for k, jump in enumerate(jumps):
-        above = on.join(jump.where("up is not null").select("tree", "node", "up"), ["tree", "node"]).select("tree", "leaf", "rank", F.col("up").alias("node"), (F.col("place") - (1 << k)).alias("place"))
+        above = on.join(jump.select("tree", "node", "up"), ["tree", "node"]).select("tree", "leaf", "rank", F.col("up").alias("node"), (F.col("place") - (1 << k)).alias("place"))
         on = table(on.unionByName(above), "chat-paths")
     return on
 

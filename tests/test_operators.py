@@ -155,12 +155,12 @@ def test_moving_stability_passes_over_bad_values(spark):
 def test_latency_pick_wraps_and_falls_back(spark):
     member = "array<struct<ordinal:int,tag:string,delay:int,capable:boolean>>"
     groups = [
-        ("keep", "b", [(0, "a", 60, True), (1, "b", 100, True)]), ("switch", "b", [(0, "a", 40, True), (1, "b", 100, True)]), ("wrap", "b", [(0, "a", 65_500, True), (1, "b", 100, True)]),
+        ("keep", "b", [(0, "a", 60, True), (1, "b", 100, True)]), ("switch", "b", [(0, "a", 40, True), (1, "b", 100, True)]), ("wrap", "b", [(0, "b", 100, True), (1, "a", 65_500, True)]), ("wrap, then back", "b", [(0, "a", 65_500, True), (1, "b", 100, True)]),
         ("none", None, [(0, "a", None, False), (1, "b", None, True)]), ("order", None, [(0, "a", 100, True), (1, "b", 55, True), (2, "c", 10, True)]), ("empty", None, []),
     ]
     df = spark.createDataFrame(groups, f"group string, current string, members {member}")
     got = {r.group: (r.pick, r.measured) for r in selection.latency_pick(df).collect()}
-    assert got == {"keep": ("b", True), "switch": ("a", True), "wrap": ("a", True), "none": ("b", False), "order": ("c", True), "empty": (None, False)}
+    assert got == {"keep": ("b", True), "switch": ("a", True), "wrap": ("a", True), "wrap, then back": ("b", True), "none": ("b", False), "order": ("c", True), "empty": (None, False)}
 
 
 def test_min_ttl_fold(spark):

@@ -10,9 +10,14 @@ SF = "/root/testdata/sf0.001"
 
 
 def run(df, name, mode="update"):
-    q = df.writeStream.format("memory").queryName(name).outputMode(mode).start()
-    q.processAllAvailable()
-    q.stop()
+    # A query with processing-time timeouts would run batches without data for ever.
+    df.sparkSession.conf.set("spark.sql.streaming.noDataMicroBatches.enabled", "false")
+    q = df.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).start()
+    try:
+        assert q.awaitTermination(60)
+    finally:
+        q.stop()
+        df.sparkSession.conf.unset("spark.sql.streaming.noDataMicroBatches.enabled")
 
 
 def test_states_follow_the_changelog(spark, tmp_path):

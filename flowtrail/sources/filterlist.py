@@ -12,6 +12,8 @@ from ..plans.rules import RuleError
 
 DOMAIN_NAME = r"^[A-Za-z0-9_]([A-Za-z0-9_-]{0,61}[A-Za-z0-9_])?(\.[A-Za-z0-9_]([A-Za-z0-9_-]{0,61}[A-Za-z0-9_])?)*\.?\z"
 ADDRESS = r"^(\d+\.\d+\.\d+\.\d+|[0-9A-Fa-f:.]*:[0-9A-Fa-f:.]*)\z"
+#: What may stand before the first number of a pattern over addresses.
+ADDRESS_PREFIX = r"^(\(https?\?:\\/\\/\)|\^)"
 ZERO = ("0.0.0.0", "::", "0:0:0:0:0:0:0:0")
 
 
@@ -47,7 +49,10 @@ def parse(lines: DataFrame) -> DataFrame:
         F.when(F.contains("p", F.lit("/")), "path").when(F.regexp("p", F.lit("[?&]")), "query").when(F.regexp("p", F.lit(r"[\[\]()!#]")), "cosmetic")
         .when(F.contains("p", F.lit("~")), "modifier").when(F.col("p") == "", "empty").when(~_is_domain(checked), "not a domain")
     )
-    why = F.when(F.col("bad_option"), "modifier").when(F.col("regex"), F.when(F.regexp("p", F.lit(r"^\(?(\\d|\d)+\\\.")), "address pattern")).otherwise(plain_why)
+    first = F.regexp_extract(F.regexp_replace("p", ADDRESS_PREFIX, ""), r"^(\d+)(\\?\.|\z)", 1)
+    of_address = F.coalesce(F.expr("try_cast(first as long)").between(0, 255), F.lit(False))
+    d = d.withColumn("first", first).withColumn("of_address", of_address)
+    why = F.when(F.col("bad_option"), "modifier").when(F.col("regex"), F.when(F.col("of_address"), "address pattern")).otherwise(plain_why)
     raw = F.col("raw_line")
     host = F.col("hosts")
     d = d.withColumn("dropped", F.when(raw, None).when(host, F.when(F.col("address").isin(*ZERO), None).otherwise("hosts")).otherwise(why))

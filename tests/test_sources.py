@@ -39,10 +39,10 @@ def test_hosts_lines_and_raw_domains(spark, xs, blocked, free):
 
 
 def test_dropped_lines(spark):
-    xs = ["", "! c", "# c", "||a.example^$third-party", "a.example/path", "a.example?x", "a##b", "~a.example", "@@||^", "/\\d+\\.\\d+/", "||b.example^$dnsrewrite=0.0.0.0", "|https://c.example^", "1.2.3.4 d.example"]
+    xs = ["", "! c", "# c", "||a.example^$third-party", "a.example/path", "a.example?x", "a##b", "~a.example", "@@||^", "/\\d+\\.\\d+/", "/^10\\.1/", "/(https?:\\/\\/)99.1/", "/7/", "/256\\.1/", "||b.example^$dnsrewrite=0.0.0.0", "|https://c.example^", "1.2.3.4 d.example"]
     got = {r.value: r.dropped for r in filterlist.parse(lines(spark, xs)).collect()}
     assert "" not in got and "! c" not in got
-    assert {k for k, v in got.items() if v is None} == {"||b.example^$dnsrewrite=0.0.0.0", "|https://c.example^"}
+    assert {k for k, v in got.items() if v is None} == {"/\\d+\\.\\d+/", "/256\\.1/", "||b.example^$dnsrewrite=0.0.0.0", "|https://c.example^"}  # only a number up to 255 makes an address
 
 
 def test_hosts_file(spark):

@@ -31,8 +31,8 @@ NONE = np.iinfo(np.int32).max
 #: Places of one rank from which they are merged at once, not one by one.
 MANY = 12
 #: Characters of text after which a block ends, and words that a worker remembers.
-BLOCK_CHARS = 1 << 23
-REMEMBERED = 1 << 19
+BLOCK_CHARS = 1 << 21
+REMEMBERED = 1 << 17
 
 
 class Vocabulary:

@@ -32,7 +32,7 @@ NONE = np.iinfo(np.int32).max
 MANY = 12
 #: Characters of text after which a block ends, and words that a worker remembers.
 BLOCK_CHARS = 1 << 21
-REMEMBERED = 1 << 17
+REMEMBERED = 1 << 19
 
 
 class Vocabulary:
@@ -51,6 +51,7 @@ class Vocabulary:
         self.keys, self.values = keys, np.array([self.merges[k] for k in keys.tolist()], np.int32)
         # Tokens that take part in a merge which comes before the merge that makes them.
         self.early = {x for k, r in self.merges.items() for x in (k >> 32, k & 0xFFFFFFFF) if x > r}
+        self.ids = list(range(len(self.tokens)))  # one object for each id, however often it is remembered
         self.known: dict[str, tuple[int, ...]] = {}
 
     def _merges(self) -> dict[int, int]:
@@ -84,7 +85,7 @@ class Vocabulary:
             else:
                 known[w] = (whole,)
         for (w, _), ids in zip(rest, self.replay([data for _, data in rest])):
-            known[w] = tuple(ids)
+            known[w] = tuple(map(self.ids.__getitem__, ids))
 
     def replay(self, words: list[bytes]) -> Iterator[list[int]]:
         """The ids of each word, by replaying all merges over all words at once."""

@@ -71,9 +71,15 @@ KNOWN: tuple[tuple[str, str], ...] = (
 )
 
 
+#: What follows 'copyright' where a line of a licence's body starts with it, wherever the text was wrapped.
+BODY = r"notices?|holders?|owners?|licen[sc]es?|laws?|statements?|permissions?|disclaimers?|interests?|protection|treaty|treaties|patents?|and|or|on|in|of|to|is|as|by|for|the|this|that|which|under"
+#: A copyright notice, lower case: 'copyright' before a sign or year or any word but one of BODY, the sign, or '(c)' on a line with a year.
+NOTICE = rf"(?m)^[ \t]*(copyright[ \t:,]*(\(c\)|©|[0-9]{{4}})|copyright\b(?=[^\n]*[\p{{L}}\p{{N}}])(?![^\p{{L}}\p{{N}}\n]*({BODY})\b)|©|\(c\)(?=[^\n]*\b(19|20)[0-9]{{2}}\b))[^\n]*$"
+
+
 def canonical(text: Column) -> Column:
-    """Lower case, no copyright lines, words only, one spelling each, one space between."""
-    t = F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"(?m)^[ \t]*(copyright|\(c\)|©)[^\n]*$", " ")
+    """Lower case, no copyright notices, words only, one spelling each, one space between."""
+    t = F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), NOTICE, " ")
     t = F.concat(F.lit(" "), F.regexp_replace(t, r"[^\p{L}\p{N}]+", "  "), F.lit(" "))
     for written, meant in EQUIVALENT.items():
         t = F.replace(t, F.lit(f" {written} "), F.lit(f" {meant} "))

@@ -132,7 +132,8 @@ def category_lookup(hosts: DataFrame, items: DataFrame) -> DataFrame:
     by equality; only keywords and patterns are tried one by one.
     """
     h = hosts.select("host").where("host <> ''").distinct()
-    lengths = [r.n for r in items.where(F.col("type") == SUFFIX).select(F.length("value").alias("n")).distinct().limit(254).collect()]  # names have at most 253 characters
+    longest = h.agg(F.max(F.length("host"))).first()[0] or 0
+    lengths = [r.n for r in items.where(F.col("type") == SUFFIX).select(F.length("value").alias("n")).where(F.col("n") <= longest).distinct().collect()]
     exact = h.join(small(items.where(F.col("type") == DOMAIN)), F.col("host") == F.col("value")).select("host", "code", "type")
     tails = h.select("host", F.explode(F.array(*[F.when(F.length("host") >= n, F.substring("host", -n, n)) for n in sorted(lengths)] or [F.lit(None).cast("string")])).alias("tail"))
     suffix = tails.join(small(items.where(F.col("type") == SUFFIX)), F.col("tail") == F.col("value")).select("host", "code", "type")

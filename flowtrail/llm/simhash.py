@@ -13,7 +13,7 @@ differ in at most one bit there. That changes the cost, never the links.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -21,7 +21,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD, table
+from .common import WORD, forget, table
+from .linking import linked
 
 LIMIT = 3
 SEGMENTS = 7
@@ -67,7 +68,8 @@ def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(_fingerprints, "doc_id long, fp long")
+    kind = docs.schema[id_col].dataType.simpleString()
+    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(_fingerprints, f"doc_id {kind}, fp long")
 
 
 def _segment(fp: Column, i: int) -> Column:
@@ -104,66 +106,58 @@ def _viable(x: Column, start: Column) -> Column:
 
 
 def links(classes: DataFrame, wide: bool = False) -> DataFrame:
-    """Pairs (a, b), a < b, of different fingerprints (column fp) that differ in at most LIMIT bits; each once."""
-    fp = F.col("fp")
-    if wide:
-        flips = [[0] + [1 << k for k in range(sum(_widths()[(s + j) % SEGMENTS][1] for j in (2, 3)))] for s in range(SEGMENTS)]
-        asked = F.explode(F.flatten(F.array(*[F.array(*[F.struct(F.lit(s).alias("start"), _key(fp, s, 4).bitwiseXOR(F.lit(m)).alias("key")) for m in flips[s]]) for s in range(SEGMENTS)])))
-        length = 4
-    else:
-        asked, length = None, 2
-    stored = F.explode(F.array(*[F.struct(F.lit(s).alias("start"), _key(fp, s, length).alias("key")) for s in range(SEGMENTS)]))
-    left = classes.select(fp.alias("a"), (stored if asked is None else asked).alias("k")).select("a", "k.*")
-    right = classes.select(fp.alias("b"), stored.alias("k")).select("b", "k.*")
-    left, right = left.alias("l"), right.alias("r")
-    a, b, start = F.col("a"), F.col("b"), F.col("l.start")
-    pairs = left.join(right, (start == F.col("r.start")) & (F.col("l.key") == F.col("r.key")) & (a < b) & _viable(a.bitwiseXOR(b), start))
-    return pairs.select("a", "b").distinct()  # a pair may be viable from several starts
-
-
-def components(edges: DataFrame) -> DataFrame:
-    """(node, root) for every node of edges (a, b): root is the smallest node it is connected to.
-
-    Alternates large-star and small-star steps; each works on (node, neighbour) rows with partial
-    minima, so a node with very many neighbours is no single task's group.
+    """Pairs (a, b), a < b, of different fingerprints (column fp) that differ in at most LIMIT bits; each once.
+
+    All of them, which grows with the square of a dense group; groups() needs linked() only.
     """
-    edges = table(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "cc")
-    state = None
-    while True:
-        both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = table(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m")), "cc")
-        large = both.where("b > a").join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
-        large = table(large.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")), "cc")
-        low = table(large.groupBy("a").agg(F.min("b").alias("m")), "cc")
-        small = large.join(low, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(low.select("a", F.col("m").alias("b")))
-        edges = table(small.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct(), "cc")
-        now = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if now == state:
-            roots = edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
-            return roots.unionByName(roots.select(F.col("root").alias("node"), "root").distinct())
-        state = now
-
-
-def groups(docs: DataFrame) -> DataFrame:
+    left, right = _stored(classes, _asked if wide else _exact, wide).alias("x"), _stored(classes, _exact, wide).alias("y")
+    pairs = left.join(right, (F.col("x.start") == F.col("y.start")) & (F.col("x.key") == F.col("y.key")) & (F.col("x.fp") < F.col("y.fp")) & _near(F.col("x.fp"), F.col("y.fp"), F.col("x.start")))
+    return pairs.select(F.col("x.fp").alias("a"), F.col("y.fp").alias("b")).distinct()  # a pair may be viable from several starts
+
+
+def _near(a: Column, b: Column, start: Column) -> Column:
+    return _viable(a.bitwiseXOR(b), start)
+
+
+def _exact(s: int, length: int) -> list[int]:
+    return [0]
+
+
+def _asked(s: int, length: int) -> list[int]:
+    """No difference, or one bit of the third and fourth segment."""
+    return [0] + [1 << k for k in range(sum(_widths()[(s + j) % SEGMENTS][1] for j in (2, 3)))]
+
+
+def _stored(classes: DataFrame, flips: Callable[[int, int], list[int]], wide: bool) -> DataFrame:
+    """fp, start and key: a row for each start and each of the flips of its key."""
+    length, fp = 4 if wide else 2, F.col("fp")
+    keys = [F.array(*[F.struct(F.lit(s).alias("start"), _key(fp, s, length).bitwiseXOR(F.lit(m)).alias("key")) for m in flips(s, length)]) for s in range(SEGMENTS)]
+    return classes.select("fp", F.explode(F.flatten(F.array(*keys))).alias("k")).select("fp", "k.*")
+
+
+def connected(classes: DataFrame, wide: bool = False) -> DataFrame:
+    """(node, root) for the fingerprints that link with others, without all pairs of a dense group.
+
+    Where the key is wide, both sides are stored under every key that differs in at most one bit, so that
+    two linked fingerprints share a bucket.
+    """
+    index = _stored(classes, _asked if wide else _exact, wide)
+    return linked(index, ["start", "key"], "fp", ["fp"], lambda x, y: _near(x("fp"), y("fp"), x("start")))
+
+
+def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row for each input row: doc_id, fp, component_id (the smallest doc_id reachable, itself included).
 
     Texts without words, null included, have fingerprint 0 and link like any other. Equal fingerprints
     are one class: links are sought between classes only, and a class of any size is one row there.
-    The component of rows that all lack an id is null. An empty table gives an empty result.
+    The component of rows that all lack an id is null. Ids may be numbers or strings, ordered by value or
+    code point. Rows that repeat an id have a row each. An empty table gives an empty result.
     """
-    rows = table(fingerprints(docs), "simhash-rows")
+    rows = table(fingerprints(docs, id_col, text_col), "simhash-rows")
     classes = table(rows.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "simhash-classes")
-    roots = table(components(links(classes, wide=classes.count() > WIDE_FROM)).withColumnRenamed("node", "fp"), "simhash-roots")
+    roots = connected(classes, wide=classes.count() > WIDE_FROM).withColumnRenamed("node", "fp")
     least = roots.join(classes, "fp").groupBy("root").agg(F.min("first_id").alias("component_id"))
     found = roots.join(least, "root").select("fp", "component_id")
     named = table(classes.join(found, "fp", "left").select("fp", F.coalesce("component_id", "first_id").alias("component_id")), "simhash-components")
+    forget(classes)
     return rows.join(named, "fp").select("doc_id", "fp", "component_id")
-
-
-def one_of_each(docs: DataFrame) -> DataFrame:
-    """The rows of docs whose id is their component's smallest; every column as it was.
-
-    Ids are taken to be unique; rows that share the id that stays all stay.
-    """
-    keep = groups(docs).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_i")).distinct()
-    return docs.join(keep, F.col("doc_id").cast("long").eqNullSafe(F.col("_i")), "left_semi").select(*docs.columns)

@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import table, words
+from .common import WORD, fresh, table, without, words
 
 WEIGHTS = (3.0, 1.0, 2.0)
 SHARE = 1.5
@@ -66,57 +66,103 @@ def targets(sizes: DataFrame) -> DataFrame:
     return s.select("key", "source", "source_size", F.least("cap", F.coalesce(F.col("level") * F.col("w"), F.col("cap"))).alias("target"), F.pmod(F.col("k"), F.lit(len(SCHEDULES))).alias("schedule"))
 
 
-def curriculum(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text") -> DataFrame:
-    """One row for each input row: id, source, size, source_size, target, taken, positions.
+def share(time: float) -> Column:
+    """The part (0 to 1) of a source's tokens that its schedule consumes by `time`: the scaled integral."""
+    out = F.lit(None).cast("double")
+    for k, knots in enumerate(SCHEDULES):
+        segments, area = _segments(knots)
+        y = 0.0
+        for start, t0, f0, slope in segments:
+            if time > t0:
+                t1 = min(time, next(t for t, _ in knots if t > t0))
+                y = start + (f0 + f0 + slope * (t1 - t0)) / 2 * (t1 - t0)
+        out = F.when(F.col("schedule") == k, F.lit(min(1.0, y / area))).otherwise(out)
+    return out
+
+
+def digest(id_col: str, text_col: str) -> Column:
+    """What orders the documents of a source: md5 of the id and of the text's md5, so that rows without an id or with one id for all are spread too."""
+    text = F.md5(F.coalesce(F.col(text_col), F.lit("")).cast("binary"))
+    return F.md5(F.concat(F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.lit("|"), text).cast("binary"))
 
-    size: the text's words (null: 0). taken: the words that the mix takes, over all passes; a source's
-    last document may be taken in part, so that a source's sum is its target rounded down. positions:
-    the time of each pass that takes some of it, empty if none does. Null sources are one source.
-    Documents follow in order of md5(id), then id and size; equal rows are interchangeable, so reruns agree.
 
-    Prefix sums run within (source, first three digits of the md5), then over those 4,096 totals of
-    each source, so that a source with most of the rows is not one task.
+def curriculum(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", until: float = 1.0) -> DataFrame:
+    """One row for each input row: id, source, md5, size, source_size, target, passes.
+
+    size: the text's words (null: 0). passes: time and words of each pass of which the mix takes some by
+    training time `until`, empty if none does: what falls below the source's demand, its schedule's
+    integral up to then. A source's last document may be taken in part, so at the end of the training a
+    source's sum is its target rounded down. Null sources are one source. Documents follow in order of
+    digest(), then size; equal rows are interchangeable, so reruns agree. An empty table gives an empty result.
+
+    Prefix sums run within (source, first three digits of the digest), then over those 4,096 totals of
+    each source, so that a source with most of the rows is not one task. Rows equal in source, id and
+    text are counted before anything is shuffled and told apart at the end.
     """
-    digest = F.md5(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary"))
-    rows = docs.select(F.col(id_col).alias("_id"), F.col(source_col).alias("source"), digest.alias("md5"), F.size(words(F.coalesce(F.col(text_col), F.lit("")))).cast("long").alias("size"))
-    return plan(table(rows, "mix-rows")).withColumnRenamed("_id", id_col)
+    rows = docs.select(F.col(id_col).alias("_id"), F.col(source_col).alias("source"), digest(id_col, text_col).alias("md5"), F.size(words(F.coalesce(F.col(text_col), F.lit("")))).cast("long").alias("size"))
+    return plan(table(rows.groupBy("_id", "source", "md5", "size").agg(F.count("*").alias("copies")), "mix-rows"), until).withColumnRenamed("_id", id_col)
 
 
-def plan(rows: DataFrame) -> DataFrame:
-    """curriculum() over rows of _id, source, md5 and size."""
+def plan(rows: DataFrame, until: float = 1.0) -> DataFrame:
+    """curriculum() over rows of _id, source, md5, size and copies."""
     # A key without null, so that the window and the join below share one exchange.
     key = F.when(F.col("source").isNull(), F.lit("")).otherwise(F.concat(F.lit("="), "source"))
-    rows = rows.withColumns({"key": key, "part": F.substring("md5", 1, 3)})
-    parts = table(rows.groupBy("key", "part").agg(F.first("source").alias("source"), F.sum("size").alias("words")), "mix-parts")
+    rows = rows.withColumns({"key": key, "part": F.substring("md5", 1, 3), "all": F.col("size") * F.col("copies")})
+    parts = table(rows.groupBy("key", "part").agg(F.first("source").alias("source"), F.sum("all").alias("words")), "mix-parts")
     goal = targets(parts.groupBy("key").agg(F.first("source").alias("source"), F.sum("words").alias("source_size")))
     earlier = Window.partitionBy("key").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     parts = parts.select("key", "part", F.coalesce(F.sum("words").over(earlier), F.lit(0)).alias("first")).join(goal.drop("source"), "key")
     inside = Window.partitionBy("key", "part").orderBy("md5", "_id", "size").rowsBetween(Window.unboundedPreceding, -1)
-    out = rows.withColumn("inside", F.coalesce(F.sum("size").over(inside), F.lit(0))).join(parts, ["key", "part"])
-    start, wanted = F.col("first") + F.col("inside"), F.floor("target")
+    out = rows.withColumn("inside", F.coalesce(F.sum("all").over(inside), F.lit(0))).join(parts, ["key", "part"])
+    each = F.explode(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1))
+    out = out.select("*", each.alias("copy")).withColumn("start", F.col("first") + F.col("inside") + F.col("copy") * F.col("size"))
+    demand = F.floor(F.col("target") * share(until))
 
     def passed(p: int) -> Column:
-        return F.least(F.greatest(wanted - F.col("source_size") * p - start, F.lit(0)), F.col("size"))
+        start = F.col("start") + F.col("source_size") * p
+        n = F.least(F.greatest(demand - start, F.lit(0)), F.col("size"))
+        return F.when(n > 0, F.struct(position(start / F.col("target"), F.col("schedule")).alias("time"), n.alias("words")))
+
+    return out.select("_id", "source", "md5", "size", "source_size", "target", F.array_compact(F.array(*map(passed, range(REPEATS)))).alias("passes"))
+
 
-    taken = [passed(p) for p in range(REPEATS)]
-    times = F.array(*[F.when(t > 0, position((start + F.col("source_size") * p) / F.col("target"), F.col("schedule"))) for p, t in enumerate(taken)])
-    return out.select("_id", "source", "md5", "size", "source_size", "target", sum(taken[1:], taken[0]).alias("taken"), F.array_compact(times).alias("positions"))
+def taken(passes: str = "passes") -> Column:
+    """The words of all passes."""
+    return F.aggregate(passes, F.lit(0).cast("long"), lambda a, p: a + p["words"])
 
 
 def in_order(mix: DataFrame, n: int | None = None) -> DataFrame:
     """Rows range-sorted by first position; what the mix leaves out follows, by digest."""
-    key = [F.get("positions", F.lit(0)).asc_nulls_last(), F.col("md5").asc_nulls_last()]
+    key = [F.get("passes", F.lit(0))["time"].asc_nulls_last(), F.col("md5").asc_nulls_last()]
     return mix.repartitionByRange(n, *key).sortWithinPartitions(*key) if n else mix.orderBy(*key)
 
 
+def first_words(text: Column, n: Column) -> Column:
+    """The text up to the end of its n-th word, what stands between the words kept."""
+    between = F.slice(F.split(text, WORD), 1, n.cast("int"))
+    return F.array_join(F.zip_with(between, F.slice(words(text), 1, n.cast("int")), lambda a, b: F.concat(a, b)), "")
+
+
 def mixed(docs: DataFrame) -> DataFrame:
     """docs as the mix has them: each document once for every pass that takes some of it, in training order.
 
-    The rows hold docs' columns only. Documents with no word are in no pass. Rows that share id,
-    source and size take the positions of the first of them.
+    The rows hold docs' columns only. Where a pass takes a document in part, which is at most once for a
+    source, its text ends with the last word taken, so that a source's words are what the mix takes of
+    it; other columns stay as they were. Documents with no word are in no pass. Rows equal in id, source
+    and text are interchangeable, and one of them stands for all.
+
+    The words are counted once, in the narrow rows; texts are joined by digest and range-sorted.
     """
-    cols = docs.columns
-    mix = curriculum(docs).where(F.size("positions") > 0).groupBy(F.col("doc_id").alias("_i"), F.col("source").alias("_s"), F.col("size").alias("_n")).agg(F.min("positions").alias("_p"))
-    sized = docs.withColumn("_size", F.size(words(F.coalesce(F.col("text"), F.lit("")))).cast("long"))
-    same = F.col("doc_id").eqNullSafe(F.col("_i")) & F.col("source").eqNullSafe(F.col("_s")) & (F.col("_size") == F.col("_n"))
-    return sized.join(mix, same).select(*cols, F.explode("_p").alias("_at")).orderBy("_at").select(*cols)
+    cols, md5, source, at, n = docs.columns, fresh("md5"), fresh("source"), fresh("at"), fresh("n")
+    mix = table(curriculum(docs).where(F.size("passes") > 0), "mix")
+    named = F.coalesce(F.concat(F.lit("="), "source"), F.lit("")).alias(source)
+    passes = mix.select(F.col("md5").alias(md5), named, "size", F.explode("passes").alias("p")).select(md5, source, F.col("p.time").alias(at), F.when(F.col("p.words") < F.col("size"), F.col("p.words")).alias(n))
+    one = fresh("one")
+    key = F.concat(F.col(md5), F.col(source)).alias(one)
+    rows = docs.select("*", digest("doc_id", "text").alias(md5), named)
+    again = table(mix.groupBy("md5", "source").agg(F.count("*").alias("n")).where("n > 1").select(F.concat("md5", F.coalesce(F.concat(F.lit("="), "source"), F.lit(""))).alias(one)), "mix-again")
+    if again.limit(1).count():
+        rows = without(rows.select("*", key), one, again.limit(0), again)
+    out = rows.join(passes, [md5, source])
+    text = F.when(F.col(n).isNotNull(), first_words(F.col("text"), F.col(n))).otherwise(F.col("text")).alias("text")
+    return out.select(*[text if c == "text" else F.col(c) for c in cols], F.col(at), F.col(md5)).orderBy(at, md5).select(*cols)

@@ -8,10 +8,10 @@ again.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import let, words
+from .common import fresh, let, shared_dir, words
 
 SPACES = " \t\n\x0b\x0c\r"
 SYMBOLS = "#*$%&|<>"
@@ -45,17 +45,18 @@ def mask(policy: str | tuple[str, ...]) -> int:
 def _repeat_words(w: Column) -> Column:
     """Words that lie in a WINDOW-word window found twice or more in w.
 
-    Windows are compared by a 64-bit hash of their words. Only a text that has a repeated hash pays
-    for the sort that finds where the repeats are.
+    Windows are compared by a 64-bit hash of their words first. Only a text that has a repeated hash pays
+    for the sort that finds where the repeats are; that sort compares the words themselves.
     """
     n = F.size(w) - F.lit(WINDOW - 1)
-    hashes = F.transform(F.sequence(F.lit(1), n), lambda i: F.xxhash64(*[F.element_at(w, (i + k).cast("int")) for k in range(WINDOW)]))
+    at = lambda i, k: F.element_at(w, (i + k).cast("int"))
+    hashes = F.transform(F.sequence(F.lit(1), n), lambda i: F.xxhash64(*[at(i, k) for k in range(WINDOW)]))
 
     def covered(h: Column) -> Column:
-        pairs = F.sort_array(F.transform(h, lambda x, i: F.struct(x.alias("h"), i.alias("i"))))
+        pairs = F.sort_array(F.transform(h, lambda x, i: F.struct(x.alias("h"), F.slice(w, i + 1, WINDOW).alias("five"), i.alias("i"))))
 
         def starts(s: Column) -> Column:
-            same = lambda x, j: F.coalesce(F.get(s, j)["h"] == x["h"], F.lit(False))
+            same = lambda x, j: F.coalesce((F.get(s, j)["h"] == x["h"]) & (F.get(s, j)["five"] == x["five"]), F.lit(False))
             return F.sort_array(F.transform(F.filter(s, lambda x, j: same(x, j - 1) | same(x, j + 1)), lambda x: x["i"]))
 
         def total(p: Column) -> Column:
@@ -87,9 +88,10 @@ def ledger(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     A null or empty text measures zero everywhere and fails few_words. Repeated rows and ids give a
     row each; other columns are not read. A document of any length is measured whole, in its own row.
     """
-    m = docs.select(F.col(id_col).alias(id_col), F.coalesce(F.col(text_col), F.lit("")).alias("_t")).select(id_col, _measures(F.col("_t")).alias("_m"))
-    m = m.select(id_col, *[F.col(f"_m.{field}").alias(name) for name, field in FIELDS.items()])
-    return m.withColumn("fail_bits", _bits(F.col))
+    t, m = fresh("t"), fresh("m")
+    rows = docs.select(F.col(id_col), F.coalesce(F.col(text_col), F.lit("")).alias(t)).select(id_col, _measures(F.col(t)).alias(m))
+    rows = rows.select(id_col, *[F.col(f"{m}.{field}").alias(name) for name, field in FIELDS.items()])
+    return rows.withColumn("fail_bits", _bits(F.col))
 
 
 def _bits(m) -> Column:
@@ -99,17 +101,39 @@ def _bits(m) -> Column:
     return bits
 
 
+def _folder(spark: SparkSession, name: str) -> str:
+    return f"{shared_dir(spark)}/quality-ledger/{name}"
+
+
+def store(ledger_df: DataFrame, name: str) -> DataFrame:
+    """Keep a ledger under a name in the shared folder, with the number of rules that its bits stand for, and read it back."""
+    ledger_df.withColumn("n_rules", F.lit(len(RULES))).write.mode("overwrite").parquet(_folder(ledger_df.sparkSession, name))
+    return stored(ledger_df.sparkSession, name)
+
+
+def stored(spark: SparkSession, name: str) -> DataFrame:
+    """A kept ledger. Rules are only ever appended, so its bits keep their meaning."""
+    return spark.read.parquet(_folder(spark, name))
+
+
 def fails(policy: str | tuple[str, ...]) -> Column:
     return F.col("fail_bits").bitwiseAND(F.lit(mask(policy)).cast("long")) != 0
 
 
 def apply_policy(ledger_df: DataFrame, policy: str = CURRENT) -> DataFrame:
-    """Adds base_failed and kept. Every policy contains the base rules, so base_failed implies not kept."""
-    return ledger_df.withColumns({"base_failed": fails("base"), "kept": ~(fails("base") | fails(policy)), "policy": F.lit(policy)})
+    """Adds base_failed, kept and policy. The base rules hold under every policy, so base_failed implies not kept.
+
+    A stored ledger that was made before one of the policy's rules came in can't answer it: its rows fail with an error.
+    """
+    out = ledger_df
+    if "n_rules" in out.columns:
+        old = F.pow(F.lit(2), F.col("n_rules")) <= F.lit(mask("base") | mask(policy))
+        out = out.withColumn("fail_bits", F.when(old, F.raise_error(f"the ledger is older than policy {policy}").cast("long")).otherwise(F.col("fail_bits"))).drop("n_rules")
+    return out.withColumns({"base_failed": fails("base"), "kept": ~(fails("base") | fails(policy)), "policy": F.lit(policy)})
 
 
 def ablation(ledger_df: DataFrame, policy: str = CURRENT) -> DataFrame:
-    """For each rule of a policy: documents that fail it, and documents that only it rejects.
+    """rule, n_failed, n_only for each rule of a policy: documents that fail it, and documents that only it rejects.
 
     The first aggregate leaves at most one row for each combination of bits, whatever the input's
     size; the rest is arithmetic on those.

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bpe, chat, exact, licenses, mixing, quality, shards, simhash, toxicity, warc
-from .common import documents, table
+from .common import documents, fresh, table
 
 
 def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -50,16 +50,44 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.in_order(mixing.curriculum(documents(spark, sf_dir))).select("doc_id", "source", "size", "source_size", "target", "taken")
+    first = F.get("passes", F.lit(0))["time"]
+    mix = mixing.in_order(mixing.curriculum(documents(spark, sf_dir)))
+    return mix.select("doc_id", "source", "size", "source_size", "target", mixing.taken().alias("taken"), F.size("passes").cast("long").alias("n_passes"), F.round(first, 9).alias("first_position"))
 
 
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality.apply_policy(quality.ledger(documents(spark, sf_dir))).drop("n_lines", "policy")
+    """The ledger is stored, and two versions of the policy are answered from its bits."""
+    ledger = quality.store(quality.ledger(documents(spark, sf_dir)), fresh("op9"))
+    return quality.apply_policy(ledger).drop("n_lines").withColumn("kept_v1", ~(quality.fails("base") | quality.fails("v1")))
+
+
+def quality_ablation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each rule of each policy rejects, and rejects alone, by bitwise aggregation over the stored ledger."""
+    ledger = quality.store(quality.ledger(documents(spark, sf_dir)), fresh("ablation"))
+    out = [quality.ablation(ledger, p).withColumn("policy", F.lit(p)) for p in quality.POLICIES]
+    return out[0].unionByName(out[1]).unionByName(out[2])
 
 
 def op10_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     records, _, _ = shards.shard(documents(spark, sf_dir))
-    return records.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+    return records.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "vslot", "version")
+
+
+def shards_grown(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Slots and bytes of each shard in the stored map and in its next version, edited for one more shard."""
+    name = fresh("grown")
+    _, first, slots = shards.shard(documents(spark, sf_dir), name=name)
+    shards.save(table(shards.grow(first, slots, 16), "shard-map"), name)
+    both = shards.load(spark, name, 1).unionByName(shards.load(spark, name))
+    return both.join(F.broadcast(slots), "vslot").groupBy("version", "shard").agg(F.count("*").alias("n_slots"), F.sum("bytes").alias("bytes"))
+
+
+def exact_index_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The live digests after the benchmark's passages were inserted and the toxic documents deleted."""
+    new = spark.read.parquet(f"{sf_dir}/benchmark.parquet").select(F.col("item_id").cast("long").alias("doc_id"), "text")
+    gone = spark.read.parquet(f"{sf_dir}/labels.parquet").where("toxic = 1").select("doc_id")
+    groups = exact.changed_groups(documents(spark, sf_dir).select("doc_id", "text"), new, gone)
+    return groups.select(F.lower(F.hex("digest")).alias("text_sha256"), "keep_id", "group_size")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -74,9 +102,53 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_mixing": op8_mixing,
         "op9_quality_rules": op9_quality_rules,
         "op10_shards": op10_shards,
+        "quality_ablation": quality_ablation,
+        "shards_grown": shards_grown,
+        "exact_index_changes": exact_index_changes,
     }
 
 
+def _position_sql(share: str, schedule: str) -> str:
+    """mixing.position in SQL."""
+    out = f"CASE {schedule}"
+    for k, knots in enumerate(mixing.SCHEDULES):
+        segments, area = mixing._segments(knots)
+        y, cases = f"(({share}) * {area!r}::DOUBLE)", ""
+        for start, t0, f0, slope in reversed(segments):
+            rest = f"greatest({y} - {start!r}::DOUBLE, 0.0::DOUBLE)"
+            here = f"{t0!r}::DOUBLE + " + (f"{rest} / {f0!r}::DOUBLE" if slope == 0 else f"(sqrt(greatest({f0 * f0!r}::DOUBLE + {2 * slope!r}::DOUBLE * {rest}, 0.0::DOUBLE)) - {f0!r}::DOUBLE) / {slope!r}::DOUBLE")
+            cases += f" WHEN {y} >= {start!r}::DOUBLE THEN {here}"
+        out += f" WHEN {k} THEN CASE{cases} END"
+    return out + " END"
+
+
+#: The measurements and bits of every document, as f.
+LEDGER_SQL = r"""
+            WITH d AS (SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+            g AS (SELECT doc_id, i, list_slice(w, i, i + 4) AS five FROM d, unnest(range(1, len(w) - 3)) AS u(i)),
+            dup AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, five) AS c FROM g) WHERE c > 1),
+            r AS (SELECT doc_id, count(*) AS n FROM (SELECT DISTINCT doc_id, i + o AS p FROM dup, range(0, 5) AS x(o)) GROUP BY doc_id),
+            m AS (SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(length(regexp_replace(t, '[\x20\x09-\x0D]+', '', 'g')) AS BIGINT) AS word_chars,
+                         CAST(length(t) - length(translate(t, '#*$%&|<>', '')) AS BIGINT) AS n_symbols,
+                         list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines, coalesce(r.n, 0) AS n_repeat_words
+                  FROM d LEFT JOIN r ON d.doc_id = r.doc_id),
+            b AS (SELECT doc_id, n_words, word_chars, n_symbols, CAST(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines, n_repeat_words, len(lines) AS n_lines FROM m),
+            f AS (SELECT *, CAST((CASE WHEN n_words < 10 THEN 1 ELSE 0 END) + (CASE WHEN 100 * n_repeat_words > 20 * n_words THEN 2 ELSE 0 END) + (CASE WHEN n_symbols > n_words THEN 4 ELSE 0 END)
+                          + (CASE WHEN 2 * n_dup_lines > n_lines THEN 8 ELSE 0 END) + (CASE WHEN word_chars > 40 * n_words THEN 16 ELSE 0 END) AS BIGINT) AS fail_bits FROM b)"""
+
+#: Rows with their checksum and virtual slot (r), slots by size (s), and the map (m), which gives the largest slot to the shard with the least bytes so far.
+SLOT_SQL = r"""
+            WITH RECURSIVE tab AS (SELECT list(list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0], lambda a, x: CASE WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END) ORDER BY i) AS t FROM range(256) AS g(i)),
+            b AS (SELECT doc_id, CAST(strlen(coalesce(text, '')) + 1 AS BIGINT) AS size, list_transform(regexp_extract_all(hex(encode(coalesce(text, ''))), '..'), lambda x: CAST('0x' || x AS BIGINT)) AS bytes FROM documents),
+            e AS (SELECT doc_id, size, xor(list_reduce(list_prepend(4294967295::BIGINT, bytes), lambda a, x: xor(a >> 8, t[CAST(xor(a, x) & 255 AS INT) + 1])), 4294967295) AS text_crc32 FROM b, tab),
+            n AS (SELECT *, row_number() OVER (PARTITION BY doc_id, size, text_crc32) AS nth FROM e),
+            r AS (SELECT *, CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '') || '|' || text_crc32 || '|' || size || '|' || nth), 1, 3) AS INT) AS vslot FROM n),
+            s AS (SELECT vslot, CAST(sum(size) AS BIGINT) AS bytes, row_number() OVER (ORDER BY sum(size) DESC, vslot) AS k FROM r GROUP BY vslot),
+            g AS (SELECT CAST(0 AS BIGINT) AS k, [0::BIGINT, 0, 0, 0, 0, 0, 0, 0, 0, 0, 0, 0, 0, 0, 0, 0] AS loads, -1 AS vslot, CAST(0 AS BIGINT) AS place
+                  UNION ALL SELECT s.k, list_transform(loads, lambda v, i: CASE WHEN i = list_position(loads, list_min(loads)) THEN v + s.bytes ELSE v END), s.vslot, CAST(list_position(loads, list_min(loads)) AS BIGINT) FROM g JOIN s ON s.k = g.k + 1),
+            m AS (SELECT vslot, CAST(place - 1 AS INT) AS shard FROM g WHERE k > 0)"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
         "op1_warc": """
@@ -100,31 +172,36 @@ def oracle_sql() -> dict[str, str]:
             WITH d AS (SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents)
             SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size, doc_id = max(doc_id) OVER w AS kept, sha256(t) AS text_sha256
             FROM d WINDOW w AS (PARTITION BY t)""",
-        "op8_mixing": r"""
-            WITH d AS (SELECT doc_id, source, md5(coalesce(CAST(doc_id AS VARCHAR), '')) AS h, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size FROM documents),
+        "op8_mixing": rf"""
+            WITH d AS (SELECT doc_id, source, md5(coalesce(CAST(doc_id AS VARCHAR), '') || '|' || md5(coalesce(text, ''))) AS h, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size FROM documents),
             s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY source),
             k AS (SELECT *, (row_number() OVER (ORDER BY source ASC NULLS LAST) - 1) % 3 AS k FROM s),
             w AS (SELECT *, CASE k WHEN 0 THEN 3.0::DOUBLE WHEN 1 THEN 1.0::DOUBLE ELSE 2.0::DOUBLE END AS w, CAST(source_size * 2 AS DOUBLE) AS cap, CAST(sum(source_size) OVER () AS DOUBLE) * 1.5::DOUBLE AS total FROM k),
             l AS (SELECT *, (total - coalesce(sum(cap) OVER (ORDER BY cap / w, source ASC NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0.0::DOUBLE))
                           / sum(w) OVER (ORDER BY cap / w, source ASC NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM w),
             m AS (SELECT *, max(CASE WHEN level * w <= cap THEN level END) OVER () AS flat FROM l),
-            t AS (SELECT source, source_size, least(cap, coalesce(flat * w, cap)) AS target FROM m),
-            p AS (SELECT d.doc_id, d.source, d.size, t.source_size, t.target, coalesce(sum(d.size) OVER (PARTITION BY d.source ORDER BY h, d.doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS first
-                  FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
-            SELECT doc_id, source, size, source_size, target,
-                   CAST(least(greatest(CAST(floor(target) AS BIGINT) - first, 0), size) + least(greatest(CAST(floor(target) AS BIGINT) - source_size - first, 0), size) AS BIGINT) AS taken
-            FROM p""",
-        "op9_quality_rules": r"""
-            WITH d AS (SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
-            g AS (SELECT doc_id, i, list_slice(w, i, i + 4) AS five FROM d, unnest(range(1, len(w) - 3)) AS u(i)),
-            dup AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, five) AS c FROM g) WHERE c > 1),
-            r AS (SELECT doc_id, count(*) AS n FROM (SELECT DISTINCT doc_id, i + o AS p FROM dup, range(0, 5) AS x(o)) GROUP BY doc_id),
-            m AS (SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(length(regexp_replace(t, '[\x20\x09-\x0D]+', '', 'g')) AS BIGINT) AS word_chars,
-                         CAST(length(t) - length(translate(t, '#*$%&|<>', '')) AS BIGINT) AS n_symbols,
-                         list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines, coalesce(r.n, 0) AS n_repeat_words
-                  FROM d LEFT JOIN r ON d.doc_id = r.doc_id),
-            b AS (SELECT doc_id, n_words, word_chars, n_symbols, CAST(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines, n_repeat_words, len(lines) AS n_lines FROM m),
-            f AS (SELECT *, CAST((CASE WHEN n_words < 10 THEN 1 ELSE 0 END) + (CASE WHEN 100 * n_repeat_words > 20 * n_words THEN 2 ELSE 0 END) + (CASE WHEN n_symbols > n_words THEN 4 ELSE 0 END)
-                          + (CASE WHEN 2 * n_dup_lines > n_lines THEN 8 ELSE 0 END) + (CASE WHEN word_chars > 40 * n_words THEN 16 ELSE 0 END) AS BIGINT) AS fail_bits FROM b)
-            SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, fail_bits, fail_bits & 3 <> 0 AS base_failed, fail_bits = 0 AS kept FROM f""",
+            t AS (SELECT source, source_size, least(cap, coalesce(flat * w, cap)) AS target, k FROM m),
+            p AS (SELECT d.doc_id, d.source, d.size, t.source_size, t.target, t.k, coalesce(sum(d.size) OVER (PARTITION BY d.source ORDER BY h, d.doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS first
+                  FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
+            q AS (SELECT *, CAST(least(greatest(CAST(floor(target) AS BIGINT) - first, 0), size) AS BIGINT) AS a, CAST(least(greatest(CAST(floor(target) AS BIGINT) - source_size - first, 0), size) AS BIGINT) AS b FROM p)
+            SELECT doc_id, source, size, source_size, target, a + b AS taken, CAST(CASE WHEN a > 0 THEN 1 ELSE 0 END + CASE WHEN b > 0 THEN 1 ELSE 0 END AS BIGINT) AS n_passes,
+                   CASE WHEN a > 0 THEN round({_position_sql('first / target', 'k')}, 9) END AS first_position
+            FROM q""",
+        "op9_quality_rules": rf"""{LEDGER_SQL}
+            SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, fail_bits, fail_bits & 3 <> 0 AS base_failed, fail_bits = 0 AS kept, 'v2' AS policy, fail_bits & 7 = 0 AS kept_v1 FROM f""",
+        "quality_ablation": rf"""{LEDGER_SQL}, p(policy, mask) AS (VALUES ('base', 3), ('v1', 7), ('v2', 31)),
+            bits(rule, bit) AS (VALUES ('few_words', 1), ('repeated_words', 2), ('symbols', 4), ('duplicate_lines', 8), ('word_length', 16))
+            SELECT rule, CAST(sum(CASE WHEN fail_bits & bit <> 0 THEN 1 ELSE 0 END) AS BIGINT) AS n_failed, CAST(sum(CASE WHEN fail_bits & mask = bit THEN 1 ELSE 0 END) AS BIGINT) AS n_only, policy
+            FROM f, p, bits WHERE mask & bit <> 0 GROUP BY policy, rule""",
+        "op10_shards": rf"""{SLOT_SQL},
+            o AS (SELECT *, row_number() OVER (PARTITION BY shard ORDER BY r.vslot, doc_id NULLS FIRST, text_crc32, size, nth) - 1 AS slot FROM r JOIN m ON r.vslot = m.vslot)
+            SELECT doc_id, size, text_crc32, 'bytes' AS law, shard, slot, CAST(NULL AS INT) AS grown_shard, vslot, 1 AS version FROM o""",
+        "shards_grown": rf"""{SLOT_SQL}, z AS (SELECT m.vslot, shard, bytes FROM m JOIN s ON m.vslot = s.vslot),
+            y AS (SELECT *, CASE WHEN sum(bytes) OVER (PARTITION BY shard) - sum(bytes) OVER (PARTITION BY shard ORDER BY bytes DESC, vslot ROWS UNBOUNDED PRECEDING) >= CAST(sum(bytes) OVER () AS DOUBLE) / 17 THEN 16 ELSE shard END AS grown FROM z),
+            v AS (SELECT 1 AS version, shard, bytes FROM y UNION ALL SELECT 2, grown, bytes FROM y)
+            SELECT version, shard, count(*) AS n_slots, CAST(sum(bytes) AS BIGINT) AS bytes FROM v GROUP BY version, shard""",
+        "exact_index_changes": """
+            WITH d AS (SELECT doc_id, text FROM documents WHERE doc_id IS NULL OR doc_id NOT IN (SELECT doc_id FROM labels WHERE toxic = 1 AND doc_id IS NOT NULL) UNION ALL SELECT item_id, text FROM benchmark),
+            t AS (SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM d)
+            SELECT sha256(t) AS text_sha256, max(doc_id) AS keep_id, count(*) AS group_size FROM t GROUP BY t""",
     }

@@ -12,7 +12,7 @@ import tiktoken
 import xxhash
 from pyspark.sql import functions as F
 
-from flowtrail.llm import bpe, exact, licenses, mixing, quality, shards, simhash, toxicity
+from flowtrail.llm import bpe, exact, licenses, linking, mixing, quality, shards, simhash, toxicity
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -62,6 +62,18 @@ def test_quality_ablation_and_keep(docs, none, clashing):
     assert quality.ledger(none).count() == quality.keep(none).count() == 0
 
 
+def test_stored_ledger_answers_policies(docs, monkeypatch):
+    import uuid
+
+    ledger = quality.store(quality.ledger(docs), uuid.uuid4().hex)
+    for policy in quality.POLICIES:
+        same([(r.doc_id, r.kept, r.policy) for r in quality.apply_policy(ledger, policy).collect()], [(r.doc_id, r.kept, policy) for r in quality.apply_policy(quality.ledger(docs), policy).collect()])
+    monkeypatch.setattr(quality, "RULES", (*quality.RULES, ("new", lambda m: m("n_words") > 5)))
+    monkeypatch.setitem(quality.POLICIES, "v3", ("new",))
+    with pytest.raises(Exception, match="older than policy v3"):
+        quality.apply_policy(ledger, "v3").collect()
+
+
 # Exact
 
 
@@ -82,13 +94,38 @@ def test_exact_keeps_one_row_of_each_text(clashing, rows):
     assert Counter(lower(r.text) for r in out.collect()) == Counter({lower(r[1]): 1 for r in rows})
 
 
+def test_exact_verdicts_of_string_ids_and_clashing_names(clashing, rows):
+    name = lambda i: None if i is None else f"d{i}"
+    groups = defaultdict(list)
+    for r in rows:
+        groups[lower(r[1])].append(name(r[0]))
+    got = exact.verdicts(clashing.withColumn("doc_id", F.concat(F.lit("d"), F.col("doc_id")))).collect()
+    same([(r.doc_id, r.keep_id, r.group_size) for r in got], [(name(r[0]), max((i for i in groups[lower(r[1])] if i), default=None), len(groups[lower(r[1])])) for r in rows])
+    assert sum(r.kept for r in got) == len(groups)
+
+
+def test_exact_ids_above_doubles(spark):
+    big = (1 << 60) + 1
+    df = spark.createDataFrame([(big, "a"), (big - 1, "A"), (None, "a")], "doc_id long, text string")
+    assert {(r.keep_id, r.group_size) for r in exact.verdicts(df).collect()} == {(big, 3)}
+
+
+def test_exact_keeps_the_text_where_it_is(spark, clashing, monkeypatch):
+    """Broadcast or not, and with names of the helper columns of a run before, one row of each text stays."""
+    from flowtrail.llm import common
+
+    want = exact.distinct_texts(clashing).count()
+    monkeypatch.setattr(common, "BROADCAST_KEYS", 0)
+    assert exact.distinct_texts(clashing).count() == want
+
+
 def test_cuckoo_index_inserts_deletes_and_resizes():
     index, keys = exact.DigestIndex(), [hashlib.sha256(str(i).encode()).digest() for i in range(5000)]
     for i, k in enumerate(keys):
-        index.add(k, i, 1)
-        index.add(k, i + 10_000, 2)
-    assert index.resizes > 0 and len(index.content) == 5000
-    assert all(index.find(k) == [i + 10_000, 3] for i, k in enumerate(keys))
+        index.add(k, i, i, 1)
+        index.add(k, i + 10_000, i, 2)
+    assert index.resizes > 0 and len(index.content) == 5000 and not index.stash
+    assert all(index.find(k) == [i + 10_000, i, 3] for i, k in enumerate(keys))
     for k in keys[:2500]:
         assert index.remove(k, None, 3)
     assert not index.remove(keys[0], None)
@@ -96,26 +133,33 @@ def test_cuckoo_index_inserts_deletes_and_resizes():
     assert index.false_hits < 50
 
 
-def test_cuckoo_index_with_colliding_keys_and_fingerprints():
+@pytest.mark.parametrize("n", [6, 40])
+def test_cuckoo_index_with_colliding_keys_and_fingerprints(n):
+    """One fingerprint, one pair of bins: more keys than the bins hold are stashed, and all can go again."""
     index = exact.DigestIndex()
-    keys = [b"\x01\x02" + b"\x00" * 6 + bytes([i]) * 24 for i in range(6)]  # one fingerprint, one pair of bins
+    keys = [b"\x01\x02" + b"\x00" * 6 + bytes([i]) * 24 for i in range(n)]
     for i, k in enumerate(keys):
-        index.add(k, i, 1)
-    assert len(index.content) == 6 and index.false_hits >= 5
+        index.add(k, i, i, 1)
+    assert len(index.content) == n and index.false_hits >= 5 and len(index.stash) == max(0, n - 8) and index.resizes < 9
     assert index.find(b"\x01\x02" + b"\x00" * 6 + b"\xff" * 24) is None
+    for k in keys[::2]:
+        assert index.remove(k, None)
+    assert [index.find(k) is not None for k in keys] == [i % 2 == 1 for i in range(n)]
 
 
 def test_index_changes(spark, docs):
-    rows = exact.keyed(docs).select("doc_id", "digest").where("doc_id is not null")
+    rows = exact.table(exact.keyed(docs).where("doc_id is not null"), "t")
     content = exact.build(rows, 80)
     gone = rows.where("doc_id in (6, 79, 3)")
     left = rows.where("doc_id not in (6, 79, 3)")
     new = spark.createDataFrame([(100, "one")], "doc_id long, text string")
-    added = exact.keyed(new).select("doc_id", "digest")
+    added = exact.keyed(new)
     after = exact.change(content, 1, added, gone, left.unionByName(added))
     want = left.unionByName(added).groupBy("digest").agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("group_size"))
     pick = lambda d: sorted((bytes(r.digest), r.keep_id, r.group_size) for r in d.collect())
     assert pick(after) == pick(want)
+    ids = spark.createDataFrame([(6,), (79,), (3,), (None,)], "doc_id long")
+    assert pick(exact.changed_groups(docs.where("doc_id is not null").select("doc_id", "text"), new, ids)) == pick(want)
 
 
 # SimHash
@@ -177,25 +221,49 @@ def test_simhash_links_lose_nothing(spark):
         got = [(r.a, r.b) for r in simhash.links(df, wide).collect()]
         assert len(got) == len(set(got)) and set(got) == want
     roots = component_roots(fps)
-    got = {r.node: r.root for r in simhash.components(simhash.links(df)).collect()}
     groups = lambda m: {frozenset(k for k in m if m[k] == v) for v in m.values()}
     want_groups = {g for g in groups({signed(k): v for k, v in roots.items()}) if len(g) > 1}
-    assert groups(got) == want_groups
-    assert all(min(g) == got[min(g)] for g in want_groups)
+    for wide in (False, True):
+        for got in ({r.node: r.root for r in linking.components(simhash.links(df, wide)).collect()}, {r.node: r.root for r in simhash.connected(df, wide).collect()}):
+            assert groups(got) == want_groups
+            assert all(min(g) == got[min(g)] for g in want_groups)
+
+
+def test_dense_groups_link_without_all_pairs(spark):
+    """A centre and over 400 fingerprints near it: a small part of all linking pairs is ever made."""
+    import itertools
+
+    base = 0x1234_5678_9ABC_DEF0
+    fps = [base, *(base ^ 1 << i for i in range(63)), *(base ^ 1 << i ^ 1 << j for i, j in itertools.islice(itertools.combinations(range(63), 2), 400))]
+    df = spark.createDataFrame([(f,) for f in fps], "fp long")
+    made = []
+    index = simhash._stored(df, simhash._exact, False)
+    fits = lambda x, y: simhash._near(x("fp"), y("fp"), x("start"))
+
+    def links(pairs):
+        made.append(pairs.count())
+        return pairs
+
+    got = {r.node: r.root for r in linking.linked(index, ["start", "key"], "fp", ["fp"], fits, links).collect()}
+    assert set(got) == set(fps) and set(got.values()) == {min(fps)}
+    assert sum(made) < simhash.links(df).count() / 10
 
 
 def test_components_of_long_chains_and_stars(spark):
     chain = [(i, i + 1) for i in range(200)]
     star = [(1000, 1000 + i) for i in range(1, 300)]
-    got = {r.node: r.root for r in simhash.components(spark.createDataFrame(chain + star + [(5, 5)], "a long, b long")).collect()}
+    got = {r.node: r.root for r in linking.components(spark.createDataFrame(chain + star + [(5, 5)], "a long, b long")).collect()}
     assert got == {**{i: 0 for i in range(201)}, **{1000 + i: 1000 for i in range(300)}}
 
 
-def test_simhash_keeps_one_of_each(clashing, rows):
-    out = simhash.one_of_each(clashing)
-    assert out.columns == clashing.columns
-    got = [r.doc_id for r in out.collect()]
-    assert set(got) >= {0, 3, -5} and 1 not in got and 75 not in got
+def test_simhash_groups_of_string_ids_and_clashing_names(clashing, rows):
+    fps = [fingerprint(r[1]) for r in rows]
+    roots, least = component_roots(set(fps)), {}
+    for r, f in zip(rows, fps):
+        if r[0] is not None:
+            least[roots[f]] = min(least.get(roots[f], f"d{r[0]}"), f"d{r[0]}")
+    got = simhash.groups(clashing.withColumn("doc_id", F.concat(F.lit("d"), F.col("doc_id")))).collect()
+    same([(r.doc_id, r.component_id) for r in got], [(r[0] if r[0] is None else f"d{r[0]}", least.get(roots[f])) for r, f in zip(rows, fps)])
 
 
 # Mixing
@@ -214,8 +282,10 @@ def brute_targets(sizes):
         capped |= over
 
 
-def test_mixing(docs, rows, none):
-    mix = mixing.curriculum(docs).collect()
+@pytest.mark.parametrize("table", ["docs", "clashing"])
+def test_mixing(request, rows, none, table):
+    docs = request.getfixturevalue(table)
+    mix = mixing.curriculum(docs).withColumn("taken", mixing.taken()).collect()
     sizes = Counter()
     for r in rows:
         sizes[r[3]] += len(WORD.findall(r[1] or ""))
@@ -224,13 +294,33 @@ def test_mixing(docs, rows, none):
     for r in mix:
         taken[r.source] += r.taken
         assert r.source_size == sizes[r.source] and math.isclose(r.target, goal[r.source], abs_tol=1e-6)
-        assert 0 <= r.taken <= 2 * r.size and len(r.positions) <= 2 and all(0 <= p <= 1 for p in r.positions)
+        assert 0 <= r.taken <= 2 * r.size and len(r.passes) <= 2 and all(0 <= p.time <= 1 and 0 < p.words <= r.size for p in r.passes)
     assert all(taken[s] == math.floor(goal[s] + 1e-9) for s in sizes)
-    again = mixing.curriculum(docs.repartition(7)).collect()
+    same([(r.doc_id, r.size) for r in mix], [(r[0], len(WORD.findall(r[1] or ""))) for r in rows])
+    again = mixing.curriculum(docs.repartition(7)).withColumn("taken", mixing.taken()).collect()
     same([(r.doc_id, r.taken) for r in mix], [(r.doc_id, r.taken) for r in again])
     assert mixing.curriculum(none).count() == 0 and mixing.mixed(none).count() == 0
 
 
+def test_mixing_follows_the_integral_over_time(docs, rows):
+    """By time t a source has given its schedule's integral up to t of its target, whatever t is."""
+    sizes = Counter()
+    for r in rows:
+        sizes[r[3]] += len(WORD.findall(r[1] or ""))
+    goal = brute_targets(dict(sizes))
+    names = sorted((s for s in sizes if s is not None), key=lambda s: [ord(c) for c in s]) + [None]
+    for t in (0.0, 0.3, 0.5, 0.9, 1.0):
+        got = Counter()
+        for r in mixing.curriculum(docs, until=t).withColumn("taken", mixing.taken()).collect():
+            got[r.source] += r.taken
+            assert all(p.time <= t + 1e-9 for p in r.passes)
+        for k, s in enumerate(names):
+            knots, steps = mixing.SCHEDULES[k % 3], 20_000
+            weight = lambda x: next(f0 + (f1 - f0) * (x - a) / (b - a) for (a, f0), (b, f1) in zip(knots, knots[1:]) if a <= x <= b)  # noqa: B023, E731
+            area = [weight((i + 0.5) / steps) for i in range(steps)]
+            assert abs(got[s] - goal[s] * sum(area[: round(t * steps)]) / sum(area)) <= 2
+
+
 def test_positions_invert_the_schedules(spark):
     df = spark.range(0, 101).select((F.col("id") / 100).alias("y"))
     for k, knots in enumerate(mixing.SCHEDULES):
@@ -247,32 +337,86 @@ def test_positions_invert_the_schedules(spark):
             assert math.isclose(share(r.t), r.y, abs_tol=1e-9)
 
 
-def test_mixed_repeats_and_orders(clashing, rows):
-    out = mixing.mixed(clashing)
-    assert out.columns == clashing.columns
-    want = Counter({r.doc_id: len(r.positions) for r in mixing.curriculum(clashing).where("doc_id <> 6").collect()})
-    assert Counter(r.doc_id for r in out.where("doc_id <> 6").collect()) == +want
+def test_mixed_takes_what_the_mix_takes(clashing, rows):
+    """Every row, also those without an id and with equal ids: copies and words are the curriculum's, and texts begin as they were."""
+    out = mixing.mixed(clashing.withColumns({n: F.lit("clash") for n in ("_i", "_s", "_n", "_p", "_at", "_size", "md5", "passes", "at")}))
+    got = out.collect()
+    mix = mixing.curriculum(clashing).withColumn("taken", mixing.taken()).collect()
+    assert Counter(r.doc_id for r in got) == +Counter({i: sum(len(r.passes) for r in mix if r.doc_id == i) for i in {r.doc_id for r in mix}})
+    words_of = Counter()
+    for r in got:
+        words_of[r.source] += len(WORD.findall(r.text))
+        assert r.size == "clash" and r._at == "clash"
+    want = Counter()
+    for r in mix:
+        want[r.source] += r.taken
+    assert words_of == +want
+    texts = [r[1] for r in rows if r[1]]
+    assert sum(r.text not in texts for r in got) <= len(want) and all(any(t.startswith(r.text) for t in texts) for r in got)
+
+
+def test_first_words(spark):
+    t = " a  b\n\tc d "
+    df = spark.range(1, 6).select("id", mixing.first_words(F.lit(t), F.col("id")).alias("t"))
+    assert [r.t for r in df.orderBy("id").collect()] == [" a", " a  b", " a  b\n\tc", " a  b\n\tc d", " a  b\n\tc d"]
 
 
 # Shards
 
 
-def test_shards(docs, rows, none):
-    records, shard_map, slots = shards.shard(docs, 4, 64)
-    got = records.collect()
-    same([(r.doc_id, r.size, r.text_crc32) for r in got], [(r[0], len((r[1] or "").encode()) + 1, zlib.crc32((r[1] or "").encode())) for r in rows])
-    for s in range(4):
+@pytest.mark.parametrize("table", ["docs", "clashing"])
+def test_shards(request, rows, none, table):
+    """Against a plain greedy fold: slots by the key's digest, largest first to the least loaded."""
+    docs = request.getfixturevalue(table)
+    records, shard_map, slots = shards.shard(docs, 16)
+    got, seen, slot_of, load = records.collect(), Counter(), [], Counter()
+    for i, t in sorted(((r[0], r[1]) for r in rows), key=lambda x: (x[0] is not None, x[0] or 0, x[1] or "")):
+        crc, size = zlib.crc32((t or "").encode()), len((t or "").encode()) + 1
+        seen[i, crc, size] += 1
+        v = int(hashlib.md5(f"{'' if i is None else i}|{crc}|{size}|{seen[i, crc, size]}".encode()).hexdigest()[:3], 16)
+        slot_of.append((i, size, crc, v))
+        load[v] += size
+    total, where = [0] * 16, {}
+    for v in sorted(load, key=lambda v: (-load[v], v)):
+        where[v] = total.index(min(total))
+        total[where[v]] += load[v]
+    same([(r.doc_id, r.size, r.text_crc32, r.vslot, r.shard) for r in got], [(*x, where[x[3]]) for x in slot_of])
+    for s in range(16):
         assert sorted(r.slot for r in got if r.shard == s) == list(range(sum(r.shard == s for r in got)))
-    loads = Counter()
-    for r in got:
-        loads[r.shard] += r.size
-    assert max(loads.values()) <= sum(loads.values()) / 4 + max(r.size for r in got)
-    grown = {r.vslot: r.shard for r in shards.grow(shard_map, slots, 4).collect()}
+    grown = {r.vslot: r.shard for r in shards.grow(shard_map, slots, 16).collect()}
     old = {r.vslot: r.shard for r in shard_map.collect()}
-    assert all(grown[v] in (old[v], 4) for v in old) and {r.version for r in shards.grow(shard_map, slots, 4).collect()} == {2}
+    assert all(grown[v] in (old[v], 16) for v in old) and {r.version for r in shards.grow(shard_map, slots, 16).collect()} == {2}
     assert shards.shard(none)[0].count() == 0
 
 
+def test_shards_of_rows_without_ids_and_of_equal_rows(spark):
+    df = spark.createDataFrame([(None, f"text {i}") for i in range(3000)] + [(7, "same")] * 2000 + [(None, None)] * 1000, "doc_id long, text string")
+    loads = Counter()
+    records = shards.shard(df, 4)[0].collect()
+    for r in records:
+        loads[r.shard] += r.size
+    assert len(records) == 6000 and max(loads.values()) <= 1.02 * min(loads.values())
+
+
+def test_stored_maps_are_edited_and_versioned(spark):
+    """A named map is loaded and edited for new sizes; slots that can stay do, and a fitting map stays as it is."""
+    import uuid
+
+    name = uuid.uuid4().hex
+    text = lambda n: F.repeat(F.lit("x"), (F.col("id") % n).cast("int"))
+    first = spark.range(20_000).select(F.col("id").alias("doc_id"), text(50).alias("text"))
+    _, one, _ = shards.shard(first, name=name)
+    assert {r.version for r in one.collect()} == {1}
+    assert {r.version for r in shards.shard(first, name=name)[1].collect()} == {1}
+    more = first.unionByName(spark.range(20_000, 26_000).select(F.col("id").alias("doc_id"), F.repeat(F.lit("y"), F.when(F.col("id") % 16 == 3, 400).otherwise(1)).alias("text")))
+    records, two, _ = shards.shard(more, name=name)
+    loads = [r.b for r in records.groupBy("shard").agg(F.sum("size").alias("b")).collect()]
+    assert {r.version for r in two.collect()} == {2} and len(loads) == 16 and max(loads) <= 1.02 * min(loads)
+    before, after = ({r.vslot: r.shard for r in m.collect()} for m in (one, two))
+    assert sum(before[v] == after[v] for v in before) > 0.5 * len(before) and set(before) <= set(after)
+    assert {r.vslot: r.shard for r in shards.load(spark, name, 1).collect()} == before
+
+
 def test_shards_are_near_equal(spark):
     df = spark.range(20_000).select(F.col("id").alias("doc_id"), F.repeat(F.lit("x"), (F.col("id") % 50).cast("int")).alias("text"))
     loads = [r.b for r in shards.shard(df)[0].groupBy("shard").agg(F.sum("size").alias("b")).collect()]

@@ -2,8 +2,8 @@
 
 Members that may link share a bucket. In each bucket the first member is the pivot, and every other is
 compared with it: as many pairs as members. Buckets whose members are then in one component need nothing
-more. While the others would need many more pairs than they have members, they get another pivot each. At
-last each member outside its bucket's largest component is compared with those of other components. So
+more. While the others would need many more pairs than they have members, and pivots settle most of them,
+they get another pivot each. At last each member outside its bucket's largest component is compared with those of other components. So
 a dense group costs about as much as its members, and no link between components is lost: of two linked
 members in different components at least one is outside the bucket's largest.
 """
@@ -25,23 +25,24 @@ def components(edges: DataFrame) -> DataFrame:
 
     Alternates large-star and small-star steps; each works on (node, neighbour) rows with partial
     minima, so a node with very many neighbours is no single task's group. A loop of a node is no edge.
+    One table is written for each iteration, and the one before removed.
     """
     ordered = lambda a, b: (F.greatest(a, b).alias("a"), F.least(a, b).alias("b"))
     edges = table(edges.where("a <> b").select(*ordered("a", "b")).distinct(), "cc")
-    state = None
     while True:
+        # Done once every node is either a root or has one edge, to a root.
+        nodes = edges.select(F.col("a").alias("v"), F.lit(1).alias("up"), F.lit(0).alias("down")).unionByName(edges.select(F.col("b").alias("v"), F.lit(0).alias("up"), F.lit(1).alias("down")))
+        open_nodes = nodes.groupBy("v").agg(F.sum("up").alias("up"), F.max("down").alias("down")).where((F.col("up") > 1) | (F.col("up") == 1) & (F.col("down") == 1))
+        if not open_nodes.limit(1).count():
+            roots = edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
+            return roots.unionByName(roots.select(F.col("root").alias("node"), "root").distinct())
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-        large = table(both.where("b > a").join(low, "a").where("b <> m").select(*ordered("b", "m")).distinct(), "cc")
+        large = both.where("b > a").join(low, "a").where("b <> m").select(*ordered("b", "m")).distinct()
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(low, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(low.select("a", F.col("m").alias("b")))
         previous, edges = edges, table(small.select(*ordered("a", "b")).where("a <> b").distinct(), "cc")
-        forget(previous, large)
-        now = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if now == state:
-            roots = edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
-            return roots.unionByName(roots.select(F.col("root").alias("node"), "root").distinct())
-        state = now
+        forget(previous)
 
 
 #: Pairs for each row of the index up to which what the pivots left apart is compared, and rounds of pivots at most.
@@ -62,7 +63,7 @@ def linked(index: DataFrame, bucket: list[str], member: str, order: list[str], f
 
     sizes = index.groupBy(*bucket).agg(F.count("*").alias("n")).where("n > 1").drop("n")
     rest = table(index.join(sizes, bucket), "link-index")
-    columns, made, found, roots = [c for c in rest.columns if c not in bucket], None, None, None
+    columns, made, roots, rows = [c for c in rest.columns if c not in bucket], None, None, rest.count()
     for k in range(ROUNDS):
         first = F.struct(*order, *[c for c in columns if c not in order]) if k == 0 else F.struct(F.xxhash64(member, F.lit(k)), *columns)
         names = [f.name for f in rest.select(first.alias("p")).schema["p"].dataType.fields]
@@ -71,24 +72,29 @@ def linked(index: DataFrame, bucket: list[str], member: str, order: list[str], f
         pairs = table(pairs.join(made, ["a", "b"], "left_anti") if made is not None else pairs, "link-pairs")
         made = pairs if made is None else made.unionByName(pairs)
         new = compare(pairs)
-        found = new if found is None else found.unionByName(new)
-        roots = table(components(found), "link-roots")
+        roots = table(components(new if roots is None else new.unionByName(_edges(roots))), "link-roots")
         # An index row carries its component; buckets with one only are done.
         rooted = rest.select(*bucket, *columns).join(roots.withColumnRenamed("node", member), member, "left").withColumn("root", F.coalesce("root", member))
         tally = rooted.groupBy(*bucket, "root").agg(F.count("*").alias("n"))
         mixed = tally.groupBy(*bucket).agg(F.max(F.struct("n", "root")).alias("top"), F.count("*").alias("roots"), F.sum("n").alias("all")).where("roots > 1")
         previous, rest = rest, table(rooted.join(mixed.select(*bucket, F.col("top.root").alias("largest"), (F.col("all") - F.col("top.n")).alias("apart")), bucket), "link-rest")
         forget(previous)
-        rows, pairs_left = rest.agg(F.count("*"), F.coalesce(F.sum(F.col("apart").cast("double")), F.lit(0.0))).first()
-        if pairs_left <= PAIRS_A_ROW * rows:
+        before, (rows, pairs_left) = rows, rest.agg(F.count("*"), F.coalesce(F.sum(F.col("apart").cast("double")), F.lit(0.0))).first()
+        if pairs_left <= PAIRS_A_ROW * rows or 2 * rows > before:
             break
+    if not rows:
+        return roots
 
     pairs = rest.where("root <> largest").alias("x").join(rest.alias("y"), together & (F.col("x.root") != F.col("y.root")))
     if links:
         pairs = table(pairs.select(*ordered(f"x.{member}", f"y.{member}")).distinct().join(made, ["a", "b"], "left_anti"), "link-pairs")
     else:  # one link to each other component is enough
         pairs = pairs.groupBy(F.col(f"x.{member}").alias("a"), F.col("y.root").alias("other")).agg(F.min(f"y.{member}").alias("b")).select(*ordered("a", "b")).distinct()
-    return table(components(found.unionByName(compare(pairs))), "link-roots")
+    return table(components(_edges(roots).unionByName(compare(pairs))), "link-roots")
+
+
+def _edges(roots: DataFrame) -> DataFrame:
+    return roots.select(F.col("root").alias("a"), F.col("node").alias("b"))
 
 
 def _all(conditions: list[Column]) -> Column:

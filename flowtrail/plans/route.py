@@ -61,8 +61,10 @@ def route(df: DataFrame, rules, default: str = "direct", sniff: Callable[[DataFr
             if len(cases) >= CASE_RULES:  # a longer CASE does not compile
                 out = settle(out)
             cases.append((compile_rule(Context.of(out, **kw), rule)[0], k))
-        changes = action["action"] in ("route-options", "sniff", "resolve") or "override_address" in action or "override_port" in action
-        if not changes or action["action"] in DECIDING:
+            continue
+        if action["action"] not in ("route-options", "sniff", "resolve", "bypass"):
+            continue
+        if action["action"] in ("route-options", "bypass") and not OVERRIDES & set(action):
             continue
         out = settle(out)
         hit = F.col("rule_idx").isNull() & compile_rule(Context.of(out, **kw), rule)[0]
@@ -72,22 +74,34 @@ def route(df: DataFrame, rules, default: str = "direct", sniff: Callable[[DataFr
                 filled = fill(out.withColumn("_hit", hit))
                 out = filled.drop("_hit")
             continue
-        changed = {}
-        if "override_address" in action:
-            changed["dst_ip"] = F.when(hit, F.lit(action["override_address"]).cast(out.schema["dst_ip"].dataType)).otherwise(F.col("dst_ip"))
-            if "addresses" in out.columns:
-                changed["addresses"] = F.when(~hit, F.col("addresses"))
-        if "override_port" in action:
-            changed["dst_port"] = F.when(hit, F.lit(action["override_port"])).otherwise(F.col("dst_port"))
-        out = out.withColumns(changed)
+        out = overridden(out, hit, action)
     out = settle(out)
+    # What decides a row changes it too; only rows that it decides, so the order of these does not matter.
+    for k, rule in enumerate(rules):
+        if decides(rule) and OVERRIDES & set(rule.action):
+            out = overridden(out, F.coalesce(F.col("rule_idx") == k, F.lit(False)), rule.action)
     return named(out, rules, default)
 
 
+OVERRIDES = {"override_address", "override_port"}
+
+
+def overridden(df: DataFrame, hit: Column, action: dict) -> DataFrame:
+    """df with the destination that an action names, in the rows it hits."""
+    changed = {}
+    if "override_address" in action:
+        changed["dst_ip"] = F.when(hit, F.lit(action["override_address"]).cast(df.schema["dst_ip"].dataType)).otherwise(F.col("dst_ip"))
+        if "addresses" in df.columns:
+            changed["addresses"] = F.when(~hit, F.col("addresses"))
+    if "override_port" in action:
+        changed["dst_port"] = F.when(hit, F.lit(action["override_port"])).otherwise(F.col("dst_port"))
+    return df.withColumns(changed)
+
+
 def named(df: DataFrame, rules, default: str) -> DataFrame:
-    """Adds action, outbound and rule to rows with rule_idx."""
-    table = [(r.action["action"], r.action.get("outbound") or default, describe(r)) for r in rules]
-    look = lambda i, other: F.when(F.col("rule_idx").isNull(), F.lit(other)).otherwise(F.get(F.array(*[F.lit(t[i]) for t in table]), F.col("rule_idx"))) if table else F.lit(other)
+    """Adds action, outbound and rule to rows with rule_idx. Where no rule decided, the default outbound is used; reject and hijack-dns have none."""
+    table = [(r.action["action"], r.action.get("outbound") or (default if r.action["action"] == "route" else None), describe(r)) for r in rules]
+    look = lambda i, other: F.when(F.col("rule_idx").isNull(), F.lit(other)).otherwise(F.get(F.array(*[F.lit(t[i]).cast("string") for t in table]), F.col("rule_idx"))) if table else F.lit(other)
     return df.withColumns({"action": look(0, "route"), "outbound": look(1, default), "rule": look(2, "")})
 
 
@@ -111,7 +125,7 @@ def by_lookup(df: DataFrame, rules, row_id: str, default: str = "direct") -> Dat
     from .compile import SETS
     from .rules import RuleError, port_bounds
 
-    spark, equal, suffixes, ranges = df.sparkSession, [], [], []
+    spark, equal, suffixes, ranges, ports = df.sparkSession, [], [], [], []
     for k, rule in enumerate(rules):
         names = set(getattr(rule, "fields", {}))
         if not names or rule.invert or len(names) > 1 and not names <= {"domain", "domain_suffix", "ip_cidr"} and not names <= {"port", "port_range"}:
@@ -124,7 +138,7 @@ def by_lookup(df: DataFrame, rules, row_id: str, default: str = "direct") -> Dat
             elif name == "ip_cidr":
                 ranges += [(lo, hi, k) for _, lo, hi in map(prefix_range, rule.get(name))]
             elif name == "port_range":
-                equal += [("dst_port", str(p), k) for v in rule.get(name) for p in range(port_bounds(v)[0], port_bounds(v)[1] + 1)]
+                ports += [(*port_bounds(v), k) for v in rule.get(name)]
             elif name == "domain":
                 equal += [("host", v.lower(), k) for v in rule.get(name)]
             elif name in SETS:
@@ -141,6 +155,11 @@ def by_lookup(df: DataFrame, rules, row_id: str, default: str = "direct") -> Dat
         hits.append(suffix_join(df.select(row_id, "host"), spark.createDataFrame(suffixes, "suffix string, idx int")).select(row_id, "idx"))
     if ranges:
         hits.append(range_join(df.select(row_id, "dst_ip"), spark.createDataFrame(ranges, "lo long, hi long, idx int"), "dst_ip").select(row_id, "idx"))
+    if ports:
+        # A port range touches 256 buckets of 256 ports at most.
+        low = F.explode(F.sequence(F.shiftright("lo", 8), F.shiftright("hi", 8)))
+        table = spark.createDataFrame(ports, "lo int, hi int, idx int").where("lo <= hi").select("*", low.alias("bucket"))
+        hits.append(df.select(row_id, "dst_port", F.shiftright("dst_port", 8).alias("bucket")).join(small(table), "bucket").where(F.col("dst_port").between(F.col("lo"), F.col("hi"))).select(row_id, "idx"))
     best = None
     for h in hits:
         best = h if best is None else best.unionByName(h)

@@ -79,7 +79,8 @@ ROUTE_SQL = f"""CASE WHEN inbound = 'error' AND network = 'udp' THEN 0
     WHEN inbound IN ('click', 'view') AND NOT dst_port IN (100, 200, 300, 4200) THEN 2
     WHEN {in_prefixes("src_ip", ["10.0.128.0/17"])} THEN 4
     WHEN network = 'tcp' AND (dst_port BETWEEN 0 AND 999 OR dst_port BETWEEN 9000 AND 9900) THEN 5 END"""
-OUTBOUND_SQL = "CASE rule_idx WHEN 1 THEN 'a' WHEN 2 THEN 'b' WHEN 5 THEN 'c' ELSE 'direct' END"
+#: Rejected and hijacked connections leave by no outbound; only those that no rule decides leave by the default.
+OUTBOUND_SQL = "CASE WHEN rule_idx = 1 THEN 'a' WHEN rule_idx = 2 THEN 'b' WHEN rule_idx = 5 THEN 'c' WHEN rule_idx IS NULL THEN 'direct' END"
 
 
 def routed(spark, sf_dir) -> DataFrame:
@@ -117,6 +118,15 @@ def route_first_match_join(spark, sf_dir):
     return route.by_lookup(flows(spark, sf_dir), [parse_rule(r) for r in LOOKUPS], "id").select("id", "rule_idx")
 
 
+@query(f"""WITH {FLOWS}, s AS (SELECT id, dst_port, inbound, CASE WHEN dst_port < 1000 THEN 0 WHEN inbound = 'view' THEN 1 WHEN inbound = 'error' THEN 2 END AS rule_idx FROM flows)
+    SELECT id, rule_idx, CASE rule_idx WHEN 0 THEN 8080 WHEN 1 THEN 53 ELSE dst_port END AS dst_port, CASE WHEN rule_idx = 0 THEN 'a' WHEN rule_idx = 1 THEN 'b' WHEN rule_idx IS NULL THEN 'direct' END AS outbound,
+    CASE rule_idx WHEN 0 THEN 'route' WHEN 1 THEN 'bypass' WHEN 2 THEN 'reject' ELSE 'route' END AS action FROM s""")
+def route_overrides(spark, sf_dir):
+    """Rules that decide change the destination as well; a rejected connection has no outbound."""
+    rules = [{"port_range": ":999", "outbound": "a", "override_port": 8080}, {"inbound": "view", "action": "bypass", "outbound": "b", "override_port": 53}, {"inbound": "error", "action": "reject"}]
+    return route.route(flows(spark, sf_dir), [parse_rule(r) for r in rules]).select("id", "rule_idx", "dst_port", "outbound", "action")
+
+
 @query(f"""WITH {FLOWS}, s AS (SELECT id, dst_port, nullif(inbound, 'click') AS inbound, network, CASE WHEN network = 'udp' AND dst_port = 4400 THEN 80 ELSE dst_port END AS port FROM flows)
     SELECT id, CASE WHEN coalesce(inbound = 'view', false) AND port < 1000 THEN 1 WHEN port = 80 THEN 2 WHEN NOT coalesce(inbound = 'error', false) THEN 3 END AS rule_idx, port AS dst_port FROM s""")
 def route_staged(spark, sf_dir):
@@ -372,8 +382,13 @@ def timeline_deltas(spark, sf_dir):
 
 # Usage
 
-PRICES = [("^large-2(?:-|$)", {"input": 5.0, "output": 25.0, "cache_read": 0.5, "cache_5m": 6.25, "cache_1h": 10.0, "premium": {"input": 10.0, "output": 37.5, "cache_read": 1.0, "cache_5m": 12.5, "cache_1h": 20.0}}), ("^large", {"input": 15.0, "output": 75.0, "cache_read": 1.5, "cache_5m": 18.75, "cache_1h": 30.0}), ("^small-[01]$", {"input": 0.25, "output": 1.25, "cache_read": 0.03, "cache_5m": 0.3, "cache_1h": 0.5})]
-OTHERS = {"input": 3.0, "output": 15.0, "cache_read": 0.3, "cache_5m": 3.75, "cache_1h": 6.0}
+#: Invented prices for a million tokens.
+PRICES = [
+    ("^large-2(?:-|$)", {"input": 4.5, "output": 21.0, "cache_read": 0.7, "cache_5m": 5.25, "cache_1h": 8.5, "premium": {"input": 8.0, "output": 31.5, "cache_read": 1.3, "cache_5m": 9.75, "cache_1h": 16.5}}),
+    ("^large", {"input": 11.0, "output": 52.0, "cache_read": 1.2, "cache_5m": 13.5, "cache_1h": 23.0}),
+    ("^small-[01]$", {"input": 0.4, "output": 1.7, "cache_read": 0.06, "cache_5m": 0.55, "cache_1h": 0.9}),
+]
+OTHERS = {"input": 2.2, "output": 9.5, "cache_read": 0.35, "cache_5m": 2.9, "cache_1h": 4.7}
 REQUESTS = """q AS (SELECT CASE l_partkey % 4 WHEN 0 THEN 'large-2-x' WHEN 1 THEN 'large-3' WHEN 2 THEN 'small-1' ELSE 'other' END AS model, CASE WHEN l_linenumber % 2 = 0 THEN 1000000 ELSE 200000 END AS context_window,
     CASE WHEN l_suppkey % 5 = 0 THEN 0 ELSE CAST(epoch(l_shipdate) AS BIGINT) // 604800 * 604800 END AS week_start, CASE WHEN o_custkey % 10 = 0 THEN '' ELSE 'u' || (o_custkey % 10) END AS user,
     CAST(l_quantity AS BIGINT) * 100 AS input_tokens, CAST(l_quantity AS BIGINT) * 13 AS output_tokens, l_orderkey % 500 AS cache_read_tokens, CASE WHEN l_linenumber % 3 = 0 THEN 0 ELSE l_partkey % 70 END AS cache_5m_tokens,

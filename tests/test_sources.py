@@ -9,10 +9,24 @@ from flowtrail.plans.compile import predicate
 from flowtrail.plans.rules import RuleError, RuleSet, parse_rule, parse_rule_set, rule_set_json
 from flowtrail.sources import binary, filterlist, tables
 
-LINES = ["||sagernet.org^$important", "@@|sing-box.sagernet.org^$important", "||example.org^", "|example.com^", "example.net^", "||example.edu", "||example.edu.tw^", "|example.gov", "example.arpa", "@@|sagernet.example.org^"]
-BLOCKED = """example.org www.example.org example.com example.net isexample.net www.example.net example.edu example.edu.cn example.edu.tw www.example.edu www.example.edu.cn example.gov example.gov.cn example.arpa
-    www.example.arpa isexample.arpa example.arpa.cn www.example.arpa.cn isexample.arpa.cn sagernet.org www.sagernet.org""".split()
-FREE = """example.org.cn notexample.org example.com.cn www.example.com.cn example.net.cn notexample.edu notexample.edu.cn www.example.gov notexample.gov sagernet.example.org sing-box.sagernet.org""".split()
+#: A line of each shape and, for each, hosts at, above, below and beside it.
+LINES = ["||ads.test^$important", "@@|ok.ads.test^$important", "||track.test^", "|exact.test^", "tail.test^", "||open.test", "||open.test.zz^", "|front.test", "middle.test", "@@|free.track.test^"]
+
+
+def blocked(host):
+    """What LINES say of a host, in plain string tests."""
+    under = lambda d: host == d or host.endswith("." + d)
+    if host == "ok.ads.test":
+        return False
+    if under("ads.test"):
+        return True
+    if host == "free.track.test":
+        return False
+    at_label = lambda t: host.startswith(t) or "." + t in host
+    return under("track.test") or host == "exact.test" or host.endswith("tail.test") or at_label("open.test") or under("open.test.zz") or host.startswith("front.test") or "middle.test" in host
+
+
+HOSTS = [pre + name + post for name in ("ads.test", "ok.ads.test", "track.test", "free.track.test", "exact.test", "tail.test", "open.test", "open.test.zz", "front.test", "middle.test", "other.test") for pre in ("", "www.", "not", "a.b.") for post in ("", ".zz")]
 
 
 def lines(spark, xs):
@@ -21,21 +35,22 @@ def lines(spark, xs):
 
 def test_filter_list(spark):
     parsed = filterlist.parse(lines(spark, LINES))
-    hosts = spark.createDataFrame([(h,) for h in BLOCKED + FREE], "host string")
-    assert {r.host: r.blocked for r in filterlist.match(hosts, parsed).collect()} == {**dict.fromkeys(BLOCKED, True), **dict.fromkeys(FREE, False)}
+    hosts, want = spark.createDataFrame([(h,) for h in HOSTS], "host string"), {h: blocked(h) for h in HOSTS}
+    assert 20 < sum(want.values()) < len(want) - 20
+    assert {r.host: r.blocked for r in filterlist.match(hosts, parsed).collect()} == want
     rule = filterlist.to_rule(parsed)
     m = predicate(hosts, parse_rule(rule, headless=True))
-    assert {r.host: r.m for r in hosts.select("host", m.alias("m")).collect()} == {**dict.fromkeys(BLOCKED, True), **dict.fromkeys(FREE, False)}
+    assert {r.host: r.m for r in hosts.select("host", m.alias("m")).collect()} == want
     assert sorted(filterlist.from_rule(rule)) == sorted(LINES)
     with pytest.raises(RuleError):
         filterlist.from_rule({"port": 1})
 
 
-@pytest.mark.parametrize("xs, blocked, free", [(["127.0.0.1 localhost", "::1 localhost #[IPv6]", "0.0.0.0 google.com"], ["google.com"], ["www.google.com", "notgoogle.com", "localhost"]), (["example.com", "www.example.org"], ["example.com", "www.example.org"], ["www.example.com", "example.org", "notexample.com"])])
-def test_hosts_lines_and_raw_domains(spark, xs, blocked, free):
-    hosts = spark.createDataFrame([(h,) for h in blocked + free], "host string")
+@pytest.mark.parametrize("xs, hit, free", [(["192.168.7.7 router", "fe80::7 router #note", "0.0.0.0 pop.test"], ["pop.test"], ["x.pop.test", "mypop.test", "router"]), (["a.raw.test", "raw2.test"], ["a.raw.test", "raw2.test"], ["raw.test", "b.raw2.test", "xraw2.test"])])
+def test_hosts_lines_and_raw_domains(spark, xs, hit, free):
+    hosts = spark.createDataFrame([(h,) for h in hit + free], "host string")
     got = {r.host: r.blocked for r in filterlist.match(hosts, filterlist.parse(lines(spark, xs))).collect()}
-    assert got == {**dict.fromkeys(blocked, True), **dict.fromkeys(free, False)}
+    assert got == {**dict.fromkeys(hit, True), **dict.fromkeys(free, False)}
 
 
 def test_dropped_lines(spark):

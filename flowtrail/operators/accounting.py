@@ -54,6 +54,20 @@ def user_stats(connections: DataFrame) -> DataFrame:
     )
 
 
+def with_all_users(stats: DataFrame) -> DataFrame:
+    """user_stats() and one row more, without a user: the sums over every user, the blank one included."""
+    sums = [F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in stats.columns if c != "user"]
+    return stats.unionByName(stats.agg(*sums).withColumn("user", F.lit(None).cast("string")))
+
+
+def counter(counted: DataFrame, name: str) -> int:
+    """The value of one counter; a name that isn't counted is an error."""
+    found = counted.where(F.col("name") == name).limit(1).collect()
+    if not found:
+        raise KeyError(f"no such counter: {name}")
+    return found[0].value
+
+
 def pruned(stats: DataFrame, users: DataFrame) -> DataFrame:
     """Only the users that are listed (column user)."""
     return stats.join(users.select("user").distinct(), "user", "left_semi")

@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import heapq
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions.scalar import java_regex
+from ..session import written
+
 #: Lookup tables up to this many rows are broadcast; larger ones are joined by shuffle.
 BROADCAST_ROWS = 100_000
 
@@ -38,7 +43,13 @@ def first_suffix(df: DataFrame, suffixes: DataFrame, row_id: str, host: str = "h
 
 
 def disjoint(ranges: DataFrame) -> DataFrame:
-    """Ranges (lo, hi, code) of IPv4 prefixes, nested or not, as disjoint ranges in which the narrowest prefix holds."""
+    """Ranges (lo, hi, code) of IPv4 prefixes, nested or not, as disjoint ranges in which the narrowest prefix holds.
+
+    A table of up to BROADCAST_ROWS ranges, which is counted, is swept on the driver; a larger one by joins.
+    """
+    some = ranges.select("lo", "hi", "code").limit(BROADCAST_ROWS + 1).collect()
+    if len(some) <= BROADCAST_ROWS:
+        return ranges.sparkSession.createDataFrame(_swept(some), ranges.select("lo", "hi", "code").schema)
     points = ranges.select(F.col("lo").alias("p")).unionByName(ranges.select((F.col("hi") + 1).alias("p"))).distinct()
     keyed = _level(points.withColumn("_x", F.col("p")), "_x")
     owner = keyed.join(_buckets(ranges), ["level", "bucket"]).where(F.col("p").between(F.col("lo"), F.col("hi"))).groupBy("p").agg(F.min_by("code", F.struct(F.col("hi") - F.col("lo"), "code")).alias("code"))
@@ -46,6 +57,20 @@ def disjoint(ranges: DataFrame) -> DataFrame:
     return _with_next(points).join(owner, "p").select(F.col("p").alias("lo"), (F.col("next") - 1).alias("hi"), "code")
 
 
+def _swept(ranges) -> list[tuple]:
+    """disjoint() in one pass over the ranges' ends; the heap's top is the narrowest range that is still open."""
+    starts, points, k, held, out = sorted(ranges, key=lambda r: r.lo), sorted({r.lo for r in ranges} | {r.hi + 1 for r in ranges}), 0, [], []
+    for at, nxt in zip(points, points[1:]):
+        while k < len(starts) and starts[k].lo <= at:
+            heapq.heappush(held, (starts[k].hi - starts[k].lo, starts[k].code, starts[k].hi))
+            k += 1
+        while held and held[0][2] < at:
+            heapq.heappop(held)
+        if held:
+            out.append((at, nxt - 1, held[0][1]))
+    return out
+
+
 def _with_next(points: DataFrame) -> DataFrame:
     w = Window.partitionBy(F.shiftright("p", 20)).orderBy("p")
     firsts = points.groupBy(F.shiftright("p", 20).alias("part")).agg(F.min("p").alias("first"))
@@ -84,6 +109,38 @@ def range_join(df: DataFrame, ranges: DataFrame, address: str) -> DataFrame:
     return keyed.join(small(_buckets(ranges)), ["level", "bucket"]).where(F.col(address).between(F.col("lo"), F.col("hi"))).drop("level", "bucket")
 
 
+#: Digits of a key by which ranges are dealt: the most in which both ends agree.
+DIGITS = (0, 2, 4, 6, 8, 12, 16, 24)
+
+
+def key_range_join(df: DataFrame, ranges: DataFrame, address: str) -> DataFrame:
+    """Every (row, range) with the address's key (functions/net.py: IPv4 and IPv6) in [lo, hi] of its family.
+
+    A range has one bucket: its family and the digits that both its ends begin with. An address asks for
+    one bucket a level, so this is an equi-join whatever the family.
+    """
+    family = lambda c: F.when(F.length(c) == 8, "4").otherwise("6")
+    of = lambda c, n: F.concat(family(c), F.lit(f":{n}:"), F.substring(c, 1, n))
+    bucket = of("lo", 0)
+    for n in DIGITS[1:]:
+        bucket = F.when((F.substring("lo", 1, n) == F.substring("hi", 1, n)) & (F.length("lo") >= n), of("lo", n)).otherwise(bucket)
+    keyed = df.where(F.col(address).isNotNull()).select("*", F.explode(F.array(*[of(address, n) for n in DIGITS])).alias("_bucket"))
+    return keyed.join(small(ranges.select("*", bucket.alias("_bucket"))), "_bucket").where(F.col(address).between(F.col("lo"), F.col("hi"))).drop("_bucket")
+
+
+def country_of(df: DataFrame, ranges: DataFrame, row_id: str, address: str, default: str = "unknown") -> DataFrame:
+    """row_id and code of the narrowest prefix (lo, hi keys, code) that holds the address of either family; `default` if none does."""
+    hits = key_range_join(df.select(row_id, address), ranges, address)
+    # Of prefixes around one address the narrowest begins last; of those that begin together it is the first to end.
+    best = hits.groupBy(row_id).agg(F.max_by("code", F.struct("lo", F.translate("hi", "0123456789abcdef", "fedcba9876543210").alias("end"), "code")).alias("code"))
+    return df.select(row_id).join(best, row_id, "left").select(row_id, F.coalesce("code", F.lit(default)).alias("code"))
+
+
+def networks_by_country(networks: DataFrame) -> DataFrame:
+    """code and its prefixes, sorted, as a rule of a rule set has them (prefix, code)."""
+    return networks.groupBy("code").agg(F.sort_array(F.collect_set("prefix")).alias("ip_cidr"))
+
+
 def asof_join(df: DataFrame, mapping: DataFrame, key: str, at: str = "ts") -> DataFrame:
     """df with value: the latest mapping (key, at, value, ttl_s) of its key at or before its time, null once that has expired.
 
@@ -98,20 +155,22 @@ def asof_join(df: DataFrame, mapping: DataFrame, key: str, at: str = "ts") -> Da
     return both.select("_row.*", F.when(alive, F.col("_last.value")).alias("value"))
 
 
-def resolve_chain(groups: DataFrame, max_steps: int = 6) -> DataFrame:
-    """tag, leaf and chain (the tags passed, from tag to leaf) for every group (tag, now).
+def resolve_chain(groups: DataFrame) -> DataFrame:
+    """tag, leaf, chain (the tags passed, from tag to leaf) and cycle for every group (tag, now; tag unique).
 
-    Each step doubles the distance, so max_steps reaches 2^max_steps groups deep. A group in a cycle has
-    no leaf.
+    Each step doubles the distance, until no group moves or more steps were made than there are groups: what
+    still stands on a group then leads into a cycle and has neither leaf nor chain. Each step is a written
+    table, so the plan stays as long as one step.
     """
-    hint = F.broadcast if groups.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else lambda x: x  # every step has as many rows
-    cur = groups.select("tag", F.col("now").alias("leaf"), F.array("tag", "now").alias("chain"))
-    for _ in range(max_steps):
+    tags = groups.select(F.col("tag").alias("leaf"), F.lit(True).alias("_group"))
+    cur, n, reach = groups.select("tag", F.col("now").alias("leaf"), F.array("tag", "now").alias("chain")), groups.count(), 1
+    open_ones = lambda d: d.join(small(tags), "leaf", "left_semi")
+    while reach <= n and open_ones(cur).limit(1).count():
         nxt = cur.select(F.col("tag").alias("leaf"), F.col("leaf").alias("_leaf"), F.col("chain").alias("_chain"))
-        cur = cur.join(hint(nxt), "leaf", "left").select("tag", F.coalesce("_leaf", "leaf").alias("leaf"), F.when(F.col("_leaf").isNull(), F.col("chain")).otherwise(F.concat("chain", F.slice("_chain", 2, 1 << 30))).alias("chain"))
-    still = groups.select(F.col("tag").alias("leaf"), F.lit(True).alias("_group"))
-    out = cur.join(hint(still), "leaf", "left")
-    return out.select("tag", F.when(F.col("_group").isNull(), F.col("leaf")).alias("leaf"), F.when(F.col("_group").isNull(), F.col("chain")).alias("chain"))
+        step = cur.join(small(nxt), "leaf", "left").select("tag", F.coalesce("_leaf", "leaf").alias("leaf"), F.when(F.col("_leaf").isNull(), F.col("chain")).otherwise(F.concat("chain", F.slice("_chain", 2, 1 << 30))).alias("chain"))
+        cur, reach = written(step, "chain"), 2 * reach
+    out = cur.join(small(tags), "leaf", "left").withColumn("cycle", F.coalesce("_group", F.lit(False)))
+    return out.select("tag", F.when(~F.col("cycle"), F.col("leaf")).alias("leaf"), F.when(~F.col("cycle"), F.col("chain")).alias("chain"), "cycle")
 
 
 def hosts_lookup(df: DataFrame, hosts: DataFrame, name: str = "host") -> DataFrame:
@@ -125,19 +184,48 @@ def hosts_lookup(df: DataFrame, hosts: DataFrame, name: str = "host") -> DataFra
 DOMAIN, SUFFIX, KEYWORD, REGEX = range(4)
 
 
+#: Keywords and patterns up to this many are evaluated as literals in one pass over the hosts.
+LITERALS = 2_000
+
+
+def usable(spark: SparkSession, pattern: str) -> str | None:
+    """A pattern as Java reads it, null if it has no meaning there."""
+    try:
+        java = java_regex(pattern)
+        spark._jvm.java.util.regex.Pattern.compile(java)
+        return java
+    except Exception:  # a pattern that does not compile is passed over
+        return None
+
+
 def category_lookup(hosts: DataFrame, items: DataFrame) -> DataFrame:
     """host, code and type: for each category the first kind of item that the host has; hosts are distinct.
 
     items: code, type, value. A suffix is a plain string suffix here. Domains and suffixes are looked up
-    by equality; only keywords and patterns are tried one by one.
+    by equality; only keywords and patterns are tried one by one. A pattern that does not compile is
+    passed over.
     """
+    spark = hosts.sparkSession
     h = hosts.select("host").where("host <> ''").distinct()
     longest = h.agg(F.max(F.length("host"))).first()[0] or 0
     lengths = [r.n for r in items.where(F.col("type") == SUFFIX).select(F.length("value").alias("n")).where(F.col("n") <= longest).distinct().collect()]
     exact = h.join(small(items.where(F.col("type") == DOMAIN)), F.col("host") == F.col("value")).select("host", "code", "type")
     tails = h.select("host", F.explode(F.array(*[F.when(F.length("host") >= n, F.substring("host", -n, n)) for n in sorted(lengths)] or [F.lit(None).cast("string")])).alias("tail"))
     suffix = tails.join(small(items.where(F.col("type") == SUFFIX)), F.col("tail") == F.col("value")).select("host", "code", "type")
-    rest = h.join(small(items.where(F.col("type") >= KEYWORD)), F.when(F.col("type") == KEYWORD, F.contains("host", "value")).otherwise(F.regexp("host", "value"))).select("host", "code", "type")
+    searched = items.where(F.col("type") >= KEYWORD).select("code", "type", "value")
+    some = searched.limit(LITERALS + 1).collect()
+    if len(some) <= LITERALS:
+        tests = []
+        for code, kind, value in some:
+            pattern = value if kind == KEYWORD else usable(spark, value)
+            if pattern is not None:
+                hit = F.contains("host", F.lit(value)) if kind == KEYWORD else F.regexp("host", F.lit(pattern))
+                tests.append(F.when(hit, F.struct(F.lit(code).alias("code"), F.lit(kind).alias("type"))))
+        rest = h.select("host", F.explode(F.array_compact(F.array(*tests))).alias("i")).select("host", "i.*") if tests else exact.limit(0)
+    else:
+        good = spark.createDataFrame([(r.value, java) for r in searched.where(F.col("type") == REGEX).select("value").distinct().toLocalIterator() if (java := usable(spark, r.value))], "value string, java string")
+        searched = searched.join(good, "value", "left").where((F.col("type") == KEYWORD) | F.col("java").isNotNull())
+        rest = h.join(small(searched), F.when(F.col("type") == KEYWORD, F.contains("host", "value")).otherwise(F.regexp("host", "java"))).select("host", "code", "type")
     return exact.unionByName(suffix).unionByName(rest).groupBy("host", "code").agg(F.min("type").alias("type"))
 
 

@@ -76,8 +76,8 @@ def tls_name(p: Column) -> Column:
     methods = suites + 2 + b2(suites)
     start = methods + 1 + b(methods)
     end = start + 2 + b2(start)
-    # At most 64 extensions; each step moves to the next one or stays at the one sought.
-    found = F.aggregate(F.sequence(F.lit(1), F.lit(64)), start + 2, lambda at, _: F.when((at + 4 <= end) & (b2(at) != 0), at + 4 + b2(at + 2)).otherwise(at))
+    # An extension has four bytes or more; each step moves to the next one or stays at the one sought.
+    found = F.aggregate(F.sequence(F.lit(0), F.floor(F.octet_length(p) / 4).cast("int")), start + 2, lambda at, _: F.when((at + 4 <= end) & (b2(at) != 0), at + 4 + b2(at + 2)).otherwise(at))
     return F.when((found + 4 <= end) & (b2(found) == 0), F.decode(F.substring(p, found + 10, b2(found + 7)), "UTF-8"))
 
 
@@ -113,7 +113,7 @@ def utp(p: Column):
         broken = nxt.isNull() | size.isNull() | (nxt > 4)
         return F.when(a["ext"] <= 0, a).when(F.coalesce(broken, F.lit(True)), F.struct(F.lit(-1).alias("ext"), a["at"].alias("at"))).otherwise(F.struct(nxt.alias("ext"), (a["at"] + 2 + size).alias("at")))
 
-    ended = F.aggregate(F.sequence(F.lit(1), F.lit(16)), start, step)["ext"] == 0
+    ended = F.aggregate(F.sequence(F.lit(0), F.floor(F.octet_length(p) / 2).cast("int")), start, step)["ext"] == 0
     return (F.octet_length(p) >= 20) & (first.bitwiseAND(F.lit(15)) == 1) & (F.shiftright(first, 4) <= 4) & ended, F.lit(False)
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalar import java_regex, round2
+from ..session import written
 
 TOKENS = ("input_tokens", "output_tokens", "cache_read_tokens", "cache_5m_tokens", "cache_1h_tokens", "cache_total_tokens")
 
@@ -64,16 +65,31 @@ def summary(by_user: DataFrame, priced) -> DataFrame:
     the views need not add up: each cell is rounded by itself. Weeks without a start have no week view;
     the blank user has no user view.
     """
-    cents = lambda c: F.sum(F.round(c * 100, 0).cast("long"))  # noqa: E731  cells are whole cents, so sums are exact
+    cents = F.sum(F.round(F.col("cost") * 100, 0).cast("long")).alias("c")  # cells are whole cents, so sums are exact
+    by_user = written(by_user, "usage-cells")
     whole, named = all_users(by_user).withColumn("cost", priced()), by_user.where("user <> ''").withColumn("cost", priced())
-    user, week = F.lit(None).cast("string"), F.lit(None).cast("long")
+    user, week = F.lit(None).cast("string"), F.col("week_start").cast("long")
+    weeks = whole.groupBy("week_start").agg(cents)
+    users = written(named.groupBy("user", "week_start").agg(cents), "usage-users")
+    weeks = written(weeks, "usage-weeks")
+    total = F.coalesce(F.sum("c"), F.lit(0)).alias("c")
     views = [
-        whole.agg(cents(F.col("cost")).alias("c")).select(F.lit("total").alias("view"), user.alias("user"), week.alias("week_start"), "c"),
-        named.groupBy("user").agg(cents(F.col("cost")).alias("c")).select(F.lit("user").alias("view"), "user", week.alias("week_start"), "c"),
-        whole.where("week_start > 0").groupBy("week_start").agg(cents(F.col("cost")).alias("c")).select(F.lit("week").alias("view"), user.alias("user"), "week_start", "c"),
-        named.where("week_start > 0").groupBy("user", "week_start").agg(cents(F.col("cost")).alias("c")).select(F.lit("user_week").alias("view"), "user", "week_start", "c"),
+        weeks.agg(total).select(F.lit("total").alias("view"), user.alias("user"), F.lit(None).cast("long").alias("week_start"), "c"),
+        users.groupBy("user").agg(total).select(F.lit("user").alias("view"), "user", F.lit(None).cast("long").alias("week_start"), "c"),
+        weeks.where("week_start > 0").select(F.lit("week").alias("view"), user.alias("user"), week.alias("week_start"), "c"),
+        users.where("week_start > 0").select(F.lit("user_week").alias("view"), "user", week.alias("week_start"), "c"),
     ]
     out = views[0]
     for v in views[1:]:
         out = out.unionByName(v)
-    return out.select("view", "user", "week_start", (F.coalesce("c", F.lit(0)) / 100).alias("cost"))
+    return out.select("view", "user", "week_start", (F.col("c") / 100).alias("cost"))
+
+
+#: Service tiers that have prices of their own; any other is the default one.
+TIERS = ("flex", "priority")
+
+
+def service_tier(tier: Column) -> Column:
+    """A request's tier as its cell has it."""
+    t = F.lower(F.trim(tier))
+    return F.when(t.isin(*TIERS), t).otherwise(F.lit("default"))

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .compile import Context, compile_rule
-from .rules import Default, Logical, Rule, RuleError, leaves
+from .rules import OPTIONS, Default, Logical, Rule, RuleError, leaves
 
 ADDRESS_TYPES = (1, 28, 65)  # A, AAAA, HTTPS
 
@@ -30,22 +30,31 @@ def pre_and_final(df: DataFrame, rule: Rule, **kw) -> tuple[Column, Column]:
     return pre, final
 
 
-def walk(df: DataFrame, rules, default: str = "default", **kw) -> DataFrame:
-    """server_idx and server of the first rule that is eligible and, if it depends on addresses, accepts the answer.
+def walk(df: DataFrame, rules, default: str = "default", start: int = 0, **kw) -> DataFrame:
+    """server_idx, server and the options of the first rule that is eligible and, if it depends on addresses, accepts the answer.
 
     Rules that depend on addresses are passed over unless the question is for addresses. A rule that
-    rejects the answer leaves the row to the rules after it.
+    rejects the answer leaves the row to the rules after it. start: the rule to begin with, so that a walk
+    can go on after a rule whose answer was refused elsewhere. Each of OPTIONS has the value of the last
+    route-options rule that matched before the deciding one, or else the deciding rule's own.
     """
-    sets, out = kw.get("sets", {}), None
-    for k, rule in enumerate(rules):
-        if rule.action["action"] == "route-options":
-            continue
+    sets, out, hits = kw.get("sets", {}), None, []
+    for k, rule in list(enumerate(rules))[start:]:
         pre, final = pre_and_final(df, rule, **kw)
         ok = pre & F.col("query_type").isin(*ADDRESS_TYPES) & final if address_limited(rule, sets) else pre
+        if rule.action["action"] == "route-options":
+            hits.append((k, ok))
+            continue
         out = F.when(ok, F.lit(k)) if out is None else out.when(ok, F.lit(k))
     idx = F.lit(None).cast("int") if out is None else out
     servers = F.array(*[F.lit(r.action.get("server", default)) for r in rules]) if rules else F.array().cast("array<string>")
-    return df.withColumn("server_idx", idx).withColumn("server", F.coalesce(F.get(servers, F.col("server_idx")), F.lit(default)))
+    d = df.withColumn("server_idx", idx).withColumn("server", F.coalesce(F.get(servers, F.col("server_idx")), F.lit(default)))
+    named = [o for o in OPTIONS if any(o in r.action for r in rules)]
+    for o in named:
+        values = [F.when(F.col("server_idx") == k, F.lit(r.action[o])) for k, r in enumerate(rules) if o in r.action and r.action["action"] != "route-options"]
+        values += [F.when(ok & (F.col("server_idx").isNull() | (F.col("server_idx") > k)), F.lit(rules[k].action[o])) for k, ok in reversed(hits) if o in rules[k].action]
+        d = d.withColumn(o, F.coalesce(*values))
+    return d
 
 
 def race(evaluations: DataFrame, reads: DataFrame) -> DataFrame:

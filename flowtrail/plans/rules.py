@@ -27,6 +27,8 @@ ROUTE_VALUES = ("ip_version", "clash_mode", "response_rcode", "match_response_ta
 ROUTE_MAPS = ("interface_address",)
 REMOVED = ("geosite", "geoip", "source_geoip")
 ACTIONS = ("route", "route-options", "evaluate", "respond", "direct", "bypass", "reject", "hijack-dns", "sniff", "resolve", "predefined")
+#: What route-options of DNS rules set for the query that follows.
+OPTIONS = ("disable_cache", "rewrite_ttl", "client_subnet")
 FINAL = ("route", "reject", "hijack-dns", "direct")
 #: Fields that modify others and are no condition by themselves.
 MODIFIERS = ("rule_set_ip_cidr_match_source", "rule_set_ip_cidr_accept_empty", "match_response", "match_response_tag", "race")
@@ -102,7 +104,7 @@ def parse_rule(raw: dict, headless: bool = False, nested: bool = False, depth: i
     kind, invert = raw.pop("type", "default") or "default", bool(raw.pop("invert", False))
     action = None
     if not headless:
-        keys = [k for k in raw if k in ("action", "server", "method", "tag", "override_address", "override_port", "rcode", "strategy") or k == "outbound" and not isinstance(raw[k], list)]
+        keys = [k for k in raw if k in ("action", "server", "method", "tag", "override_address", "override_port", "rcode", "strategy", *OPTIONS) or k == "outbound" and not isinstance(raw[k], list)]
         action = {k: raw.pop(k) for k in keys}
         if nested and action:
             raise RuleError("sub rules have no actions")

@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import os
+import tempfile
+import uuid
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 #: Time stamps in results and labels are in UTC.
 SETTINGS = {"spark.sql.session.timeZone": "UTC"}
@@ -24,3 +26,20 @@ def prepare(spark: SparkSession) -> SparkSession:
     if top not in paths:
         env["PYTHONPATH"] = os.pathsep.join([top, *filter(None, paths)])
     return spark
+
+
+_local: str | None = None
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """df written once to the folder in spark.checkpoint.dir and read back, which cuts its plan; a local master may do without the setting."""
+    global _local
+    spark = df.sparkSession
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        _local = base = _local or "file://" + tempfile.mkdtemp(prefix="flowtrail-")
+    path = f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

@@ -35,10 +35,10 @@ def basename(path: Column) -> Column:
 
 
 def human_bytes(n: Column) -> Column:
-    """1536 as `1.5 KB`: powers of 1024, one decimal, whole bytes plain."""
+    """1536 as `1.5 KB`: powers of 1024, one decimal (ties to even), whole bytes plain."""
     out = F.concat(n.cast("string"), F.lit(" B"))
     for k, unit in enumerate(("KB", "MB", "GB", "TB", "PB"), 1):
-        out = F.when(n >= 1 << 10 * k, F.concat(F.format_string("%.1f", n / (1 << 10 * k)), F.lit(f" {unit}"))).otherwise(out)
+        out = F.when(n >= 1 << 10 * k, F.concat(F.format_string("%.1f", F.bround(n / (1 << 10 * k), 1)), F.lit(f" {unit}"))).otherwise(out)
     return out
 
 

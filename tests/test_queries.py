@@ -3,6 +3,7 @@
 import duckdb
 import pytest
 
+import flowtrail.item_queries  # noqa: F401  registers its queries
 from flowtrail.queries import QUERIES, SQL
 
 SF = "/root/testdata/sf0.001"

@@ -73,8 +73,28 @@ KNOWN: tuple[tuple[str, str], ...] = (
 
 #: What follows 'copyright' where a line of a licence's body starts with it, wherever the text was wrapped.
 BODY = r"notices?|holders?|owners?|licen[sc]es?|laws?|statements?|permissions?|disclaimers?|interests?|protection|treaty|treaties|patents?|and|or|on|in|of|to|is|as|by|for|the|this|that|which|under"
-#: A copyright notice, lower case: 'copyright' before a sign or year or any word but one of BODY, the sign, or '(c)' on a line with a year.
-NOTICE = rf"(?m)^[ \t]*(copyright[ \t:,]*(\(c\)|©|[0-9]{{4}})|copyright\b(?=[^\n]*[\p{{L}}\p{{N}}])(?![^\p{{L}}\p{{N}}\n]*({BODY})\b)|©|\(c\)(?=[^\n]*\b(19|20)[0-9]{{2}}\b))[^\n]*$"
+#: A line that is a copyright notice, lower case: 'copyright' before a sign or year or any word but one of BODY, the sign, or '(c)'
+#: with a year; or that only reserves all rights.
+NOTICE = rf"(?md)^[ \t]*(copyright[ \t:,]*(\(c\)|©|[0-9]{{4}})|copyright(?![\p{{L}}\p{{N}}_])(?=[^\n]*[\p{{L}}\p{{N}}])(?![^\p{{L}}\p{{N}}\n]*({BODY})(?![\p{{L}}\p{{N}}_]))|©|\(c\)(?=[^\n]*(?<![0-9a-z_])(19|20)[0-9]{{2}}(?![0-9a-z_]))|all rights reserved[. \t]*$)[^\n]*$"
+
+
+#: Canonical digests of whole licence texts as commonly distributed: (id, SHA-256 of the canonical text). Fixed values.
+DIGESTS: tuple[tuple[str, str], ...] = (
+    ("Apache-2.0", "e87dea5078ce2faaea46d3475af18d30a5c0ac0f09425b60b3e0c6569f72f8d2"),
+    ("Artistic-1.0-Perl", "a55a9164beb84dd64d4dcfe553275d5e0b383534ee4216eed86370e5f5a7cfb8"),
+    ("BSD-3-Clause-UC", "5b0f89b350aa652155e5991e00ac2a54363087be92803e07df14f4b0f0bd283e"),
+    ("CC0-1.0", "96bdc7f63190fb4bd1ae584b890300ed7517d858b34c945642a3b9b2f1612a5f"),
+    ("GFDL-1.2", "5379e6f33e826ba185b23fd11a414555c2161fda481478babd1e73a3ae098a71"),
+    ("GFDL-1.3", "93d6108daecdddc5f284cf8f2512fb0d72f6e9ee12381feb9704ba194b00c3e6"),
+    ("GPL-1.0", "8f586b09c093668e2db772bdcfc1d5dc0b03e0e862fccbff035e1bf134e9b224"),
+    ("GPL-2.0", "efe73660e5476cf0368fc0fc143f624ff9d1b73c4484b14a9969dd20c5786821"),
+    ("GPL-3.0", "a8cd54d6683aa630f0b8d05d56184ad91dc486756da2df61c94d3e4e8d5ecb68"),
+    ("LGPL-2.0", "61af4dcea4e412e8ccfb8877fd2762bd6d962f8d42a9fa2c06cf7b4613f2c908"),
+    ("LGPL-2.1", "4d55922bdeafabde164d75448bbfb0b474bf952bbb541325364010900acd9891"),
+    ("LGPL-3.0", "aae2b222477171fb64e298e7965e768a9a6f85320646b266c94399ac029d42be"),
+    ("MPL-1.1", "3f0343dd4f3b064be36e0c6584737c9b7bb5c322721694563f9009e088ce96d1"),
+    ("MPL-2.0", "f82071285728ca3ec7685ee9bc4acdae0b8267142a4d20b8f1805eabedb4a98a"),
+)
 
 
 def canonical(text: Column) -> Column:
@@ -96,17 +116,19 @@ def known_digests(known: DataFrame) -> DataFrame:
 
 
 def built_in(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(list(KNOWN), "license_id string, text string")
+    """The digests of KNOWN and DIGESTS: canonical_sha256 and license_id."""
+    stored = spark.createDataFrame([(d, name) for name, d in DIGESTS], "canonical_sha256 string, license_id string")
+    return known_digests(spark.createDataFrame(list(KNOWN), "license_id string, text string")).unionByName(stored).groupBy("canonical_sha256").agg(F.min("license_id").alias("license_id"))
 
 
 def scan(docs: DataFrame, known: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, canonical_sha256, canonical_chars and license_id (null: no known licence), a row for each input row.
 
     The whole text must be the licence; notices inside longer texts do not count. Null and empty texts
-    have the empty canonical text, which is no licence. The texts stay where they are read: with known
+    have the empty canonical text, which is no licence. Repeated rows have a row each, an empty table none. The texts stay where they are read: with known
     digests of up to BROADCAST_ROWS rows nothing is shuffled, beyond that digests are.
     """
-    digests = known_digests(known if known is not None else built_in(docs.sparkSession)).where(F.col("canonical_sha256") != F.sha2(F.lit(""), 256))
+    digests = (known_digests(known) if known is not None else built_in(docs.sparkSession)).where(F.col("canonical_sha256") != F.sha2(F.lit(""), 256))
     if digests.count() <= BROADCAST_ROWS:
         digests = F.broadcast(digests)
     rows = docs.select(F.col(id_col).alias("_id"), canonical(F.col(text_col)).alias("_c"))
@@ -115,19 +137,44 @@ def scan(docs: DataFrame, known: DataFrame | None = None, id_col: str = "doc_id"
 
 
 def oracle_sql() -> str:
-    """The same scan in DuckDB's SQL."""
+    """The same scan in DuckDB's SQL, whose patterns have no look-around: lines are tested one by one."""
+
+    def notice(x: str) -> str:
+        word, end = r"[\p{L}\p{N}]", r"([^\p{L}\p{N}_]|$)"
+        tests = [
+            rf"regexp_matches({x}, '^[ \t]*(copyright[ \t:,]*(\(c\)|©|[0-9]{{4}})|©|all rights reserved[. \t]*$)')",
+            rf"(regexp_matches({x}, '^[ \t]*copyright{end}') AND regexp_matches({x}, '^[ \t]*copyright.*{word}') AND NOT regexp_matches({x}, '^[ \t]*copyright[^\p{{L}}\p{{N}}]*({BODY}){end}'))",
+            rf"regexp_matches({x}, '^[ \t]*\(c\)(.*[^0-9a-z_])?(19|20)[0-9]{{2}}([^0-9a-z_]|$)')",
+        ]
+        return " OR ".join(tests)
 
     def form(column: str) -> str:
-        t = rf"regexp_replace(lower(coalesce({column}, '')), '^[ \t]*(copyright|\(c\)|©)[^\n]*$', ' ', 'gm')"
+        t = f"array_to_string(list_filter(string_split(lower(coalesce({column}, '')), chr(10)), lambda x: NOT ({notice('x')})), chr(10))"
         t = rf"' ' || regexp_replace({t}, '[^\p{{L}}\p{{N}}]+', '  ', 'g') || ' '"
         for written, meant in EQUIVALENT.items():
             t = f"replace({t}, ' {written} ', ' {meant} ')"
         return f"trim(regexp_replace({t}, ' +', ' ', 'g'))"
 
     quoted = ", ".join("('{}', '{}')".format(name, text.replace("'", "''")) for name, text in KNOWN)
+    hashed = ", ".join(f"('{d}', '{name}')" for name, d in DIGESTS)
     return f"""
-        WITH known(license_id, text) AS (VALUES {quoted}),
-        k AS (SELECT sha256({form("text")}) AS canonical_sha256, min(license_id) AS license_id FROM known GROUP BY 1),
+        WITH known(license_id, text) AS (VALUES {quoted}), hashed(canonical_sha256, license_id) AS (VALUES {hashed}),
+        k AS (SELECT canonical_sha256, min(license_id) AS license_id FROM (SELECT sha256({form("text")}) AS canonical_sha256, license_id FROM known UNION ALL SELECT * FROM hashed) GROUP BY 1),
         d AS (SELECT doc_id, {form("text")} AS c FROM documents)
         SELECT d.doc_id, sha256(c) AS canonical_sha256, CAST(length(c) AS BIGINT) AS canonical_chars, k.license_id
         FROM d LEFT JOIN k ON sha256(d.c) = k.canonical_sha256"""
+
+
+#: Lines before a known text that are no part of it, and what they make of a text that is otherwise the licence.
+HEADS = ("", "Copyright (c) 2011 Some One\nAll rights reserved.\n\n", "COPYRIGHT: Some One\n")
+
+
+def recognised(spark: SparkSession) -> DataFrame:
+    """doc_id and license_id of every built-in text under each of HEADS, in capitals and by other spellings."""
+    rows = [(len(HEADS) * k + h, head + text.upper().replace("SUBLICENSE", "Sublicence").replace(",", " ,")) for k, (_, text) in enumerate(KNOWN) for h, head in enumerate(HEADS)]
+    return scan(spark.createDataFrame(rows, "doc_id int, text string")).select("doc_id", "license_id")
+
+
+def recognised_sql() -> str:
+    rows = ", ".join(f"({len(HEADS) * k + h}, '{name}')" for k, (name, _) in enumerate(KNOWN) for h in range(len(HEADS)))
+    return f"SELECT CAST(doc_id AS INT) AS doc_id, license_id FROM (VALUES {rows}) AS v(doc_id, license_id)"

@@ -90,6 +90,11 @@ def exact_index_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return groups.select(F.lower(F.hex("digest")).alias("text_sha256"), "keep_id", "group_size")
 
 
+def licenses_recognised(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every built-in licence text in other spellings is found."""
+    return licenses.recognised(spark)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_warc": op1_warc,
@@ -105,6 +110,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "quality_ablation": quality_ablation,
         "shards_grown": shards_grown,
         "exact_index_changes": exact_index_changes,
+        "licenses_recognised": licenses_recognised,
     }
 
 
@@ -159,6 +165,7 @@ def oracle_sql() -> dict[str, str]:
                          FROM (SELECT k, CAST('0x' || substr(sha1(coalesce(html, '')), 10 * k + 1, 10) AS BIGINT) AS h FROM range(0, 4) AS a(k)), range(0, 8) AS b(i)) AS p FROM pages)
             WINDOW w AS (PARTITION BY p)""",
         "op2_license_digests": licenses.oracle_sql(),
+        "licenses_recognised": licenses.recognised_sql(),
         "op5_chat": r"""
             WITH c AS (SELECT conv_id, turn, role, text FROM conversations UNION ALL SELECT -7, t, CASE t WHEN 0 THEN 'user' ELSE 'assistant' END, '</s>[INST] ok [/INST]' FROM range(0, 2) AS r(t)),
             r AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM c),

@@ -88,11 +88,29 @@ def pack_arc(pages: DataFrame) -> DataFrame:
     return pages.select(F.col("page_id").cast("long"), "url", "html").mapInArrow(task, "name string, content binary")
 
 
+def _unpacked(data: bytes) -> bytes:
+    """An archive without its compression: gzip members, one for each record or one for all, or plain bytes as they are."""
+    if data[:2] != b"\x1f\x8b":
+        return data
+    chunks = []
+    while data[:2] == b"\x1f\x8b":
+        d = zlib.decompressobj(31)
+        try:
+            chunks.append(d.decompress(data) + d.flush())
+        except zlib.error as e:
+            raise ValueError(f"member {len(chunks)}: {e}") from None
+        if not d.eof:
+            break  # cut off: what there is of it counts, and its record's length tells
+        data = d.unused_data
+    return b"".join(chunks)
+
+
 def parse_arc(content: bytes) -> Iterator[tuple[int, dict[str, str], bytes]]:
-    """(offset, header fields, body) of each record after the version block, by declared length.
+    """(offset, header fields, body) of each record after the version block, by declared length; of compressed archives the offset is that in the plain one.
 
     Raises ValueError where a header line or a length is not as the version has it.
     """
+    content = _unpacked(content)
     end = content.find(b"\n")
     first = content[:end].decode("utf-8", "replace").split(" ")
     if end < 0 or not first[0].startswith("filedesc:"):
@@ -136,10 +154,16 @@ def _split_http(body: bytes) -> tuple[bytes, bytes]:
 CONVERTED = "seq long, id string, uri string, date string, type string, payload_bytes long, digest string, head binary, member binary, error string"
 
 
+def read_arc(spark: SparkSession, path: str) -> DataFrame:
+    """name and content of the ARC files under path, compressed or not, for convert()."""
+    return spark.read.format("binaryFile").load(path).select(F.element_at(F.split("path", "/"), -1).alias("name"), "content")
+
+
 def convert(archives: DataFrame) -> DataFrame:
     """The WARC records that ARC archives (name, content) make, each with its gzip member.
 
-    The identifier is made from archive and offset, so a rerun gives the same; the timestamp is the
+    The identifier is made from archive, offset, address, date and content, so a rerun gives the same and
+    another archive of the same name does not; the timestamp is the
     archive date in W3C form; the type is response for HTTP responses, resource for others; the digests
     are SHA-1 in base32. seq: the X-Page-Id of the response, null if there is none. An archive that
     breaks off gives its records up to there and one row that has only the error.
@@ -166,7 +190,7 @@ def _converted(name: str, at: int, f: dict[str, str], body: bytes) -> tuple:
     head, payload = _split_http(body)
     d = f["date"].ljust(14, "0")
     date = f"{d[:4]}-{d[4:6]}-{d[6:8]}T{d[8:10]}:{d[10:12]}:{d[12:14]}Z"
-    kind, digest, ident = "response" if head else "resource", sha1(payload), _urn(name, str(at))
+    kind, digest, ident = "response" if head else "resource", sha1(payload), _urn(name, str(at), f["url"], f["date"], sha1(body))
     page = re.search(rb"\r\nX-Page-Id: (-?\d+)\r\n", head)
     headers = [("WARC-Type", kind), ("WARC-Record-ID", ident), ("WARC-Date", date), ("WARC-Target-URI", f["url"]), ("WARC-IP-Address", f["ip"]), ("WARC-Payload-Digest", f"sha1:{digest}"), ("WARC-Block-Digest", f"sha1:{sha1(body)}")]
     member = _record([*headers, ("Content-Type", "application/http; msgtype=response" if head else f["type"])], body)
@@ -198,7 +222,7 @@ def resolve(records: DataFrame, min_bytes: int = 0) -> DataFrame:
 
 
 def write(resolved: DataFrame, path: str) -> None:
-    """WARC archives of some ARCHIVE_BYTES under path, with a warcinfo record first.
+    """WARC archives of some ARCHIVE_BYTES under path, with a warcinfo record first. Rows that have only an error are not written.
 
     Each row of the frame that is written is one archive, so a file is one row and the writer's row
     separator is the archive's last byte.
@@ -226,13 +250,7 @@ def write(resolved: DataFrame, path: str) -> None:
 
 def parse_warc(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
     """(headers, block) of each record of a WARC archive, gzip members or plain, by declared length."""
-    if data[:2] == b"\x1f\x8b":
-        chunks = []
-        while data:
-            d = zlib.decompressobj(31)
-            chunks.append(d.decompress(data) + d.flush())
-            data = d.unused_data
-        data = b"".join(chunks)
+    data = _unpacked(data)
     at = 0
     while at < len(data):
         cut = data.find(b"\r\n\r\n", at)
@@ -289,6 +307,9 @@ def through_archives(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
     """
     spark = pages.sparkSession
     records = table(convert(pack_arc(pages)), "warc-records")
+    broken = records.where("error is not null").limit(1).collect()
+    if broken:
+        raise ValueError(broken[0].error)
     path = f"{shared_dir(spark)}/warc-{uuid.uuid4().hex}"
     write(resolve(records, min_bytes), path)
     back = table(read(spark, path, payloads=False).drop("payload"), "warc-read")

@@ -91,3 +91,15 @@ def test_broken_archives_give_what_comes_before(spark, cut, records):
 def test_wrong_digest_is_noticed():
     with pytest.raises(ValueError):
         warc._read({"warc-type": "response", "warc-payload-digest": "sha1:XX", "warc-record-id": "r", "warc-target-uri": "", "warc-date": ""}, b"x", True)
+
+
+def test_compressed_archives_and_ids(spark, tmp_path):
+    """Members for each record, or one for all, give what the plain archive gives; other content gives other ids."""
+    parts = [warc.arc_version_block(1, "x"), warc.arc_record(1, "http://a", b"HTTP/1.0 200 OK\r\n\r\nbody", "x", 0), warc.arc_record(1, "http://b", b"b" * 50, "x", 0)]
+    other = [parts[0], warc.arc_record(1, "http://a", b"HTTP/1.0 200 OK\r\n\r\nBODY", "x", 0), parts[2]]
+    for k, data in enumerate((b"".join(parts), b"".join(map(gzip.compress, parts)), gzip.compress(b"".join(parts)), b"".join(other))):
+        (tmp_path / f"{k}").mkdir()
+        (tmp_path / f"{k}" / "same.arc.gz").write_bytes(data)
+    plain, members, one, changed = ([(r.id, r.uri, r.digest, r.error) for r in warc.convert(warc.read_arc(spark, f"file://{tmp_path}/{k}")).collect()] for k in range(4))
+    assert plain == members == one and len(plain) == 2 and plain[0][0] != changed[0][0] and plain[1][0] == changed[1][0]
+    assert warc.convert(spark.createDataFrame([("z", bytearray(b"\x1f\x8bnothing"))], "name string, content binary")).first().error

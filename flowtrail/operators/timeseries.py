@@ -5,9 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from flowtrail.session import written
+
 WINDOW = 4
 TOLERANCE_PCT = 5.0
 TRIM_PCT = 5
+#: Values that are folded in one row.
+BLOCK = 512
 
 
 def ordered_mean(values: Column) -> Column:
@@ -22,20 +26,47 @@ def trimmed(values: Column, percent: int = TRIM_PCT) -> Column:
     return F.when((cut > 0) & (cut < F.size(values)), F.slice(s, 1, F.size(values) - cut)).otherwise(s)
 
 
-def upper_trimmed_mean(df: DataFrame, key: str, value: str, percent: int = TRIM_PCT) -> DataFrame:
-    """key and mean, by ranks instead of arrays, so that a key's values never are one row."""
-    w = Window.partitionBy(key)
-    n = F.count("*").over(w)
-    cut = F.floor(n * percent / 100)
-    kept = df.where(F.col(value).isNotNull()).select(key, value, n.alias("n"), cut.alias("cut"), F.row_number().over(w.orderBy(value)).alias("k"))
-    return kept.where(F.col("k") <= F.when((F.col("cut") > 0) & (F.col("cut") < F.col("n")), F.col("n") - F.col("cut")).otherwise(F.col("n"))).groupBy(key).agg(F.avg(value).alias("mean"))
+def _same(keys: list[str]) -> Column:
+    """Equal keys, null being a key as well."""
+    out = F.lit(True)
+    for k in keys:
+        out = out & F.col(f"a.{k}").eqNullSafe(F.col(f"b.{k}"))
+    return out
+
+
+def _parts(df: DataFrame, columns: list[str], name: str) -> DataFrame:
+    """df dealt out by ranges of the columns, with the number of the range: a key with very many rows is in many of them."""
+    return written(df.repartitionByRange(*columns).withColumn("part", F.spark_partition_id()), name)
+
+
+def ranked(df: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """keys, value, n (how often), upto (how many of the key's values are no larger) and total; nulls do not count.
+
+    Equal values are counted first and the rest is ordered within ranges, so no task has all values of a key.
+    """
+    parts = _parts(df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("n")), [*keys, value], "ranks")
+    sums = parts.groupBy(*keys, "part").agg(F.sum("n").alias("m"))
+    w = Window.partitionBy(*keys)
+    sums = sums.select(*keys, "part", F.coalesce(F.sum("m").over(w.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"), F.sum("m").over(w).alias("total"))
+    inside = F.sum("n").over(Window.partitionBy(*keys, "part").orderBy(value).rowsBetween(Window.unboundedPreceding, 0))
+    both = parts.withColumn("upto", inside).alias("a").join(sums.alias("b"), (F.col("a.part") == F.col("b.part")) & _same(keys))
+    return both.select(*[f"a.{k}" for k in keys], f"a.{value}", "a.n", (F.col("a.upto") + F.col("b.before")).alias("upto"), "b.total")
+
+
+def upper_trimmed_mean(df: DataFrame, key: str | list[str], value: str, percent: int = TRIM_PCT) -> DataFrame:
+    """key and mean without the top floor(n * percent / 100) values; nothing is trimmed if that is none or all."""
+    keys = [key] if isinstance(key, str) else key
+    cut = F.floor(F.col("total") * percent / 100)
+    keep = F.when((cut > 0) & (cut < F.col("total")), F.col("total") - cut).otherwise(F.col("total"))
+    taken = F.least(F.col("n"), keep - (F.col("upto") - F.col("n")))
+    kept = ranked(df, keys, value).withColumn("taken", taken).where("taken > 0")
+    return kept.groupBy(*keys).agg((F.sum(F.col(value).cast("double") * F.col("taken")) / F.sum("taken")).alias("mean"))
 
 
 def upper_median(df: DataFrame, key: str, value: str) -> DataFrame:
     """key and the element n/2 (from 0) of its sorted values: the upper of two middle ones."""
-    w = Window.partitionBy(key)
-    ranked = df.where(F.col(value).isNotNull()).select(key, value, F.count("*").over(w).alias("n"), F.row_number().over(w.orderBy(value)).alias("k"))
-    return ranked.where(F.col("k") == F.floor(F.col("n") / 2) + 1).select(key, F.col(value).alias("median"))
+    middle = F.floor(F.col("total") / 2) + 1
+    return ranked(df, [key], value).where((F.col("upto") >= middle) & (F.col("upto") - F.col("n") < middle)).select(key, F.col(value).alias("median"))
 
 
 def moving_stability(df: DataFrame, key: str, order: str, value: str, window: int = WINDOW, tolerance_pct: float = TOLERANCE_PCT) -> DataFrame:
@@ -61,14 +92,26 @@ def measurement_window(stability: DataFrame, key: str, order: str, window: int =
 
 
 def ewma(df: DataFrame, key: str, order: list[str], value: str, weight: float = 0.3) -> DataFrame:
-    """key and its last average: weight * x + (1 - weight) * previous, the first value or a previous of exactly 0 starting anew.
+    """key, its last average and n: weight * x + (1 - weight) * previous, the first value or a previous of exactly 0 starting anew.
 
-    The recursion goes through all of a key's values in order, so a key is folded in one row.
+    Blocks of BLOCK values in a row are folded for themselves, each to what it makes of 0 and to the factor
+    and term that it applies to any other average; then a key's blocks in turn. An average that a block is
+    entered with is taken not to come to exactly 0 within it. Ties in order follow by value; nulls are left out.
     """
-    seq = F.transform(F.sort_array(F.collect_list(F.struct(*order, F.col(value).cast("double").alias("x")))), lambda s: s["x"])
-    zero = F.lit(0.0)
-    step = lambda a, x: F.when(a == 0, x).otherwise(F.lit(weight) * x + F.lit(1 - weight) * a)
-    return df.where(F.col(value).isNotNull()).groupBy(key).agg(seq.alias("s")).select(key, F.aggregate("s", zero, step).alias("ewma"), F.size("s").alias("n"))
+    x = df.where(F.col(value).isNotNull()).select(key, F.struct(*order).alias("at"), F.col(value).cast("double").alias("x"))
+    parts = _parts(x, [key, "at", "x"], "ewma")
+    nth = F.row_number().over(Window.partitionBy(key, "part").orderBy("at", "x"))
+    rows = F.transform(F.sort_array(F.collect_list(F.struct("nth", "x"))), lambda r: r["x"])
+    blocks = parts.withColumn("nth", nth).groupBy(key, "part", F.floor((F.col("nth") - 1) / BLOCK).alias("block")).agg(rows.alias("s"))
+    step = lambda a, v: F.lit(weight) * v + F.lit(1 - weight) * a
+    anew = F.aggregate("s", F.lit(0.0), lambda a, v: F.when(a == 0, v).otherwise(step(a, v)))
+    factor, term = F.pow(F.lit(1 - weight), F.size("s")), F.aggregate("s", F.lit(0.0), step)
+    folded = blocks.select(key, F.struct("part", "block", anew.alias("anew"), factor.alias("factor"), term.alias("term"), F.size("s").alias("n")).alias("b"))
+    whole = folded.groupBy(key).agg(F.sort_array(F.collect_list("b")).alias("bs"), F.sum("b.n").alias("n"))
+    return whole.select(key, F.aggregate("bs", F.lit(0.0), lambda a, b: F.when(a == 0, b["anew"]).otherwise(b["factor"] * a + b["term"])).alias("ewma"), "n")
+
+
+PROBES = ("tcp", "tls", "http_first", "http_loaded")
 
 
 def responsiveness(rounds: DataFrame, key: str, percent: int = TRIM_PCT) -> DataFrame:
@@ -77,9 +120,10 @@ def responsiveness(rounds: DataFrame, key: str, percent: int = TRIM_PCT) -> Data
     The mean of what idle probes allow (over the components that were measured) and what loaded ones do; 0
     if either is missing.
     """
-    got = lambda c: F.collect_list(F.when(F.col(c) > 0, F.col(c).cast("double")))
-    m = rounds.groupBy(key).agg(*[got(c).alias(c) for c in ("tcp", "tls", "http_first", "http_loaded")])
-    m = m.select(key, *[ordered_mean(trimmed(F.col(c), percent)).alias(c) for c in ("tcp", "tls", "http_first", "http_loaded")])
+    each = F.explode(F.array(*[F.struct(F.lit(c).alias("probe"), F.col(c).cast("double").alias("ms")) for c in PROBES]))
+    measured = rounds.select(key, each.alias("m")).select(key, "m.probe", "m.ms").where("ms > 0")
+    means = upper_trimmed_mean(measured, [key, "probe"], "ms", percent).unionByName(rounds.select(key).distinct(), allowMissingColumns=True)
+    m = means.groupBy(key).agg(*[F.coalesce(F.max(F.when(F.col("probe") == c, F.col("mean"))), F.lit(0.0)).alias(c) for c in PROBES])
     parts = F.filter(F.array("tcp", "tls", "http_first"), lambda x: x > 0)
     rpm = F.floor((60000.0 / ordered_mean(parts) + 60000.0 / F.col("http_loaded")) / 2 + 0.5).cast("int")
     return m.select(key, F.when((F.col("http_loaded") <= 0) | (F.size(parts) == 0), F.lit(0)).otherwise(rpm).alias("rpm"))
@@ -91,8 +135,8 @@ def capacity(samples: DataFrame, window: DataFrame, spans: DataFrame, key: str)
     spans: key, total_bytes, seconds for every key.
     """
     s = samples.join(window, key, "left").withColumn("inside", F.coalesce(F.col("interval").between(F.col("lower"), F.col("upper")), F.lit(False)))
-    any_inside = F.max("inside").over(Window.partitionBy(key))
-    mean = upper_trimmed_mean(s.withColumn("some", any_inside).where(F.col("inside") | ~F.col("some")), key, "bps")
+    some = s.groupBy(key).agg(F.max("inside").alias("some"))
+    mean = upper_trimmed_mean(s.join(some, key).where(F.col("inside") | ~F.col("some")), key, "bps")
     fallback = F.when(F.col("seconds") > 0, (F.col("total_bytes") * 8 / F.col("seconds")).cast("long")).otherwise(F.lit(0))
     return spans.join(mean, key, "left").select(key, F.coalesce(F.floor(F.col("mean") + 0.5), fallback).alias("capacity"))
 

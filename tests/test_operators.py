@@ -146,6 +146,35 @@ def test_responsiveness_without_samples(spark):
     assert {r.k: r.rpm for r in timeseries.responsiveness(df, "k").collect()} == {"a": 3000, "b": 0, "c": 0}
 
 
+def test_ranks_of_a_hot_key(spark):
+    rnd = random.Random(3)
+    rows = [(rnd.choice(["hot"] * 9 + ["b", None]), rnd.choice([None, rnd.randrange(40), rnd.randrange(10**6)])) for _ in range(6000)] + [("one", 7), ("none", None)]
+    df = spark.createDataFrame(rows, "k string, v long").repartition(8)
+    held = {}
+    for k, v in rows:
+        if v is not None:
+            held.setdefault(k, []).append(v)
+    kept = {k: sorted(v)[: len(v) - len(v) * 5 // 100] for k, v in held.items()}
+    got = {r.k: r["mean"] for r in timeseries.upper_trimmed_mean(df, "k", "v").collect()}
+    assert got.keys() == kept.keys() and all(math.isclose(got[k], sum(v) / len(v)) for k, v in kept.items())
+    assert {r.k: r.median for r in timeseries.upper_median(df, "k", "v").collect()} == {k: sorted(v)[len(v) // 2] for k, v in held.items()}
+    assert timeseries.upper_median(df.limit(0), "k", "v").collect() == []
+
+
+def test_ewma_in_blocks_is_the_recursion(spark):
+    rnd = random.Random(5)
+    rows = [(k, i, None if rnd.random() < 0.01 else 0.0 if i < zeros or rnd.random() < 0.1 else rnd.uniform(0, 1000)) for k, n, zeros in (("hot", 5000, 0), ("late", 2000, 1100), ("few", 3, 0), (None, 600, 1), ("zero", 520, 520)) for i in range(n)]
+    df = spark.createDataFrame(rows, "k string, i long, x double").repartition(8)
+    want = {}
+    for k, _, x in rows:
+        if x is not None:
+            a, n = want.get(k, (0.0, 0))
+            want[k] = (x if a == 0 else 0.3 * x + 0.7 * a, n + 1)
+    got = {r.k: (r.ewma, r.n) for r in timeseries.ewma(df, "k", ["i"], "x").collect()}
+    assert got.keys() == want.keys()
+    assert all(got[k][1] == n and math.isclose(got[k][0], a, rel_tol=1e-12) for k, (a, n) in want.items())
+
+
 def test_moving_stability_passes_over_bad_values(spark):
     xs = [5.0, -1.0, float("nan"), float("inf"), 0.0, 5.0, 5.0, 5.0, 5.0]
     df = spark.createDataFrame([("a", i, x) for i, x in enumerate(xs)], "k string, i long, x double")

@@ -132,7 +132,11 @@ def train(docs: DataFrame, labels: DataFrame, model: Ftrl = Ftrl(), rows: int =
 
 
 def score(docs: DataFrame, weights: tuple[np.ndarray, float]) -> DataFrame:
-    """doc_id and score (0 to 1), one row for each input row; an empty or null text scores what the bias says."""
+    """doc_id and score (0 to 1), one row for each input row; an empty or null text scores what the bias says.
+
+    Repeated rows score alike and all stay, texts are read whole whatever their length, further columns play
+    no part, and an empty table gives an empty result.
+    """
     sent = docs.sparkSession.sparkContext.broadcast(weights)
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -501,3 +501,71 @@ def test_toxicity_edge_cases(spark, docs, none):
     scored = toxicity.score(docs, toxicity.train(docs, labels))
     assert scored.count() == docs.count() and scored.where("score is null").count() == 0
     assert toxicity.score(none, toxicity.train(none, labels.where("false"))).count() == 0
+
+
+def plain_features(text):
+    """Words, their first 4 and 5 characters, neighbours and words with one between, as a set of coordinates."""
+    h, top, mix = xxhash.xxh64_intdigest, (1 << 64) - 1, [int(x) for x in toxicity._MIX]
+    words = re.findall(r"\w+", (text or "").lower())
+    found = {h(w) for w in words} | {h(f"{k}{w[:k]}") for w in words for k in (4, 5)}
+    found |= {(h(a) * mix[0] & top) ^ (h(b) * mix[1] & top) for a, b in zip(words, words[1:])}
+    found |= {(h(a) * mix[2] & top) ^ (h(b) * mix[3] & top) for a, b in zip(words, words[2:])}
+    return {x >> 44 for x in found}
+
+
+def plain_ftrl(rows, labels, alpha=0.5, beta=1.0, l1=3.0, l2=1.0, epochs=4):
+    """FTRL-proximal one coordinate at a time, None being the bias."""
+    import numpy as np
+
+    z, n, order = defaultdict(float), defaultdict(float), np.random.RandomState(0)
+
+    def weight(i):
+        rate = (beta + math.sqrt(n[i])) / alpha
+        if i is None:
+            return -z[i] / rate
+        return 0.0 if abs(z[i]) <= l1 else -(z[i] - math.copysign(l1, z[i])) / (rate + l2)
+
+    for _ in range(epochs):
+        for k in order.permutation(len(rows)):
+            x = [*rows[k], None]
+            w = {i: weight(i) for i in x}
+            g = 1 / (1 + math.exp(-sum(w.values()))) - labels[k]
+            for i in x:
+                z[i] += g - (math.sqrt(n[i] + g * g) - math.sqrt(n[i])) / alpha * w[i]
+                n[i] += g * g
+    return {i: weight(i) for i in list(z)}
+
+
+def test_toxicity_is_the_plain_ftrl(spark, rows, clashing):
+    import random
+
+    rng = random.Random(4)
+    bad, good = ["awful", "SCUMBAG", "idiot"], [f"w{i}" for i in range(60)]
+    made = [(i, " ".join([*(rng.choice(good) for _ in range(25)), *([rng.choice(bad)] if i % 4 == 0 else [])]), None, None, None) for i in range(1000, 1240)]
+    every = [*rows, *made, made[0]]  # nulls, empty and very long texts, repeated rows
+    docs = spark.createDataFrame(every, clashing.select("doc_id", "text", "lang", "source", "n_chars").schema)
+    marks = {r[0]: int(r[0] % 4 == 0) for r in [*rows, *made] if r[0] is not None}
+    labels = spark.createDataFrame([*marks.items(), (1000, 0), (None, 1), (1001, None)], "doc_id long, toxic int")
+    text = {}
+    for r in every:
+        if r[0] is not None and r[1] is not None:
+            text[r[0]] = min(text.get(r[0], r[1]), r[1])
+    taught = [i for i in marks if zlib.crc32(str(i).encode()) % 4 != 2]
+    order = [r.i for r in spark.createDataFrame([(i,) for i in taught], "i long").orderBy(F.xxhash64("i"), "i").collect()]
+    want = plain_ftrl([plain_features(text.get(i)) for i in order], [marks[i] for i in order])
+    weights, bias = toxicity.train(docs, labels)
+    assert {i for i, w in want.items() if w and i is not None} == set(weights.nonzero()[0].tolist())
+    assert all(math.isclose(w, weights[i] if i is not None else bias, rel_tol=1e-4, abs_tol=1e-6) for i, w in want.items())
+    got = sorted(((r.doc_id is not None, r.doc_id, r.score) for r in toxicity.score(docs, (weights, bias)).collect()), key=str)
+    brute = sorted(((r[0] is not None, r[0], 1 / (1 + math.exp(-sum(want.get(i, 0.0) for i in [*plain_features(r[1]), None])))) for r in every), key=str)
+    by_id = lambda x: sorted(x, key=lambda r: (r[0], r[1] or 0, r[2]))
+    assert len(got) == len(every)
+    assert all(a[:2] == b[:2] and math.isclose(a[2], b[2], abs_tol=1e-4) for a, b in zip(by_id(got), by_id(brute)))
+
+
+def test_toxicity_with_clashing_names(docs, clashing, spark):
+    labels = spark.createDataFrame([(i, i % 2) for i in range(20, 70)], "doc_id long, toxic int")
+    model = toxicity.train(docs, labels)
+    again = toxicity.train(clashing, labels.withColumns({"text": F.lit("clash"), "y": F.lit(1), "at": F.lit(1), "score": F.lit("clash")}))
+    assert (model[0] == again[0]).all() and model[1] == again[1]
+    same(toxicity.score(clashing, model).collect(), [tuple(r) for r in toxicity.score(docs, model).collect()])

@@ -2,7 +2,7 @@
 
 Members that may link share a bucket. In each bucket the first member is the pivot, and every other is
 compared with it: as many pairs as members. Buckets whose members are then in one component need nothing
-more. While the others would need many more pairs than they have members, and pivots settle most of them,
+more. Buckets of a few members can do without: their pairs are compared at once. While the others would need many more pairs than they have members, and pivots settle most of them,
 they get another pivot each. At last each member outside its bucket's largest component is compared with those of other components. So
 a dense group costs about as much as its members, and no link between components is lost: of two linked
 members in different components at least one is outside the bucket's largest.
@@ -15,7 +15,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import forget, table
+from .common import few, forget, table
 
 Fits = Callable[[Callable[[str], Column], Callable[[str], Column]], Column]
 
@@ -49,21 +49,31 @@ def components(edges: DataFrame) -> DataFrame:
 PAIRS_A_ROW, ROUNDS = 4, 6
 
 
-def linked(index: DataFrame, bucket: list[str], member: str, order: list[str], fits: Fits, links: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+def linked(index: DataFrame, bucket: list[str], member: str, order: list[str], fits: Fits, links: Callable[[DataFrame], DataFrame] | None = None, direct: int = 1) -> DataFrame:
     """(node, root) of every member that links with another: root is the smallest member it reaches.
 
     index: a row for each bucket that a member is in, with the columns that `order` and `fits` name. order:
     what makes a member its bucket's pivot, smallest first. fits: whether two rows of a bucket, read through
     two getters, are worth comparing. links: of pairs (a, b), a < b, those that link; None if all that fit do.
+    direct: members of a bucket up to which it needs no pivots, its few pairs being compared at once.
     """
     of = lambda side: lambda c: F.col(f"{side}.{c}")
     ordered = lambda a, b: (F.least(a, b).alias("a"), F.greatest(a, b).alias("b"))
     together = _all([F.col(f"x.{c}") == F.col(f"y.{c}") for c in bucket]) & fits(of("x"), of("y"))
     compare = links or (lambda pairs: pairs)
 
-    sizes = index.groupBy(*bucket).agg(F.count("*").alias("n")).where("n > 1").drop("n")
+    sizes = index.groupBy(*bucket).agg(F.count("*").alias("n")).where(F.col("n") > direct).drop("n")
+    made = roots = None
+    if direct > 1:  # chance brings most of these together, so hardly a pair of them fits
+        sizes = few(table(sizes, "link-large"))
+        small = index.join(sizes, bucket, "left_anti")
+        pairs = small.alias("x").join(small.alias("y"), together & (F.col(f"x.{member}") < F.col(f"y.{member}")))
+        made = table(pairs.select(F.col(f"x.{member}").alias("a"), F.col(f"y.{member}").alias("b")).distinct(), "link-pairs")
+        roots = table(components(compare(made)), "link-roots")
     rest = table(index.join(sizes, bucket), "link-index")
-    columns, made, roots, rows = [c for c in rest.columns if c not in bucket], None, None, rest.count()
+    columns, rows = [c for c in rest.columns if c not in bucket], rest.count()
+    if roots is not None and not rows:
+        return roots
     for k in range(ROUNDS):
         first = F.struct(*order, *[c for c in columns if c not in order]) if k == 0 else F.struct(F.xxhash64(member, F.lit(k)), *columns)
         names = [f.name for f in rest.select(first.alias("p")).schema["p"].dataType.fields]

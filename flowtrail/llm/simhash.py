@@ -30,6 +30,8 @@ SHINGLE = 3
 SEED = 42
 WIDE_FROM = 1 << 24
 CHUNK = 1 << 16
+#: Members of a bucket up to which its pairs are compared at once: what chance brings together short of WIDE_FROM.
+DIRECT = 64
 _word = re.compile(WORD.encode())
 
 
@@ -142,7 +144,7 @@ def connected(classes: DataFrame, wide: bool = False) -> DataFrame:
     two linked fingerprints share a bucket.
     """
     index = _stored(classes, _asked if wide else _exact, wide)
-    return linked(index, ["start", "key"], "fp", ["fp"], lambda x, y: _near(x("fp"), y("fp"), x("start")))
+    return linked(index, ["start", "key"], "fp", ["fp"], lambda x, y: _near(x("fp"), y("fp"), x("start")), direct=DIRECT)
 
 
 def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, exact, licenses, mixing, quality, shards, simhash, toxicity, warc
-from .common import documents, fresh, table
+from . import bpe, chat, exact, licenses, mixing, prefixes, quality, resample, shards, simhash, toxicity, variants, warc
+from .common import LOWER, UPPER, documents, fresh, table
 
 
 def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -73,6 +73,18 @@ def op10_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "vslot", "version")
 
 
+def op11_prefix_hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefixes.successors(documents(spark, sf_dir))
+
+
+def op12_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resample.resampled(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def op13_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return variants.variants(documents(spark, sf_dir))
+
+
 def shards_grown(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Slots and bytes of each shard in the stored map and in its next version, edited for one more shard."""
     name = fresh("grown")
@@ -107,6 +119,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_mixing": op8_mixing,
         "op9_quality_rules": op9_quality_rules,
         "op10_shards": op10_shards,
+        "op11_prefix_hashes": op11_prefix_hashes,
+        "op12_resampling": op12_resampling,
+        "op13_variants": op13_variants,
         "quality_ablation": quality_ablation,
         "shards_grown": shards_grown,
         "exact_index_changes": exact_index_changes,
@@ -142,6 +157,16 @@ LEDGER_SQL = r"""
             f AS (SELECT *, CAST((CASE WHEN n_words < 10 THEN 1 ELSE 0 END) + (CASE WHEN 100 * n_repeat_words > 20 * n_words THEN 2 ELSE 0 END) + (CASE WHEN n_symbols > n_words THEN 4 ELSE 0 END)
                           + (CASE WHEN 2 * n_dup_lines > n_lines THEN 8 ELSE 0 END) + (CASE WHEN word_chars > 40 * n_words THEN 16 ELSE 0 END) AS BIGINT) AS fail_bits FROM b)"""
 
+#: The table of the byte-wise CRC-32, and a list of bytes folded by it.
+CRC_TABLE_SQL = "tab AS (SELECT list(list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0], lambda a, x: CASE WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END) ORDER BY i) AS t FROM range(256) AS g(i))"
+
+
+def _crc_sql(text: str) -> str:
+    """CRC-32 of a text's UTF-8 where tab is at hand."""
+    as_bytes = f"list_transform(regexp_extract_all(hex(encode({text})), '..'), lambda x: CAST('0x' || x AS BIGINT))"
+    return f"xor(list_reduce(list_prepend(4294967295::BIGINT, {as_bytes}), lambda a, x: xor(a >> 8, t[CAST(xor(a, x) & 255 AS INT) + 1])), 4294967295)"
+
+
 #: Rows with their checksum and virtual slot (r), slots by size (s), and the map (m), which gives the largest slot to the shard with the least bytes so far.
 SLOT_SQL = r"""
             WITH RECURSIVE tab AS (SELECT list(list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0], lambda a, x: CASE WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END) ORDER BY i) AS t FROM range(256) AS g(i)),
@@ -211,4 +236,36 @@ def oracle_sql() -> dict[str, str]:
             WITH d AS (SELECT doc_id, text FROM documents WHERE doc_id IS NULL OR doc_id NOT IN (SELECT doc_id FROM labels WHERE toxic = 1 AND doc_id IS NOT NULL) UNION ALL SELECT item_id, text FROM benchmark),
             t AS (SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM d)
             SELECT sha256(t) AS text_sha256, max(doc_id) AS keep_id, count(*) AS group_size FROM t GROUP BY t""",
+        "op12_resampling": rf"""
+            WITH {CRC_TABLE_SQL},
+            d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+            b AS (SELECT regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+            df AS (SELECT doc_id, unnest(list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))) AS f FROM d),
+            bf AS (SELECT unnest(list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))) AS f FROM b),
+            h AS (SELECT f, {_crc_sql("f")} % 10000 AS bucket FROM (SELECT f FROM df UNION SELECT f FROM bf), tab),
+            s AS (SELECT bucket, count(*) AS s FROM df JOIN h ON df.f = h.f GROUP BY bucket),
+            t AS (SELECT bucket, count(*) AS t FROM bf JOIN h ON bf.f = h.f GROUP BY bucket),
+            g AS (SELECT s.bucket, CAST(floor(1000::DOUBLE * ln(CAST(coalesce(t, 0) + 1 AS DOUBLE) * CAST((SELECT sum(s) FROM s) + 10000 AS DOUBLE)
+                                                               / (CAST(s + 1 AS DOUBLE) * CAST(coalesce((SELECT sum(t) FROM t), 0) + 10000 AS DOUBLE)))) AS BIGINT) AS gain
+                  FROM s LEFT JOIN t ON s.bucket = t.bucket),
+            w AS (SELECT doc_id, count(*) AS n_features, CAST(floor(CAST(sum(gain) AS DOUBLE) / count(*)) AS BIGINT) AS weight FROM df JOIN h ON df.f = h.f JOIN g ON h.bucket = g.bucket GROUP BY doc_id),
+            r AS (SELECT d.doc_id, coalesce(n_features, 0) AS n_features, coalesce(weight, 0) AS weight, len(w) >= 20 AS eligible,
+                         coalesce(weight, 0) + CAST(floor(-1000::DOUBLE * ln(-ln((CAST('0x' || substr(sha256('7:' || d.doc_id), 1, 8) AS BIGINT) + 0.5::DOUBLE) / 4294967296::DOUBLE))) AS BIGINT) AS score
+                  FROM d LEFT JOIN w ON d.doc_id = w.doc_id),
+            k AS (SELECT *, CASE WHEN eligible THEN row_number() OVER (PARTITION BY eligible ORDER BY score DESC, doc_id) END AS place, 25 * count(*) FILTER (eligible) OVER () // 100 AS n_drawn FROM r)
+            SELECT doc_id, n_features, weight, score, CASE WHEN place <= n_drawn THEN place END AS rank FROM k""",
+        "op13_variants": rf"""
+            WITH RECURSIVE {CRC_TABLE_SQL},
+            x AS (SELECT doc_id, translate(run, '{UPPER}', '{LOWER}') AS run FROM (SELECT doc_id, unnest(regexp_extract_all(text, '[A-Za-zÀ-ÿ]+')) AS run FROM documents)),
+            o AS (SELECT doc_id, run, count(*) AS n FROM x WHERE length(run) >= 6 GROUP BY doc_id, run),
+            c AS (SELECT run, n, {_crc_sql("coalesce(CAST(doc_id AS VARCHAR), '') || ':' || run")} AS h FROM o, tab),
+            z AS (SELECT CASE WHEN h % 199 = 0 THEN substr(run, 1, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word, n FROM c),
+            v AS (SELECT word, CAST(sum(n) AS BIGINT) AS n FROM z WHERE length(word) >= 6 GROUP BY word HAVING sum(n) >= 5),
+            e AS (SELECT word, n, i, length(word) AS size, substr(word, 1, i - 1) || substr(word, i + 1) AS rest FROM (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM v)),
+            near AS (SELECT a.word, b.word AS form, b.n AS form_n FROM e a JOIN e b ON a.rest = b.rest AND a.i = b.i AND a.size = b.size AND a.word <> b.word
+                     UNION SELECT e.word, v.word, v.n FROM e JOIN v ON e.rest = v.word UNION SELECT v.word, e.word, e.n FROM e JOIN v ON e.rest = v.word),
+            best AS (SELECT *, row_number() OVER (PARTITION BY word ORDER BY form_n DESC, form) AS k, count(*) OVER (PARTITION BY word) AS n_near FROM near),
+            f AS (SELECT v.word, n, coalesce(n_near, 0) AS n_near, CASE WHEN form_n >= 5 * n THEN form END AS form, CASE WHEN form_n >= 5 * n THEN form_n END AS form_n FROM v LEFT JOIN best ON v.word = best.word AND k = 1),
+            up AS (SELECT word, word AS top, 0 AS step FROM f UNION ALL SELECT up.word, f.form, step + 1 FROM up JOIN f ON up.top = f.word WHERE f.form IS NOT NULL)
+            SELECT f.word, n, n_near, form, form_n, root FROM f JOIN (SELECT word, arg_max(top, step) AS root FROM up GROUP BY word) AS u ON f.word = u.word""",
     }

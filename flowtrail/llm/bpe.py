@@ -30,9 +30,10 @@ RANKS = "byte_bpe_50k.tiktoken"
 NONE = np.iinfo(np.int32).max
 #: Places of one rank from which they are merged at once, not one by one.
 MANY = 12
-#: Characters of text after which a block ends, and words that a worker remembers.
+#: Characters of text after which a block ends.
 BLOCK_CHARS = 1 << 21
-REMEMBERED = 1 << 19
+#: Bytes of words and their ids that a worker remembers, besides those of the block at hand; and what an entry takes besides letters and ids.
+REMEMBERED, ENTRY = 1 << 27, 180
 
 
 class Vocabulary:
@@ -53,6 +54,7 @@ class Vocabulary:
         self.early = {x for k, r in self.merges.items() for x in (k >> 32, k & 0xFFFFFFFF) if x > r}
         self.ids = list(range(len(self.tokens)))  # one object for each id, however often it is remembered
         self.known: dict[str, tuple[int, ...]] = {}
+        self.held = 0
 
     def _merges(self) -> dict[int, int]:
         """(left id << 32 | right id) -> id of the merged token, for every pair that merges."""
@@ -72,8 +74,8 @@ class Vocabulary:
 
     def learn(self, words: set[str]) -> None:
         """Put the ids of every word among the known ones."""
-        if len(self.known) + len(words) > REMEMBERED:
-            self.known = {}
+        if self.held > REMEMBERED:
+            self.known, self.held = {}, 0
         rest, known = [], self.known
         for w in words:
             if w in known:
@@ -84,8 +86,10 @@ class Vocabulary:
                 rest.append((w, data))
             else:
                 known[w] = (whole,)
-        for (w, _), ids in zip(rest, self.replay([data for _, data in rest])):
+                self.held += ENTRY + len(data) + 8
+        for (w, data), ids in zip(rest, self.replay([data for _, data in rest])):
             known[w] = tuple(map(self.ids.__getitem__, ids))
+            self.held += ENTRY + len(data) + 8 * len(ids)
 
     def replay(self, words: list[bytes]) -> Iterator[list[int]]:
         """The ids of each word, by replaying all merges over all words at once."""
@@ -217,7 +221,7 @@ def encode(docs: DataFrame, finish: Finish = ids_only, columns: pa.Schema = IDS,
     """doc_id and what `finish` makes of each text's ids, one row for each input row, without a shuffle.
 
     No special tokens: their strings are ordinary text. A null or empty text has no ids. A text of any
-    length is encoded whole. Repeated rows give a row each. The rank file is read once by the driver,
+    length is encoded whole. Repeated rows give a row each, an empty table none; ids keep their type. The rank file is read once by the driver,
     under 1 MB, and sent with the tasks.
     """
     with open(ranks or public_tokenizers.path(RANKS), "rb") as f:
@@ -230,5 +234,5 @@ def encode(docs: DataFrame, finish: Finish = ids_only, columns: pa.Schema = IDS,
                 made = list(zip(*(finish(v, x) for x in v.encode(texts))))
                 yield pa.record_batch([ids, *[pa.array(c, f.type) for c, f in zip(made, columns)]], names=["doc_id", *columns.names])
 
-    schema = ", ".join(["doc_id long", *(f"{f.name} {_SQL[f.type]}" for f in columns)])
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(task, schema)
+    schema = ", ".join([f"doc_id {docs.schema[id_col].dataType.simpleString()}", *(f"{f.name} {_SQL[f.type]}" for f in columns)])
+    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(task, schema)

@@ -21,6 +21,8 @@ CONTROL = (r"\|im_start\|>", r"\|im_end\|>", r"\|endoftext\|>", r"/?s>", r"/?INS
 _ANY = "|".join(CONTROL)
 #: Turns that are put together first, so that a very long conversation is not one task's list of rows.
 CHUNK = 256
+#: Parts of a tree in which leaves are ranked before the best of all are.
+PARTS = 64
 
 
 def escape(text: Column) -> Column:
@@ -40,7 +42,7 @@ def chains(turns: DataFrame) -> DataFrame:
     conversation's rows must be in one task.
     """
     rows = turns.select(
-        F.col("conv_id").cast("long").alias("conv_id"),
+        F.col("conv_id"),
         F.coalesce(F.concat(F.lit("="), F.col("conv_id").cast("string")), F.lit("")).alias("tree"),
         F.col("turn").cast("long").alias("turn"),
         F.coalesce("role", F.lit("")).alias("role"),
@@ -81,6 +83,9 @@ def paths(nodes: DataFrame, top: int = 1) -> DataFrame:
     if top == 1:  # partial minima, so a tree with very many leaves is no single task's sort
         ranked = leaves.groupBy("tree").agg(F.min(best).alias("b")).select("tree", F.col("b.node").alias("leaf"), F.lit(1).alias("rank"), "b.depth")
     else:
+        # The best of each part of a tree, and then of those.
+        parts = F.row_number().over(Window.partitionBy("tree", F.pmod(F.xxhash64("node"), F.lit(PARTS))).orderBy(F.desc("total"), "node"))
+        leaves = leaves.withColumn("rank", parts).where(F.col("rank") <= top)
         ranked = leaves.withColumn("rank", F.row_number().over(Window.partitionBy("tree").orderBy(F.desc("total"), "node"))).where(F.col("rank") <= top).select("tree", F.col("node").alias("leaf"), "rank", "depth")
     on = table(ranked.select("tree", "leaf", "rank", F.col("leaf").alias("node"), (F.col("depth") - 1).alias("place")), "chat-paths")
     for k, jump in enumerate(jumps):

@@ -55,6 +55,11 @@ def forget(*tables: DataFrame) -> None:
         path.getFileSystem(t.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def quoted(*names: str) -> list[Column]:
+    """The columns of these names, whatever letters the names have."""
+    return [F.col("`" + n.replace("`", "``") + "`") for n in names]
+
+
 def fresh(name: str) -> str:
     """A column name that no input has."""
     return f"_{name}_{uuid.uuid4().hex[:12]}"

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, fresh, table, without
+from .common import ascii_lower, fresh, quoted, table, without
 
 #: Digests a bucket is meant to hold, and keys that a map task's index holds before it is flushed.
 BUCKET_KEYS = 50_000
@@ -274,4 +274,4 @@ def distinct_texts(docs: DataFrame) -> DataFrame:
 
     goes = table(verdicts(docs).where("not kept").select(key(F.col("digest")), F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("same")), "exact-goes")
     rows = docs.select("*", key(digest_of()))
-    return without(rows, name, goes.where("not same").select(name), goes.where("same").select(name)).select(*docs.columns)
+    return without(rows, name, goes.where("not same").select(name), goes.where("same").select(name)).select(*quoted(*docs.columns))

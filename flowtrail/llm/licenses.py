@@ -55,6 +55,76 @@ _0BSD = """Permission to use, copy, modify, and/or distribute this software for
 fee is hereby granted.
 
 """
+_BSD_2 = """Redistribution and use in source and binary forms, with or without modification, are permitted
+provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this list of conditions and the
+following disclaimer.
+
+2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and
+the following disclaimer in the documentation and/or other materials provided with the distribution.
+
+"""
+_BSD_3 = """3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or
+promote products derived from this software without specific prior written permission.
+
+"""
+_BSD_WARRANTY = """THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR
+IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR
+A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR
+ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED
+TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION)
+HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING
+NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE
+POSSIBILITY OF SUCH DAMAGE."""
+_UNLICENSE = """This is free and unencumbered software released into the public domain.
+
+Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source
+code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.
+
+In jurisdictions that recognize copyright laws, the author or authors of this software dedicate any and all
+copyright interest in the software to the public domain. We make this dedication for the benefit of the
+public at large and to the detriment of our heirs and successors. We intend this dedication to be an overt
+act of relinquishment in perpetuity of all present and future rights to this software under copyright law.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT
+LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO
+EVENT SHALL THE AUTHORS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF
+CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER
+DEALINGS IN THE SOFTWARE.
+
+For more information, please refer to """
+_ZLIB = """This software is provided 'as-is', without any express or implied warranty. In no event will the
+authors be held liable for any damages arising from the use of this software.
+
+Permission is granted to anyone to use this software for any purpose, including commercial applications,
+and to alter it and redistribute it freely, subject to the following restrictions:
+
+1. The origin of this software must not be misrepresented; you must not claim that you wrote the original
+software. If you use this software in a product, an acknowledgment in the product documentation would be
+appreciated but is not required.
+
+2. Altered source versions must be plainly marked as such, and must not be misrepresented as being the
+original software.
+
+3. This notice may not be removed or altered from any source distribution."""
+_BOOST = """Boost Software License - Version 1.0 - August 17th, 2003
+
+Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software
+and accompanying documentation covered by this license (the "Software") to use, reproduce, display,
+distribute, execute, and transmit the Software, and to prepare derivative works of the Software, and to
+permit third-parties to whom the Software is furnished to do so, all subject to the following:
+
+The copyright notices in the Software and this entire statement, including the above license grant, this
+restriction and the following disclaimer, must be included in all copies of the Software, in whole or in
+part, and all derivative works of the Software, unless such copies or derivative works are solely in the
+form of machine-executable object code generated by a source language processor.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT
+LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE, TITLE AND NON-INFRINGEMENT.
+IN NO EVENT SHALL THE COPYRIGHT HOLDERS OR ANYONE DISTRIBUTING THE SOFTWARE BE LIABLE FOR ANY DAMAGES OR
+OTHER LIABILITY, WHETHER IN CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE
+SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."""
 #: Known licence texts and notices: (id, text). Copyright lines and titles vary and are not part of them.
 KNOWN: tuple[tuple[str, str], ...] = (
     ("MIT", _MIT),
@@ -64,6 +134,15 @@ KNOWN: tuple[tuple[str, str], ...] = (
     ("ISC", "ISC License\n\n" + _ISC + _ISC_WARRANTY),
     ("0BSD", _0BSD + _ISC_WARRANTY),
     ("0BSD", "BSD Zero Clause License\n\n" + _0BSD + _ISC_WARRANTY),
+    ("BSD-2-Clause", _BSD_2 + _BSD_WARRANTY),
+    ("BSD-2-Clause", "BSD 2-Clause License\n\n" + _BSD_2 + _BSD_WARRANTY),
+    ("BSD-3-Clause", _BSD_2 + _BSD_3 + _BSD_WARRANTY),
+    ("BSD-3-Clause", "BSD 3-Clause License\n\n" + _BSD_2 + _BSD_3 + _BSD_WARRANTY),
+    ("Unlicense", _UNLICENSE + "<https://unlicense.org>"),
+    ("Unlicense", _UNLICENSE + "<http://unlicense.org/>"),
+    ("Zlib", _ZLIB),
+    ("Zlib", "zlib License\n\n" + _ZLIB),
+    ("BSL-1.0", _BOOST),
     ("MIT", "Released under the MIT License."),
     ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."),
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
@@ -169,12 +248,14 @@ def oracle_sql() -> str:
 HEADS = ("", "Copyright (c) 2011 Some One\nAll rights reserved.\n\n", "COPYRIGHT: Some One\n")
 
 
-def recognised(spark: SparkSession) -> DataFrame:
-    """doc_id and license_id of every built-in text under each of HEADS, in capitals and by other spellings."""
-    rows = [(len(HEADS) * k + h, head + text.upper().replace("SUBLICENSE", "Sublicence").replace(",", " ,")) for k, (_, text) in enumerate(KNOWN) for h, head in enumerate(HEADS)]
-    return scan(spark.createDataFrame(rows, "doc_id int, text string")).select("doc_id", "license_id")
+def recognised(docs: DataFrame) -> DataFrame:
+    """doc_id and license_id where the text of a document, by its id, is one of the built-in ones under one of HEADS, in capitals and by other spellings."""
+    texts = [head + text.upper().replace("SUBLICENSE", "Sublicence").replace(",", " ,") for _, text in KNOWN for head in HEADS]
+    known = docs.sparkSession.createDataFrame(list(enumerate(texts)), "k int, text string")  # a few dozen rows
+    rows = docs.select("doc_id", F.pmod("doc_id", F.lit(len(texts))).cast("int").alias("k"))
+    return scan(rows.join(F.broadcast(known), "k")).select("doc_id", "license_id")
 
 
 def recognised_sql() -> str:
-    rows = ", ".join(f"({len(HEADS) * k + h}, '{name}')" for k, (name, _) in enumerate(KNOWN) for h in range(len(HEADS)))
-    return f"SELECT CAST(doc_id AS INT) AS doc_id, license_id FROM (VALUES {rows}) AS v(doc_id, license_id)"
+    names = ", ".join(f"({len(HEADS) * k + h}, '{name}')" for k, (name, _) in enumerate(KNOWN) for h in range(len(HEADS)))
+    return f"SELECT doc_id, license_id FROM documents JOIN (VALUES {names}) AS v(k, license_id) ON doc_id % {len(KNOWN) * len(HEADS)} = k"

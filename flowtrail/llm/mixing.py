@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, fresh, table, without, words
+from .common import WORD, fresh, quoted, table, without, words
 
 WEIGHTS = (3.0, 1.0, 2.0)
 SHARE = 1.5
@@ -165,4 +165,4 @@ def mixed(docs: DataFrame) -> DataFrame:
         rows = without(rows.select("*", key), one, again.limit(0), again)
     out = rows.join(passes, [md5, source])
     text = F.when(F.col(n).isNotNull(), first_words(F.col("text"), F.col(n))).otherwise(F.col("text")).alias("text")
-    return out.select(*[text if c == "text" else F.col(c) for c in cols], F.col(at), F.col(md5)).orderBy(at, md5).select(*cols)
+    return out.select(*[text if c == "text" else quoted(c)[0] for c in cols], F.col(at), F.col(md5)).orderBy(at, md5).select(*quoted(*cols))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import bpe, chat, exact, licenses, mixing, prefixes, quality, resample, shards, simhash, toxicity, variants, warc
@@ -103,8 +103,18 @@ def exact_index_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def licenses_recognised(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every built-in licence text in other spellings is found."""
-    return licenses.recognised(spark)
+    """Documents that are made a built-in licence text in other spellings are found to be that licence."""
+    return licenses.recognised(documents(spark, sf_dir).select("doc_id"))
+
+
+def reply_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The two best paths of each conversation whose turns answer the turn half-way before them, each with a score."""
+    c = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text")
+    node = F.row_number().over(Window.partitionBy("conv_id").orderBy("turn", "role", "text")).cast("long")
+    c = c.withColumn("node", node).withColumn("parent", F.when(F.col("node") > 1, F.floor(F.col("node") / 2)))
+    nodes = table(c.select(F.col("conv_id").alias("tree"), "node", "parent", ((F.col("conv_id") * 7 + F.col("node") * 13) % 10 - 3).cast("double").alias("score"), "role", "text"), "reply-trees")
+    made = chat.format_paths(nodes.select("tree", "node", "role", "text"), chat.paths(nodes, top=2))
+    return made.select(F.col("tree").alias("conv_id"), "rank", "leaf", "n_turns", F.sha2("formatted", 256).alias("formatted_sha256"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -126,6 +136,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "shards_grown": shards_grown,
         "exact_index_changes": exact_index_changes,
         "licenses_recognised": licenses_recognised,
+        "reply_trees": reply_trees,
     }
 
 
@@ -200,6 +211,14 @@ def oracle_sql() -> dict[str, str]:
                    sha256(string_agg(CASE WHEN role = 'assistant' THEN text ELSE '' END, '' ORDER BY turn, role, text)) AS loss_sha256,
                    CAST(sum(12 + length(role) + 1 + length(escaped) + 11) AS BIGINT) AS formatted_chars
             FROM e GROUP BY conv_id""",
+        "reply_trees": r"""
+            WITH RECURSIVE n AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role NULLS FIRST, text NULLS FIRST) AS node, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations),
+            o AS (SELECT conv_id, node, CASE WHEN node > 1 THEN node // 2 END AS parent, CAST((conv_id * 7 + node * 13) % 10 - 3 AS DOUBLE) AS score,
+                         '<|im_start|>' || role || chr(10) || regexp_replace(text, '([<\[])(\\*)(\|im_start\|>|\|im_end\|>|\|endoftext\|>|/?s>|/?INST\])', '\1\\\2\3', 'g') || '<|im_end|>' || chr(10) AS said FROM n),
+            p AS (SELECT conv_id, node, score AS total, CAST(1 AS BIGINT) AS n_turns, said AS formatted FROM o WHERE parent IS NULL
+                  UNION ALL SELECT o.conv_id, o.node, total + o.score, n_turns + 1, formatted || o.said FROM p JOIN o ON p.conv_id = o.conv_id AND p.node = o.parent),
+            r AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY total DESC, node) AS rank FROM p WHERE (conv_id, node) NOT IN (SELECT (conv_id, parent) FROM o WHERE parent IS NOT NULL))
+            SELECT conv_id, CAST(rank AS INT) AS rank, node AS leaf, n_turns, sha256(formatted) AS formatted_sha256 FROM r WHERE rank <= 2""",
         "op6_exact_dedup": """
             WITH d AS (SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents)
             SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size, doc_id = max(doc_id) OVER w AS kept, sha256(t) AS text_sha256

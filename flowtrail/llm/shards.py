@@ -62,18 +62,36 @@ def assign(slots: DataFrame, n_shards: int, version: int = 1, loads: Column | No
     return folded.select(F.lit(version).alias("version"), "m.vslot", "m.shard")
 
 
-def save(shard_map: DataFrame, name: str) -> None:
-    """Store a map (version, vslot, shard) under a name; a version is written once and never changed."""
-    version = shard_map.agg(F.max("version")).first()[0] or 0
-    shard_map.drop("version").write.parquet(f"{_folder(shard_map.sparkSession, name)}/version={version}")
+def save(shard_map: DataFrame, name: str) -> int:
+    """Store a map (version, vslot, shard) under a name as its next version, and give that; a version is written once and never changed.
+
+    It is written aside and published by one rename, which fails where another writer has published that version
+    meanwhile. A map may be empty.
+    """
+    spark = shard_map.sparkSession
+    version, staged = (latest(spark, name) or 0) + 1, f"{_folder(spark, name)}/_{fresh('staged')}"
+    shard_map.drop("version").write.parquet(staged)
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    path = jvm.org.apache.hadoop.fs.Path
+    none = jvm.java.lang.reflect.Array.newInstance(getattr(jvm.org.apache.hadoop.fs, "Options$Rename").NONE.getClass(), 0)
+    jvm.org.apache.hadoop.fs.FileContext.getFileContext(path(staged).toUri(), conf).rename(path(staged), path(f"{_folder(spark, name)}/version={version}"), none)
+    return version
+
+
+def latest(spark: SparkSession, name: str) -> int | None:
+    """The number of a named map's last version, None if it has none."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(_folder(spark, name))
+    files = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    names = [x.getPath().getName() for x in files.listStatus(folder)] if files.exists(folder) else []
+    return max((int(n.removeprefix("version=")) for n in names if n.startswith("version=")), default=None)
 
 
 def load(spark: SparkSession, name: str, version: int | None = None) -> DataFrame:
     """The latest version of a named map, or the one asked for."""
-    every = spark.read.schema("vslot int, shard int, version int").parquet(_folder(spark, name))
+    version = version or latest(spark, name)
     if version is None:
-        version = every.agg(F.max("version")).first()[0]
-    return every.where(F.col("version") == version).select("version", "vslot", "shard")
+        raise ValueError(f"no shard map is named {name}")
+    return spark.read.schema("vslot int, shard int").parquet(f"{_folder(spark, name)}/version={version}").select(F.lit(version).alias("version"), "vslot", "shard")
 
 
 def _folder(spark: SparkSession, name: str) -> str:
@@ -100,8 +118,8 @@ def rebalance(spark: SparkSession, name: str, slots: DataFrame, n_shards: int, t
     than `tolerance` times the smallest, every shard above the mean gives up its smallest slots while it
     stays at or above the mean, and these go out again, the largest first to the shard with the least bytes.
     """
-    old = load(spark, name)
-    version = old.agg(F.max("version")).first()[0]
+    version = latest(spark, name)
+    old = load(spark, name, version)
     held = slots.join(F.broadcast(old.drop("version")), "vslot", "left")
     w = Window.partitionBy("shard")
     mean = F.sum("bytes").over(Window.partitionBy()) / F.lit(n_shards)  # over n_slots rows at most
@@ -109,7 +127,7 @@ def rebalance(spark: SparkSession, name: str, slots: DataFrame, n_shards: int, t
     held = table(held.withColumn("mean", mean).withColumn("rest", rest), "shard-held")
     loads = held.where("shard is not null").groupBy("shard").agg(F.sum("bytes").alias("b"))
     low, high, n = loads.agg(F.min("b"), F.max("b"), F.count("*")).first()
-    uneven = n < n_shards or high > tolerance * low
+    uneven = n > 0 and (n < n_shards or high > tolerance * low)
     goes = F.col("shard").isNull() | (F.col("rest") >= F.col("mean")) if uneven else F.col("shard").isNull()
     if not held.where(goes).limit(1).count():
         return old
@@ -146,14 +164,9 @@ def shard(docs: DataFrame, n_shards: int = 16, n_slots: int = SLOTS, id_col: str
     rows = table(keyed(docs, n_slots, id_col, text_col), "shard-rows")
     slots = table(slot_sizes(rows), "shard-slots")
     fixed = name or fresh("map")
-    if name is None or not exists(spark, name):
+    if name is None or latest(spark, name) is None:
         save(assign(slots, n_shards), fixed)
         shard_map = load(spark, fixed)
     else:
         shard_map = rebalance(spark, fixed, slots, n_shards)
     return placed(rows, shard_map, slots).withColumnRenamed("id", id_col), shard_map, slots
-
-
-def exists(spark: SparkSession, name: str) -> bool:
-    path = spark._jvm.org.apache.hadoop.fs.Path(_folder(spark, name))
-    return path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path)

@@ -120,7 +120,8 @@ def train(docs: DataFrame, labels: DataFrame, model: Ftrl = Ftrl(), rows: int =
             at = np.flatnonzero(w)
             yield pa.record_batch({"at": pa.array([*at.tolist(), -1], pa.int32()), "w": pa.array([*w[at].tolist(), bias], pa.float32())})
 
-    examples = sample(docs, labels, rows=rows).mapInArrow(_examples, "doc_id long, y int, x binary")
+    examples = sample(docs, labels, rows=rows)
+    examples = examples.mapInArrow(_examples, f"doc_id {examples.schema['doc_id'].dataType.simpleString()}, y int, x binary")
     found = examples.repartition(1).sortWithinPartitions(F.xxhash64("doc_id"), "doc_id").mapInArrow(fit, "at int, w float").collect()
     w, bias = np.zeros(DIMENSIONS, np.float32), 0.0
     for at, x in found:
@@ -149,7 +150,7 @@ def score(docs: DataFrame, weights: tuple[np.ndarray, float]) -> DataFrame:
                 sums.append(w[some].sum(dtype=np.float64) + bias)
             yield pa.record_batch({"doc_id": b["doc_id"], "score": pa.array(1 / (1 + np.exp(-np.clip(np.array(sums, np.float64), -35, 35))), pa.float64())})
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(task, "doc_id long, score double")
+    return docs.select("doc_id", "text").mapInArrow(task, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, score double")
 
 
 def predict(scored: DataFrame, threshold: float = THRESHOLD) -> DataFrame:

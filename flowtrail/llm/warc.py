@@ -15,6 +15,7 @@ import re
 import uuid
 import zlib
 from collections.abc import Iterator
+from urllib.parse import quote, unquote
 
 import pyarrow as pa
 from pyspark import TaskContext
@@ -76,7 +77,7 @@ def pack_arc(pages: DataFrame) -> DataFrame:
                 size = len(chunks[0])
             body = (html or "").encode()
             head = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(body)}\r\n"
-            head += f"X-Page-Id: {page_id}\r\n\r\n" if page_id is not None else "\r\n"
+            head += f"X-Page-Id: {quote(str(page_id), safe='')}\r\n\r\n" if page_id is not None else "\r\n"
             chunks.append(arc_record(version, url or "", head.encode() + body, name, size))
             size += len(chunks[-1])
             if size >= ARCHIVE_BYTES:
@@ -85,7 +86,7 @@ def pack_arc(pages: DataFrame) -> DataFrame:
         if chunks:
             yield pa.record_batch({"name": pa.array([name]), "content": pa.array([b"".join(chunks)], pa.binary())})
 
-    return pages.select(F.col("page_id").cast("long"), "url", "html").mapInArrow(task, "name string, content binary")
+    return pages.select("page_id", "url", "html").mapInArrow(task, "name string, content binary")
 
 
 def _unpacked(data: bytes) -> bytes:
@@ -151,7 +152,13 @@ def _split_http(body: bytes) -> tuple[bytes, bytes]:
     return (body[: cut + 4], body[cut + 4 :]) if body.startswith(b"HTTP/") and cut >= 0 else (b"", body)
 
 
-CONVERTED = "seq long, id string, uri string, date string, type string, payload_bytes long, digest string, head binary, member binary, error string"
+def _page(head: bytes) -> str | None:
+    """The X-Page-Id of an HTTP head."""
+    found = re.search(rb"\r\nX-Page-Id: ([^\r\n]*)\r\n", head)
+    return unquote(found[1].decode()) if found else None
+
+
+CONVERTED = "seq string, id string, uri string, date string, type string, payload_bytes long, digest string, head binary, member binary, error string"
 
 
 def read_arc(spark: SparkSession, path: str) -> DataFrame:
@@ -159,13 +166,13 @@ def read_arc(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").load(path).select(F.element_at(F.split("path", "/"), -1).alias("name"), "content")
 
 
-def convert(archives: DataFrame) -> DataFrame:
+def convert(archives: DataFrame, ids: str = "bigint") -> DataFrame:
     """The WARC records that ARC archives (name, content) make, each with its gzip member.
 
     The identifier is made from archive, offset, address, date and content, so a rerun gives the same and
     another archive of the same name does not; the timestamp is the
     archive date in W3C form; the type is response for HTTP responses, resource for others; the digests
-    are SHA-1 in base32. seq: the X-Page-Id of the response, null if there is none. An archive that
+    are SHA-1 in base32. seq: the X-Page-Id of the response as the type `ids`, null if there is none. An archive that
     breaks off gives its records up to there and one row that has only the error.
     """
 
@@ -183,7 +190,7 @@ def convert(archives: DataFrame) -> DataFrame:
                 columns = list(zip(*rows)) or [()] * len(names)
                 yield pa.record_batch([pa.array(c, types[t.split(" ")[1]]) for c, t in zip(columns, CONVERTED.split(", "))], names=names)
 
-    return archives.select("name", "content").mapInArrow(task, CONVERTED)
+    return archives.select("name", "content").mapInArrow(task, CONVERTED).withColumn("seq", F.col("seq").try_cast(ids))
 
 
 def _converted(name: str, at: int, f: dict[str, str], body: bytes) -> tuple:
@@ -191,10 +198,9 @@ def _converted(name: str, at: int, f: dict[str, str], body: bytes) -> tuple:
     d = f["date"].ljust(14, "0")
     date = f"{d[:4]}-{d[4:6]}-{d[6:8]}T{d[8:10]}:{d[10:12]}:{d[12:14]}Z"
     kind, digest, ident = "response" if head else "resource", sha1(payload), _urn(name, str(at), f["url"], f["date"], sha1(body))
-    page = re.search(rb"\r\nX-Page-Id: (-?\d+)\r\n", head)
     headers = [("WARC-Type", kind), ("WARC-Record-ID", ident), ("WARC-Date", date), ("WARC-Target-URI", f["url"]), ("WARC-IP-Address", f["ip"]), ("WARC-Payload-Digest", f"sha1:{digest}"), ("WARC-Block-Digest", f"sha1:{sha1(body)}")]
     member = _record([*headers, ("Content-Type", "application/http; msgtype=response" if head else f["type"])], body)
-    return (int(page[1]) if page else None, ident, f["url"], date, kind, len(payload), digest, head, member, None)
+    return (_page(head), ident, f["url"], date, kind, len(payload), digest, head, member, None)
 
 
 def _revisit(ident: str, uri: str, date: str, digest: str, head: bytes, first: dict) -> bytes:
@@ -213,7 +219,7 @@ def resolve(records: DataFrame, min_bytes: int = 0) -> DataFrame:
     then by identifier) is kept. records must be a written table: the groups are made into one too, so
     that Spark can split a digest with very many records.
     """
-    order = F.struct(F.coalesce("seq", F.lit((1 << 63) - 1)).alias("seq"), "id", "uri", "date")
+    order = F.struct(F.col("seq").isNull().alias("none"), "seq", "id", "uri", "date")
     whole = (F.col("type") == "response") & (F.col("payload_bytes") >= min_bytes)
     firsts = table(records.where(whole).groupBy("digest").agg(F.min(order).alias("first"), F.count("*").alias("n")).where("n > 1"), "warc-firsts")
     again: Column = (records["type"] == "response") & (records["payload_bytes"] >= min_bytes)
@@ -266,10 +272,10 @@ def parse_warc(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
         at = cut + 4 + n + 4
 
 
-READ = "id string, type string, uri string, date string, refers_to_id string, seq long, payload_bytes long, digest string, payload binary"
+READ = "id string, type string, uri string, date string, refers_to_id string, seq string, payload_bytes long, digest string, payload binary"
 
 
-def read(spark: SparkSession, path: str, payloads: bool = True) -> DataFrame:
+def read(spark: SparkSession, path: str, payloads: bool = True, ids: str = "bigint") -> DataFrame:
     """The records of the WARC archives under path, without warcinfo.
 
     A response's digest is computed from its payload; where it isn't the declared one, reading fails. A
@@ -285,7 +291,7 @@ def read(spark: SparkSession, path: str, payloads: bool = True) -> DataFrame:
                 columns = list(zip(*rows)) or [()] * len(names)
                 yield pa.record_batch([pa.array(c, types[t]) for c, (_, t) in zip(columns, names)], names=[n for n, _ in names])
 
-    return spark.read.format("binaryFile").load(path).select("content").mapInArrow(task, READ)
+    return spark.read.format("binaryFile").load(path).select("content").mapInArrow(task, READ).withColumn("seq", F.col("seq").try_cast(ids))
 
 
 def _read(h: dict[str, str], block: bytes, payloads: bool) -> tuple:
@@ -296,22 +302,22 @@ def _read(h: dict[str, str], block: bytes, payloads: bool) -> tuple:
         n, payload = int(re.search(rb"\r\nContent-Length: (\d+)\r\n", head)[1]), None
     elif (digest := sha1(payload)) != declared:
         raise ValueError(f"{h['warc-record-id']}: digest {digest}, declared {declared}")
-    page = re.search(rb"\r\nX-Page-Id: (-?\d+)\r\n", head)
-    return (h["warc-record-id"], h["warc-type"], h["warc-target-uri"], h["warc-date"], h.get("warc-refers-to"), int(page[1]) if page else None, n, declared, payload if payloads else None)
+    return (h["warc-record-id"], h["warc-type"], h["warc-target-uri"], h["warc-date"], h.get("warc-refers-to"), _page(head), n, declared, payload if payloads else None)
 
 
 def through_archives(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
     """Pages to ARC, ARC to WARC files in the shared folder, and the records read back: seq, payload_bytes,
-    digest, type and refers_to (the seq of the record that is revisited). Rows that repeat an id give a
+    digest, type and refers_to (the seq of the record that is revisited). Ids keep their type; strings go by code point. Rows that repeat an id give a
     record each. An empty table gives an empty result.
     """
     spark = pages.sparkSession
-    records = table(convert(pack_arc(pages)), "warc-records")
+    ids = pages.schema["page_id"].dataType.simpleString()
+    records = table(convert(pack_arc(pages), ids), "warc-records")
     broken = records.where("error is not null").limit(1).collect()
     if broken:
         raise ValueError(broken[0].error)
     path = f"{shared_dir(spark)}/warc-{uuid.uuid4().hex}"
     write(resolve(records, min_bytes), path)
-    back = table(read(spark, path, payloads=False).drop("payload"), "warc-read")
+    back = table(read(spark, path, payloads=False, ids=ids).drop("payload"), "warc-read")
     kept = back.where("type <> 'revisit'").select(F.col("id").alias("kept_id"), F.col("seq").alias("refers_to"))
     return back.join(kept, F.col("refers_to_id") == F.col("kept_id"), "left").select("seq", "payload_bytes", "digest", "type", "refers_to")

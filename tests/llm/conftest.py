@@ -44,7 +44,7 @@ def clashing(docs):
     """The same rows with further columns that have names that the operators use inside."""
     from pyspark.sql import functions as F
 
-    names = ("size", "digest", "fp", "key", "part", "vslot", "target", "position", "_id", "_t", "score", "bucket", "n_words", "keep_id", "shard", "ids", "kept")
+    names = ("size", "digest", "fp", "key", "part", "vslot", "target", "position", "_id", "_t", "score", "bucket", "n_words", "keep_id", "shard", "ids", "kept", "a.b", "c`d")
     return docs.withColumns({n: F.lit("clash") for n in names})
 
 

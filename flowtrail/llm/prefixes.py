@@ -19,7 +19,7 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import table
@@ -28,8 +28,8 @@ from .common import table
 PRIME, BASES = (1 << 31) - 1, (1_103_515_249, 742_938_285)
 #: Widths of the sketched spans; texts below SHORT code points have a sketch of the first as well.
 NARROW, WIDE, SHORT = 5, 16, 128
-#: Entries of a sketch, and the hexadecimal digits of each.
-ENTRIES, DIGITS = 48, 12
+#: Entries of a sketch, and the bytes of each.
+ENTRIES, WIDTH = 48, 5
 _U = np.uint64
 _MIX = (_U(0xBF58476D1CE4E5B9), _U(0x94D049BB133111EB), _U(0x9E3779B97F4A7C15))  # odd multipliers
 
@@ -111,10 +111,14 @@ def _sketch(spans: np.ndarray) -> np.ndarray:
         x = x + (place - np.maximum.accumulate(starts)).astype(_U) * _MIX[2]
     x = (x ^ (x >> _U(30))) * _MIX[0]
     x = (x ^ (x >> _U(27))) * _MIX[1]
-    x = (x ^ (x >> _U(31))) >> _U(64 - 4 * DIGITS)
+    x = (x ^ (x >> _U(31))) >> _U(64 - 8 * WIDTH)
     return np.sort(np.partition(x, ENTRIES - 1)[:ENTRIES] if len(x) > ENTRIES else x)
 
 
+def _bytes(entries: tuple[int, ...]) -> bytes:
+    return b"".join(x.to_bytes(WIDTH, "big") for x in entries)
+
+
 class Fingerprint(NamedTuple):
     n: int
     whole: int
@@ -126,16 +130,29 @@ class Fingerprint(NamedTuple):
         return cls(p.n, p.span(0, p.n), tuple(_sketch(p.spans(NARROW)).tolist()) if p.n < SHORT else None, tuple(_sketch(p.spans(WIDE)).tolist()))
 
     def __str__(self) -> str:
-        digits = lambda s: "".join(f"{x:0{DIGITS}x}" for x in s or ())
+        """The length, the whole span's hash and both sketches, in hexadecimal but for the length."""
+        digits = lambda s: _bytes(s or ()).hex()
         return f"{self.n}.{self.whole:016x}.{digits(self.narrow)}.{digits(self.wide)}"
 
+    def packed(self) -> bytes:
+        """The same in half the bytes; spelled() makes the text of it."""
+        narrow = _bytes(self.narrow or ())
+        return self.n.to_bytes(8, "big") + self.whole.to_bytes(8, "big") + bytes([len(narrow)]) + narrow + _bytes(self.wide)
+
     @classmethod
     def parse(cls, text: str) -> Fingerprint:
         n, whole, narrow, wide = text.split(".")
-        entries = lambda s: tuple(int(s[i : i + DIGITS], 16) for i in range(0, len(s), DIGITS))
+        entries = lambda s: tuple(int(s[i : i + 2 * WIDTH], 16) for i in range(0, len(s), 2 * WIDTH))
         return cls(int(n), int(whole, 16), entries(narrow) if int(n) < SHORT else None, entries(wide))
 
 
+def spelled(packed: Column) -> Column:
+    """Fingerprint.packed() as text."""
+    piece = lambda at, n: F.lower(F.hex(F.substring(packed, at, n)))
+    narrow = F.conv(piece(17, 1), 16, 10).cast("int")
+    return F.concat_ws(".", F.conv(piece(1, 8), 16, 10), piece(9, 8), piece(F.lit(18), narrow), piece(18 + narrow, F.lit(1 << 30)))
+
+
 def likeness(a: Fingerprint, b: Fingerprint) -> float:
     """What share of both texts' spans is common to them, estimated: 1 for equal texts, 0 if one only is empty.
 
@@ -171,15 +188,15 @@ class _Row:
         kept, taken = n - n // 4, min(n // 4, following.prefixes.n)
         changed = self.prefixes.joined(kept, following.prefixes, taken)
         mark = Fingerprint.of(changed)
-        digest = hashlib.sha256((self.text[:kept] + following.text[:taken]).encode()).hexdigest()
+        digest = hashlib.sha256((self.text[:kept] + following.text[:taken]).encode()).digest()
         return (
-            self.name, n, digest, str(self.mark), str(mark), likeness(self.mark, mark), likeness(self.mark, following.mark),
+            self.name, n, digest, self.mark.packed(), mark.packed(), likeness(self.mark, mark), likeness(self.mark, following.mark),
             self.prefixes.extension(0, changed, 0), self.prefixes.extension(0, following.prefixes, 0),
         )
 
 
-_RESULT = "n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, same_start long, next_same_start long"
-_KINDS = [pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64(), pa.int64(), pa.int64()]
+_RESULT = "n_chars long, edited_sha256 binary, fingerprint binary, edited_fingerprint binary, near_edited double, near_next double, same_start long, next_same_start long"
+_KINDS = [pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.float64(), pa.float64(), pa.int64(), pa.int64()]
 _NAMES = [c.split()[0] for c in _RESULT.split(", ")]
 ROWS = 256  # of a batch that a task makes
 
@@ -247,5 +264,6 @@ def successors(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     every = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     turn = firsts.select("part", F.coalesce(F.lead("part").over(Window.orderBy("part")), F.first("part").over(every)).alias("then"))
     pairs = lasts.join(turn, "part").join(firsts.select(F.col("part").alias("then"), F.col("text").alias("following")), "then").select("id", "text", "following")
-    names = ["id", *_NAMES]
-    return made.where("edge is null").select(*names).unionByName(pairs.mapInArrow(_across, f"id {kind}, {_RESULT}")).withColumnRenamed("id", id_col)
+    every_row = made.where("edge is null").select("id", *_NAMES).unionByName(pairs.mapInArrow(_across, f"id {kind}, {_RESULT}"))
+    as_text = {"edited_sha256": F.lower(F.hex("edited_sha256")), "fingerprint": spelled(F.col("fingerprint")), "edited_fingerprint": spelled(F.col("edited_fingerprint"))}
+    return every_row.withColumns(as_text).withColumnRenamed("id", id_col)

@@ -2,17 +2,21 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .functions import net, scalar
-from .operators import accounting, enrich, lookup, selection, sniff, usage
+from .operators import accounting, enrich, lookup, quic, selection, sniff, usage
 from .plans import dns, route, rules
 from .plans.compile import predicate
-from .plans.rules import parse_rule
-from .queries import FLOWS, HOSTS, closed_flows, CLOSED, literal, query, values
-from .sources import filterlist
+from .plans.rules import RuleError, parse_rule
+from .queries import FLOWS, HOSTS, SQL, closed_flows, CLOSED, literal, query, values
+from .session import shared, written
+from .sources import filterlist, store
 from .sources.tables import flows, hosts, hosts_file
+from .streaming import subscribe
 
 
 def judged(df: DataFrame, key: str, items: dict[str, dict], **kw) -> DataFrame:
@@ -376,22 +380,152 @@ def sniff_packets(spark, sf_dir):
     return sniff.classify(df, packet=True).select("id", "protocol")
 
 
-@query(f"WITH {FLOWS} SELECT id, 'tls' AS protocol, 'h' || event_id % 1000 || '.test' AS domain FROM flows")
-def sniff_tls(spark, sf_dir):
-    """Hellos with up to a hundred extensions before the name."""
+def _hello(extensions, most: int):
+    """A client hello in hexadecimal, with so many extensions before the name."""
     h = lambda c, n: F.lpad(F.hex(c), n, "0")
     name = F.hex(F.concat(F.lit("H"), F.col("event_id") % 1000, F.lit(".test")).cast("binary"))
     n = F.floor(F.length(name) / 2)
-    ext = F.concat(F.repeat(F.lit("00FF0000"), (F.col("event_id") % 101).cast("int")), F.lit("0000"), h(n + 5, 4), h(n + 3, 4), F.lit("00"), h(n, 4), name)
+    ext = F.concat(F.repeat(F.lit("00FF0000"), (extensions % most).cast("int")), F.lit("0000"), h(n + 5, 4), h(n + 3, 4), F.lit("00"), h(n, 4), name)
     body = F.concat(F.lit("0303" + "AB" * 32 + "00" + "00021301" + "0100"), h(F.floor(F.length(ext) / 2), 4), ext)
-    hello = F.concat(F.lit("01"), h(F.floor(F.length(body) / 2), 6), body)
-    df = flows(spark, sf_dir).select("id", F.unhex(F.concat(F.lit("160301"), h(F.floor(F.length(hello) / 2), 4), hello)).alias("payload"))
+    return F.concat(F.lit("01"), h(F.floor(F.length(body) / 2), 6), body)
+
+
+def _record(data):
+    return F.concat(F.lit("160301"), F.lpad(F.hex(F.floor(F.length(data) / 2)), 4, "0"), data)
+
+
+@query(f"WITH {FLOWS} SELECT id, 'tls' AS protocol, 'h' || event_id % 1000 || '.test' AS domain FROM flows")
+def sniff_tls(spark, sf_dir):
+    """Hellos with up to a hundred extensions before the name."""
+    df = flows(spark, sf_dir).select("id", F.unhex(_record(_hello(F.col("event_id"), 101))).alias("payload"))
     return sniff.classify(df).select("id", "protocol", "domain")
 
 
+@query(f"""WITH {FLOWS}, p AS (SELECT id, event_id, event_id % 6 AS k FROM flows) SELECT id, CASE k WHEN 0 THEN 'ssh' WHEN 1 THEN 'http' WHEN 2 THEN 'tls' WHEN 3 THEN 'tls' END AS protocol,
+    CASE k WHEN 1 THEN 'h' || id || '.example' WHEN 2 THEN 'h' || event_id % 1000 || '.test' WHEN 3 THEN 'h' || event_id % 1000 || '.test' END AS domain, CASE k WHEN 0 THEN 'x_' || id END AS client, k = 4 AS need_more FROM p""")
+def sniff_pieces(spark, sf_dir):
+    """Streams cut at two places each, of which the hellos of every other one are also cut into two records."""
+    i = F.col("event_id")
+    hello = _hello(i, 20)
+    half = (2 * F.floor(F.length("hello") / 4)).cast("int")
+    text = F.expr(r"""CASE event_id % 6 WHEN 0 THEN concat('SSH-2.0-x_', id, '\r\n') WHEN 1 THEN concat('GET / HTTP/1.1\r\nHost: H', id, '.example:80\r\n\r\n') WHEN 4 THEN 'GET / HTTP/1.1\r\nHost: h' WHEN 5 THEN 'hello, world, what is this' END""")
+    two = F.concat(_record(F.substring(F.col("hello"), F.lit(1), half)), _record(F.substring(F.col("hello"), half + 1, F.lit(1 << 20))))
+    whole = flows(spark, sf_dir).withColumn("hello", hello).select("id", "event_id", F.when(i % 6 == 2, _record(F.col("hello"))).when(i % 6 == 3, two).otherwise(F.hex(text.cast("binary"))).alias("p"))
+    n = F.floor(F.length("p") / 2)
+    most = F.when(i % 6 == 0, 8).otherwise(n)  # a banner is decided as soon as its first bytes are there
+    cuts = whole.select("id", "p", F.array_sort(F.array(F.lit(0), (i % most).cast("int"), (i * 7 % most).cast("int"), n.cast("int"))).alias("at"))
+    parts = cuts.select("id", F.posexplode(F.transform(F.sequence(F.lit(1), F.lit(3)), lambda k: F.unhex(F.substring(F.col("p"), 2 * F.element_at("at", k) + 1, 2 * (F.element_at("at", k + 1) - F.element_at("at", k)))))).alias("seq", "payload"))
+    return sniff.classify_pieces(parts.repartition(8, "seq"), "id", "seq").select("id", "protocol", "domain", "client", "need_more")
+
+
+def _sealed(df, number, frames):
+    """Initial packets of QUIC version 1 in hexadecimal for a connection id (dcid, binary), as a client would send them."""
+    h = lambda c, n: F.lpad(F.hex(c), n, "0")
+    d = quic.with_keys(df.withColumn("v", F.lit(1).cast("long")), "v", "dcid").withColumns({"n": number, "frames": frames})
+    d = d.withColumn("head", F.concat(F.lit("C10000000108"), F.hex("dcid"), F.lit("0000"), h(F.lit(0x4000 + 18) + F.floor(F.length("frames") / 2), 4), h("n", 4)))
+    # Spark puts the nonce before what it seals.
+    d = d.withColumn("sealed", F.hex(F.aes_encrypt(F.unhex("frames"), F.unhex("key"), F.lit("GCM"), F.lit("DEFAULT"), quic.nonce(F.col("iv"), F.col("n")), F.unhex("head"))).substr(25, 1 << 20))
+    d = d.withColumn("mask", quic.mask(F.col("hp"), F.unhex(F.col("sealed").substr(5, 32))))
+    xor = lambda x, at, n: h(F.conv(x, 16, 10).cast("long").bitwiseXOR(F.conv(F.substring("mask", at, n), 16, 10).cast("long")), n)
+    first = h(F.lit(0xC1).bitwiseXOR(F.conv(F.substring("mask", 1, 2), 16, 10).cast("int").bitwiseAND(F.lit(15))), 2)
+    size = F.length("head")
+    return d.withColumn("packet", F.concat(first, F.col("head").substr(F.lit(3), size - 6), xor(F.col("head").substr(size - 3, F.lit(4)), 3, 4), F.col("sealed")))
+
+
+@query(f"""WITH {FLOWS} SELECT event_id AS connection, CASE WHEN event_id % 5 <> 4 THEN 'quic' END AS protocol, CASE WHEN event_id % 5 < 3 THEN 'h' || event_id % 1000 || '.test' END AS domain, event_id % 5 = 3 AS need_more FROM flows""")
+def quic_hellos(spark, sf_dir):
+    """Hellos in one packet, in two, in pieces out of order, in pieces of which one is lost, and packets that were damaged."""
+    i, h = F.col("event_id"), lambda c, n: F.lpad(F.hex(c), n, "0")
+    df = flows(spark, sf_dir).select("event_id", F.unhex(h(i * 2654435761, 16)).alias("dcid"), _hello(i, 30).alias("hello"))
+    part = lambda a, b: F.concat(F.lit("06"), h(F.lit(0x4000) + a, 4), h(F.lit(0x4000) + (b - a), 4), F.substring("hello", 2 * a + 1, 2 * (b - a)))
+    n, a, b = (F.length("hello") / 2).cast("int"), F.lit(20), F.lit(60)
+    blank = F.lit("00" * 40 + "01")
+    kind = i % 5
+    one = F.when(kind.isin(0, 4), F.concat(part(F.lit(0), n), blank)).when(kind == 1, F.concat(part(F.lit(0), a), part(a, b))).when(kind == 2, F.concat(part(b, n), F.lit("0200000000"), blank, part(F.lit(0), a))).otherwise(F.concat(blank, part(a, b)))
+    two = F.when(kind.isin(1, 3), part(b, n)).when(kind == 2, F.concat(part(a, b), blank))
+    both = _sealed(df, F.lit(0), one).unionByName(_sealed(df.where(kind.isin(1, 2, 3)), F.lit(1), two))
+    packet = F.when(kind == 4, F.concat(F.col("packet").substr(F.lit(1), F.length("packet") - 1), F.translate(F.substring("packet", -1, 1), "0123456789ABCDEF", "123456789ABCDEF0"))).otherwise(F.col("packet"))
+    return quic.hellos(written(both.select(i.alias("connection"), F.col("n").alias("seq"), F.unhex(packet).alias("payload")), "quic-packets"))
+
+
 @query(f"WITH {FLOWS}, j AS (SELECT id, '771,' || (4865 + event_id % 4) || '-4866,0-23-' || event_id % 50 || ',29,0' AS ja3 FROM flows) SELECT id, ja3, md5(ja3) AS ja3_md5 FROM j")
 def hello_fingerprints(spark, sf_dir):
     i = F.col("event_id")
     grease = F.lit(0x1A1A)
     h = flows(spark, sf_dir).select("id", F.lit(771).alias("version"), F.array(grease, (F.lit(4865) + i % 4).cast("int"), F.lit(4866)).alias("ciphers"), F.array(F.lit(0), grease, F.lit(23), (i % 50).cast("int")).alias("extensions"), F.array(grease, F.lit(29)).alias("groups"), F.array(F.lit(0)).alias("formats"))
     return sniff.ja3(h).select("id", "ja3", "ja3_md5")
+
+
+# Streams
+
+
+def _in_files(df: DataFrame, name: str, order: str, n: int = 4) -> DataFrame:
+    """df as a stream of n files, written one after the other in an order."""
+    spark, folder = df.sparkSession, shared(df.sparkSession, name)
+    bounds = df.approxQuantile(order, [k / n for k in range(1, n)], 0.001)
+    low = None
+    for high in [*bounds, None]:
+        part = df if low is None else df.where(F.col(order) > low)
+        (part if high is None else part.where(F.col(order) <= high)).coalesce(1).write.mode("append").parquet(folder)
+        low = high
+    return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(folder)
+
+
+@query(SQL["connection_deltas"])
+def connection_deltas_stream(spark, sf_dir):
+    """connection_deltas from samples that come in four batches, with one small state a connection."""
+    s = flows(spark, sf_dir).select(F.col("auth_user").alias("id"), F.col("event_id").alias("ts"), F.expr("upload % 300 div 100 * 50").alias("upload"), F.expr("download % 200 div 100 * 70").alias("download"))
+    out = shared(spark, "deltas")
+    with subscribe.settings(spark):
+        store.to_batches(subscribe.deltas(_in_files(s, "samples", "ts")), out, shared(spark, "deltas-state")).awaitTermination()
+    return spark.read.schema("id string, ts long, up_delta long, down_delta long").parquet(out).drop("batch")
+
+
+@query(SQL["changelog_fold"])
+def subscription(spark, sf_dir):
+    """A snapshot of the first half of the changes, and then a stream of changes that overlaps with it."""
+    ev = flows(spark, sf_dir).select(
+        F.col("auth_user").alias("id"), F.col("event_id").alias("seq"), F.when(F.col("inbound") == "signup", "NEW").when(F.col("inbound") == "error", "CLOSED").otherwise("UPDATE").alias("type"),
+        F.unix_millis(F.col("created_at").cast("timestamp")).alias("ts_ms"), F.col("upload").alias("up_delta"), F.col("download").alias("down_delta"),
+    )
+    half, quarter = ev.approxQuantile("seq", [0.5, 0.25], 0.001)
+    snapshot = accounting.apply_changes(ev.where(F.col("seq") <= half)).withColumn("seq", F.lit(half).cast("long"))
+    out = shared(spark, "subscription")
+    with subscribe.settings(spark):
+        changes = _in_files(ev.where(F.col("seq") > quarter), "changes", "seq")
+        subscribe.subscribe(changes, snapshot, out, shared(spark, "subscription-state")).awaitTermination()
+    return subscribe.subscribed(spark, out).drop("seq")
+
+
+@query(f"""WITH {HOSTS}, m AS (SELECT max(page_id) // 2 AS middle FROM hosts) SELECT page_id, CAST(CASE WHEN page_id <= middle THEN 1 ELSE 2 END AS BIGINT) AS version,
+    CASE WHEN page_id <= middle THEN host = 'example.com' OR ends_with(host, '.example.com') ELSE contains(host, 'th') END AS matched FROM hosts, m""")
+def rules_reloaded(spark, sf_dir):
+    """Rules are updated between two runs of a stream; an update that is no valid rule set comes before each run and changes nothing."""
+    h, folder, out, checkpoint = hosts(spark, sf_dir), shared(spark, "rules"), shared(spark, "matched"), shared(spark, "matched-state")
+    source, middle = shared(spark, "hosts"), h.agg(F.floor(F.max("page_id") / 2)).first()[0]
+
+    def judge(batch: DataFrame) -> DataFrame:
+        version, rule_set = store.current(spark, folder)
+        return batch.select("page_id", F.lit(version).cast("long").alias("version"), predicate(batch, rule_set.rules[0]).alias("matched"))
+
+    for rule, part in (({"domain_suffix": "example.com"}, h.where(F.col("page_id") <= middle)), ({"domain_keyword": "th"}, h.where(F.col("page_id") > middle))):
+        store.publish(spark, folder, json.dumps({"version": 3, "rules": [rule]}))
+        for bad in ('{"version": 3, "rules": [{"domain_regex": "a(b"}]}', '{"version": 3, "rules": [{"port": "x"}]}', "{"):
+            try:
+                store.publish(spark, folder, bad)
+            except RuleError:
+                continue
+            raise AssertionError("an invalid rule set was published")
+        part.coalesce(1).write.mode("append").parquet(source)
+        store.to_batches(spark.readStream.schema(h.schema).parquet(source), out, checkpoint, judge).awaitTermination()
+    return spark.read.schema("page_id long, version long, matched boolean").parquet(out).drop("batch")
+
+
+@query(f"WITH {FLOWS} SELECT event_id, upload FROM flows")
+def timeline_replayed(spark, sf_dir):
+    """Samples are written by a stream whose progress is lost between two runs: what it writes again replaces what was there."""
+    s, out = flows(spark, sf_dir).select("event_id", "upload"), shared(spark, "timeline")
+    stream = _in_files(s, "timeline-samples", "event_id")
+    for run in range(2):
+        store.to_batches(stream, out, shared(spark, f"timeline-state-{run}"), kind="json").awaitTermination()
+    return spark.read.schema("event_id long, upload long").json(out).drop("batch")

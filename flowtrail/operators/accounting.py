@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import written
+from .slices import chain, running
+
 RETAINED = 1000
 CLOSED_MAX_AGE_MS = 5 * 60 * 1000
 COLUMNS = ("id", "inbound", "network", "source", "destination", "domain", "protocol", "user", "rule", "outbound", "chain", "uplink", "downlink", "created")
@@ -131,29 +134,15 @@ def apply_changes(events: DataFrame, now_ms: int | None = None) -> DataFrame:
 def idle_gaps(activity: DataFrame, key: str, at: str = "ts", gap_s: float = 5, ignore_s: float = 1) -> DataFrame:
     """Breaks of a key's activity: at, idle_ms where an activity follows the last refresh by gap_s or more.
 
-    Touches within ignore_s of the last refresh do not refresh, so the refresh times follow one from
-    another; sessions that are gap_s apart are independent, and each is folded by itself.
+    Touches within ignore_s of the last refresh do not refresh, so refreshes are a chain: each is followed by the first
+    touch that is ignore_s after it or more (operators/slices.py). Equal times are one touch.
     """
-    ms = F.unix_millis(F.col(at).cast("timestamp"))
-    t = activity.select(F.col(key).alias("key"), ms.alias("ms")).distinct()
-    w = Window.partitionBy("key").orderBy("ms")
-    t = t.withColumn("new", (F.col("ms") - F.lag("ms").over(w) >= int((gap_s + ignore_s) * 1000)).cast("int"))
-    t = t.withColumn("session", F.sum(F.coalesce("new", F.lit(0))).over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    s = t.groupBy("key", "session").agg(F.sort_array(F.collect_list("ms")).alias("at"))
-    zero = F.struct(F.lit(None).cast("long").alias("last"), F.expr("cast(array() as array<struct<at:bigint,idle_ms:bigint>>)").alias("out"))
-
-    def step(a: Column, x: Column) -> Column:
-        idle = x - a["last"]
-        broke = F.coalesce(idle >= int(gap_s * 1000), F.lit(False))
-        return F.struct(
-            F.when(F.coalesce(idle < int(ignore_s * 1000), F.lit(False)), a["last"]).otherwise(x).alias("last"),
-            F.when(broke, F.array_append(a["out"], F.struct(x.alias("at"), idle.alias("idle_ms")))).otherwise(a["out"]).alias("out"),
-        )
-
-    s = s.withColumn("f", F.aggregate("at", zero, step)).withColumn("first", F.get("at", F.lit(0)))
-    between = F.col("first") - F.lag("f.last").over(Window.partitionBy("key").orderBy("session"))
-    s = s.withColumn("breaks", F.concat(F.when(between.isNotNull(), F.array(F.struct(F.col("first").alias("at"), between.alias("idle_ms")))).otherwise(F.expr("cast(array() as array<struct<at:bigint,idle_ms:bigint>>)")), "f.out"))
-    return s.select("key", F.explode("breaks").alias("b")).select("key", F.col("b.at").alias("at_ms"), "b.idle_ms")
+    touches = activity.where(F.col(at).isNotNull()).select(F.col(key).alias("key"), F.unix_millis(F.col(at).cast("timestamp")).alias("ms")).distinct()
+    ignored = max(int(ignore_s * 1000), 1)
+    on = written(chain(touches.withColumn("until", F.col("ms") + ignored), "key", "ms", "until").where("counts").select("key", "ms"), "refreshes")
+    named = on.select("key", "ms", F.struct(F.coalesce("key", F.lit("0").cast(on.schema["key"].dataType)).alias("of"), F.col("key").isNull().alias("none")).alias("k"))
+    idle = running(named, ["k"], "ms", [], "ms", "before", itself=False)
+    return idle.where(F.col("ms") - F.col("before") >= int(gap_s * 1000)).select("key", F.col("ms").alias("at_ms"), (F.col("ms") - F.col("before")).alias("idle_ms"))
 
 
 def recent_closed(connections: DataFrame, n: int = RETAINED) -> DataFrame:

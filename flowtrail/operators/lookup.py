@@ -4,20 +4,12 @@ from __future__ import annotations
 
 import heapq
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.scalar import java_regex
-from ..session import written
-
-#: Lookup tables up to this many rows are broadcast; larger ones are joined by shuffle.
-BROADCAST_ROWS = 100_000
-
-
-def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """df with a broadcast hint if it has at most `rows` rows, which is counted and not assumed."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
-
+from ..session import BROADCAST_ROWS, small, written
+from .patterns import matches, quoted
+from .slices import running
 
 def label_suffixes(host: Column) -> Column:
     """`a.b.c` as [a.b.c, b.c, c]."""
@@ -144,15 +136,18 @@ def networks_by_country(networks: DataFrame) -> DataFrame:
 def asof_join(df: DataFrame, mapping: DataFrame, key: str, at: str = "ts") -> DataFrame:
     """df with value: the latest mapping (key, at, value, ttl_s) of its key at or before its time, null once that has expired.
 
-    One shuffle on the key: mappings and rows are ordered together, and the last mapping seen is carried
-    on. Of mappings at one time the largest value counts.
+    Mappings and rows are ordered together in slices of time, and the last mapping seen is carried on, also
+    over the bounds of slices (operators/slices.py), so a key with very many rows is in many tasks. Of mappings at one
+    time the largest value counts. Rows without a key or a time pass by: they have no value.
     """
-    rows = df.select(F.col(key).alias("_k"), F.col(at).alias("_t"), F.lit(1).alias("_side"), F.struct(*df.columns).alias("_row"))
-    maps = mapping.select(F.col(key).alias("_k"), F.col(at).alias("_t"), F.lit(0).alias("_side"), F.struct(F.col(at).alias("since"), "value", "ttl_s").alias("_map"))
-    w = Window.partitionBy("_k").orderBy("_t", "_side", "_map.value").rowsBetween(Window.unboundedPreceding, 0)
-    both = maps.unionByName(rows, allowMissingColumns=True).withColumn("_last", F.last("_map", ignorenulls=True).over(w)).where("_side = 1")
-    alive = F.col("_t") < F.col("_last.since") + F.make_dt_interval(secs=F.col("_last.ttl_s"))
-    return both.select("_row.*", F.when(alive, F.col("_last.value")).alias("value"))
+    time = lambda c: F.unix_micros(F.col(c).cast("timestamp"))
+    known = F.col(key).isNotNull() & F.col(at).isNotNull()
+    rows = df.where(known).select(F.col(key).alias("_k"), time(at).alias("_t"), F.lit(1).alias("_side"), F.lit(None).cast(mapping.schema["value"].dataType).alias("_v"), F.struct(*df.columns).alias("_row"))
+    maps = mapping.where(known).select(F.col(key).alias("_k"), time(at).alias("_t"), F.lit(0).alias("_side"), F.col("value").alias("_v"), F.struct(time(at).alias("since"), "value", "ttl_s").alias("_map"))
+    both = running(maps.unionByName(rows, allowMissingColumns=True), ["_k"], "_t", ["_side", "_v"], "_map", "_last").where("_side = 1")
+    alive = F.col("_t") < F.col("_last.since") + F.col("_last.ttl_s").cast("long") * 1_000_000
+    found = both.select("_row.*", F.when(alive, F.col("_last.value")).alias("value"))
+    return found.unionByName(df.where(~known).withColumn("value", F.lit(None).cast(mapping.schema["value"].dataType)))
 
 
 def resolve_chain(groups: DataFrame) -> DataFrame:
@@ -184,49 +179,21 @@ def hosts_lookup(df: DataFrame, hosts: DataFrame, name: str = "host") -> DataFra
 DOMAIN, SUFFIX, KEYWORD, REGEX = range(4)
 
 
-#: Keywords and patterns up to this many are evaluated as literals in one pass over the hosts.
-LITERALS = 2_000
-
-
-def usable(spark: SparkSession, pattern: str) -> str | None:
-    """A pattern as Java reads it, null if it has no meaning there."""
-    try:
-        java = java_regex(pattern)
-        spark._jvm.java.util.regex.Pattern.compile(java)
-        return java
-    except Exception:  # a pattern that does not compile is passed over
-        return None
-
-
 def category_lookup(hosts: DataFrame, items: DataFrame) -> DataFrame:
     """host, code and type: for each category the first kind of item that the host has; hosts are distinct.
 
     items: code, type, value. A suffix is a plain string suffix here. Domains and suffixes are looked up
-    by equality; only keywords and patterns are tried one by one. A pattern that does not compile is
+    by equality, keywords and patterns by the trigrams that they need. A pattern without a meaning is
     passed over.
     """
-    spark = hosts.sparkSession
     h = hosts.select("host").where("host <> ''").distinct()
     longest = h.agg(F.max(F.length("host"))).first()[0] or 0
     lengths = [r.n for r in items.where(F.col("type") == SUFFIX).select(F.length("value").alias("n")).where(F.col("n") <= longest).distinct().collect()]
     exact = h.join(small(items.where(F.col("type") == DOMAIN)), F.col("host") == F.col("value")).select("host", "code", "type")
     tails = h.select("host", F.explode(F.array(*[F.when(F.length("host") >= n, F.substring("host", -n, n)) for n in sorted(lengths)] or [F.lit(None).cast("string")])).alias("tail"))
     suffix = tails.join(small(items.where(F.col("type") == SUFFIX)), F.col("tail") == F.col("value")).select("host", "code", "type")
-    searched = items.where(F.col("type") >= KEYWORD).select("code", "type", "value")
-    some = searched.limit(LITERALS + 1).collect()
-    if len(some) <= LITERALS:
-        tests = []
-        for code, kind, value in some:
-            pattern = value if kind == KEYWORD else usable(spark, value)
-            if pattern is not None:
-                hit = F.contains("host", F.lit(value)) if kind == KEYWORD else F.regexp("host", F.lit(pattern))
-                tests.append(F.when(hit, F.struct(F.lit(code).alias("code"), F.lit(kind).alias("type"))))
-        rest = h.select("host", F.explode(F.array_compact(F.array(*tests))).alias("i")).select("host", "i.*") if tests else exact.limit(0)
-    else:
-        good = spark.createDataFrame([(r.value, java) for r in searched.where(F.col("type") == REGEX).select("value").distinct().toLocalIterator() if (java := usable(spark, r.value))], "value string, java string")
-        searched = searched.join(good, "value", "left").where((F.col("type") == KEYWORD) | F.col("java").isNotNull())
-        rest = h.join(small(searched), F.when(F.col("type") == KEYWORD, F.contains("host", "value")).otherwise(F.regexp("host", "java"))).select("host", "code", "type")
-    return exact.unionByName(suffix).unionByName(rest).groupBy("host", "code").agg(F.min("type").alias("type"))
+    searched = items.where(F.col("type") >= KEYWORD).select(F.when(F.col("type") == KEYWORD, quoted(F.col("value"))).otherwise(F.col("value")).alias("pattern"), "code", "type")
+    return exact.unionByName(suffix).unionByName(matches(h, searched)).groupBy("host", "code").agg(F.min("type").alias("type"))
 
 
 def category_counts(items: DataFrame) -> DataFrame:

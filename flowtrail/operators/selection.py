@@ -2,8 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+
+from .slices import chain, running
 
 TOLERANCE_MS = 50
 OPT, SOA, A, AAAA = 41, 6, 1, 28
@@ -95,37 +101,69 @@ def synthetic_addresses(requests: DataFrame, base: int, size: int) -> DataFrame:
 
     Addresses are issued in order of first request from base + 2; the broadcast address is skipped. Up
     to size - 3 domains the n-th gets the n-th address. Beyond that addresses are issued again and their
-    old domains lose them, which only the order of all requests can tell: this raises ValueError, and
-    synthetic_addresses_wrapping folds them.
+    old domains lose them, which only the order of all requests can tell: allocated() then passes over them.
     """
     first = requests.groupBy("domain").agg(F.min("seq").alias("first"))
     if first.limit(size - 2).count() > size - 3:
-        raise ValueError("the address range wraps")
+        return allocated(requests.select(F.lit(0).alias("pool"), "domain", "seq"), base, size).select("domain", "address")
     parts = first.withColumn("part", F.floor(F.col("first") / 100_000))
     counts = parts.groupBy("part").agg(F.count("*").alias("n")).withColumn("before", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     k = F.row_number().over(Window.partitionBy("part").orderBy("first", "domain"))
     return parts.withColumn("k", k).join(counts, "part").select("domain", (F.lit(base + 1).cast("long") + F.col("before") + F.col("k")).alias("address"))
 
 
-def synthetic_addresses_wrapping(requests: DataFrame, base: int, size: int, key: str = "pool") -> DataFrame:
-    """pool, domain and address after requests (pool, domain, seq) where the range may wrap: a fold in order, pool by pool.
+def allocated(requests: DataFrame, base: int, size: int, key: str = "pool", held: DataFrame | None = None) -> DataFrame:
+    """pool, domain, address and turn after requests (pool, domain, seq), the range of each pool being issued over and over.
 
-    State is bounded by `size` entries a pool. A domain that has an address keeps it; the next address in
-    turn is taken from whoever has it.
+    A domain that has an address keeps it; the next address in turn is taken from whoever has it. turn: how many
+    addresses were issued before this one, so the newest has the highest. held: an earlier result, from which the pool goes on:
+    requests that are passed in two parts end as if passed at once. Ties in seq go by domain.
+
+    One ordered pass over a pool's requests, which come in batches: a task holds the size - 3 addresses of
+    a pool and one batch. Pools are dealt out; requests of one pool depend on each other in their order.
+    """
+    ring, kind = size - 3, requests.schema[key].dataType.simpleString()
+
+    def out(pool, last: int, owner: dict[int, str]) -> pa.RecordBatch:
+        turns = sorted(last - (last - slot) % ring for slot in owner)
+        return pa.record_batch([pa.array([pool] * len(turns), kinds), pa.array([owner[t % ring] for t in turns]), pa.array([base + 2 + t % ring for t in turns], pa.int64()), pa.array(turns, pa.int64())], names=[key, "domain", "address", "turn"])
+
+    kinds = to_arrow_type(requests.schema[key].dataType)
+
+    def go_on(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, last, owner, slot_of = object(), -1, {}, {}
+        for batch in batches:
+            for pool, domain, turn in zip(*(batch[c].to_pylist() for c in (key, "domain", "turn"))):
+                if pool != now:
+                    if owner:
+                        yield out(now, last, owner)
+                    now, last, owner, slot_of = pool, -1, {}, {}
+                if turn is None and domain in slot_of:
+                    continue
+                last = last + 1 if turn is None else turn
+                slot = last % ring
+                slot_of.pop(owner.get(slot), None)
+                owner[slot], slot_of[domain] = domain, slot
+        if owner:
+            yield out(now, last, owner)
+
+    rows = requests.where("domain is not null").select(key, "domain", "seq", F.lit(None).cast("long").alias("turn"))
+    if held is not None:
+        rows = rows.unionByName(held.select(key, "domain", F.lit(None).cast(requests.schema["seq"].dataType).alias("seq"), "turn"))
+    ordered = rows.repartition(key).sortWithinPartitions(F.col(key), F.asc_nulls_last("turn"), "seq", "domain")
+    return ordered.mapInArrow(go_on, f"{key} {kind}, domain string, address long, turn long")
+
+
+def coalesced(requests: DataFrame) -> DataFrame:
+    """requests (key, id, at_ms, took_ms) with leader: the request whose exchange answers this one, itself if it starts one.
+
+    The first request for a key starts an exchange; those that come before it ended wait for it and start none, and
+    the next one starts again: a chain of leaders (operators/slices.py). Of requests at one time the one with
+    the smallest id is first. An exchange takes 1 ms at least.
     """
-    import pandas as pd
-
-    def fold(rows: pd.DataFrame) -> pd.DataFrame:
-        held: dict[str, int] = {}
-        owner: dict[int, str] = {}
-        last = base + 1
-        for domain in rows.sort_values(["seq", "domain"])["domain"]:
-            if domain in held:
-                continue
-            last = base + 2 if last + 1 >= base + size - 1 else last + 1
-            held.pop(owner.pop(last, ""), None)
-            held[domain], owner[last] = last, domain
-        return pd.DataFrame({key: rows[key].iloc[0], "domain": list(held), "address": list(held.values())})
-
-    kind = requests.schema[key].dataType.simpleString()
-    return requests.groupBy(key).applyInPandas(fold, f"{key} {kind}, domain string, address long")
+    first = requests.groupBy("key", "at_ms").agg(F.min(F.struct("id", F.greatest("took_ms", F.lit(1)).alias("took"))).alias("f"))
+    on = chain(first.withColumn("until", F.col("at_ms") + F.col("f.took")), "key", "at_ms", "until")
+    moments = on.select("key", "at_ms", F.struct(F.coalesce("key", F.lit("0").cast(on.schema["key"].dataType)).alias("of"), F.col("key").isNull().alias("none")).alias("k"), F.when(F.col("counts"), F.col("f.id")).alias("leads"))
+    led = running(moments, ["k"], "at_ms", [], "leads", "leader").select("k", F.col("at_ms").alias("_at"), "leader")
+    k = F.struct(F.coalesce("key", F.lit("0").cast(requests.schema["key"].dataType)).alias("of"), F.col("key").isNull().alias("none"))
+    return requests.withColumn("k", k).join(led.withColumnRenamed("_at", "at_ms"), ["k", "at_ms"]).select(*requests.columns, "leader")

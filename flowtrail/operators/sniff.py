@@ -6,9 +6,11 @@ is ok wins, in the order of STREAM or PACKET.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.scalar import let
+
 #: On these ports the server speaks first.
 SERVER_FIRST = (25, 465, 587, 143, 993, 110, 995)
 
@@ -59,12 +61,33 @@ def http_host(p: Column) -> Column:
     return F.regexp_extract(F.decode(p, "ISO-8859-1"), r"(?i)\r?\nhost:[ \t]*(\[[^\]]*\]|[^:\r\n \t]*)", 1)
 
 
-def tls(p: Column):
-    """A handshake record that holds a whole client hello."""
+def tls(p: Column, records: Column | None = None):
+    """Handshake records that hold a whole client hello between them; records: what handshake() makes of p."""
+    records = handshake(p) if records is None else records
+    body = records["body"]
+    begun, whole = F.coalesce(_at(body, 0) == 1, F.octet_length(body) == 0), F.coalesce(F.octet_length(body) >= _at(body, 1, 3) + 4, F.lit(False))
+    start = F.coalesce(_at(p, 0) == 22, F.lit(True)) & F.coalesce(_at(p, 1) == 3, F.lit(True))
+    return F.coalesce(begun & whole, F.lit(False)), F.when(body.isNotNull(), begun & ~whole & ~records["ended"]).otherwise(start & (F.octet_length(p) < 2))
+
+
+def handshake(p: Column) -> Column:
+    """body: what the handshake records from the start on carry, the last one as far as it is there, null if there is none; ended: a record of another kind follows."""
+    size, first = F.octet_length(p), _at(p, 3, 2).cast("int")
+    start = F.struct(F.lit(0).alias("at"), F.lit(b"").alias("body"), F.lit(False).alias("ended"))
+
+    def step(a: Column, _) -> Column:
+        kind, n = _at_col(p, a["at"]), F.conv(F.hex(F.substring(p, a["at"] + 4, F.lit(2))), 16, 10).cast("int")
+        return (
+            F.when(a["ended"] | (a["at"] >= size), a).when(kind != 22, F.struct(a["at"].alias("at"), a["body"].alias("body"), F.lit(True).alias("ended")))
+            .when(a["at"] + 5 > size, F.struct(size.alias("at"), a["body"].alias("body"), F.lit(False).alias("ended")))
+            .otherwise(F.struct((a["at"] + 5 + n).alias("at"), F.concat(a["body"], F.substring(p, a["at"] + 6, n)).alias("body"), F.lit(False).alias("ended")))
+        )
+
+    # Nearly every hello is in one record.
+    alone = (size <= 5 + first) | F.coalesce(_at(p, 6, 3) + 4 <= first, F.lit(False))
+    one = F.struct(size.alias("at"), F.substring(p, F.lit(6), first).alias("body"), F.lit(False).alias("ended"))
     head = (_at(p, 0) == 22) & (_at(p, 1) == 3)
-    size = _at(p, 3, 2) + 5
-    hello = head & F.coalesce(_at(p, 5) == 1, F.lit(False))
-    return F.coalesce(hello & (F.octet_length(p) >= size), F.lit(False)), F.coalesce(head, F.octet_length(p) < 3) & F.coalesce(F.octet_length(p) < size, F.lit(True))
+    return F.when(head & F.coalesce(alone, F.lit(False)), one).when(head, F.aggregate(F.sequence(F.lit(0), F.floor(size / 5).cast("int")), start, step))
 
 
 def tls_name(p: Column) -> Column:
@@ -142,25 +165,60 @@ PACKET = {"dns": dns_packet, "stun": stun, "utp": utp, "udp_tracker": udp_tracke
 NAMED = {"utp": "bittorrent", "udp_tracker": "bittorrent"}
 
 
+def told(p: Column, packet: bool = False) -> Column:
+    """protocol, domain, client and need_more of a payload."""
+    sure = lambda c: F.coalesce(c, F.lit(False))
+
+    def made(records: Column | None) -> Column:
+        protocol, more = None, F.lit(False)
+        for name, test in (PACKET if packet else STREAM).items():
+            ok, short = test(p, records) if name == "tls" else test(p)
+            name = NAMED.get(name, name)
+            protocol = F.when(sure(ok), name) if protocol is None else protocol.when(sure(ok), name)
+            more = more | sure(short)
+        # A hello's name is read as of one record; packets have neither.
+        named = lambda x: F.lit(None).cast("string") if records is None else F.when(x == "http", http_host(p)).when(x == "tls", let(F.concat(F.lit(bytes(5)), records["body"]), tls_name))
+        return let(protocol, lambda x: F.struct(
+            x.alias("protocol"), F.lower(named(x)).alias("domain"),
+            F.when(x == "ssh", ssh_client(p)).alias("client"), (x.isNull() & more).alias("need_more")))
+
+    return made(None) if packet else let(handshake(p), made)
+
+
+TOLD = ("protocol", "domain", "client", "need_more")
+
+
 def classify(df: DataFrame, payload: str = "payload", packet: bool = False, port: str | None = None) -> DataFrame:
     """Adds protocol, domain, client and need_more. Streams to server-first ports are not looked at."""
-    p = F.col(payload)
-    protocol, more = None, F.lit(False)
-    sure = lambda c: F.coalesce(c, F.lit(False))
-    for name, test in (PACKET if packet else STREAM).items():
-        ok, short = test(p)
-        name = NAMED.get(name, name)
-        protocol = F.when(sure(ok), name) if protocol is None else protocol.when(sure(ok), name)
-        more = more | sure(short)
+    what = told(F.col(payload), packet)
     if port and not packet:
-        skip = F.col(port).isin(*SERVER_FIRST)
-        protocol, more = F.when(~skip, protocol), ~skip & more
-    out = df.withColumn("protocol", protocol)
-    return out.withColumns({
-        "domain": F.lower(F.when(F.col("protocol") == "http", http_host(p)).when(F.col("protocol") == "tls", tls_name(p))),
-        "client": F.when(F.col("protocol") == "ssh", ssh_client(p)),
-        "need_more": F.col("protocol").isNull() & more,
-    })
+        what = F.when(~F.coalesce(F.col(port).isin(*SERVER_FIRST), F.lit(False)), what)
+    out = df.withColumn("_told", what)
+    return out.select(*df.columns, *[F.col(f"_told.{c}") for c in TOLD[:3]], F.coalesce("_told.need_more", F.lit(False)).alias("need_more"))
+
+
+#: Bytes of a connection after which no more is waited for.
+LIMIT = 16_384
+
+
+def classify_pieces(pieces: DataFrame, key: str, order: str, payload: str = "payload", port: str | None = None, limit: int = LIMIT) -> DataFrame:
+    """key, protocol, domain, client, need_more and n_pieces (how many were read), for streams that come in pieces.
+
+    `order` counts a connection's pieces from 0. They are put together one after the other, and what there is so far is
+    classified, until it is decided or no classifier asks for more. Pieces that begin `limit` bytes or more into the stream
+    are not read, so a connection has `limit` pieces at most whatever its length; empty ones are not counted.
+    """
+    some = pieces.where(F.col(key).isNotNull() & (F.col(order) < limit) & (F.octet_length(payload) > 0))
+    before = F.coalesce(F.sum(F.octet_length(payload)).over(Window.partitionBy(key).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    first = F.first(port, ignorenulls=True) if port else F.lit(None).cast("int")
+    joined = some.withColumn("_at", before).where(F.col("_at") < limit).groupBy(key).agg(F.array_sort(F.collect_list(F.struct(order, F.col(payload).alias("data")))).alias("_pieces"), first.alias("_port"))
+    start = F.struct(F.lit(b"").alias("data"), F.lit(0).alias("n_pieces"), F.struct(F.lit(None).cast("string").alias("protocol"), F.lit(None).cast("string").alias("domain"), F.lit(None).cast("string").alias("client"), F.lit(True).alias("need_more")).alias("told"))
+
+    def step(a: Column, x: Column) -> Column:
+        return F.when(~a["told"]["need_more"], a).otherwise(let(F.concat(a["data"], x["data"]), lambda p: F.struct(p.alias("data"), (a["n_pieces"] + 1).alias("n_pieces"), told(p).alias("told"))))
+
+    made = joined.withColumn("_made", F.when(~F.coalesce(F.col("_port").isin(*SERVER_FIRST), F.lit(False)), F.aggregate("_pieces", start, step)))
+    return made.select(key, *[F.col(f"_made.told.{c}").alias(c) for c in TOLD[:3]], F.coalesce("_made.told.need_more", F.lit(False)).alias("need_more"), F.coalesce("_made.n_pieces", F.lit(0)).alias("n_pieces"))
 
 
 def ja3(hello: DataFrame, standard: bool = True) -> DataFrame:

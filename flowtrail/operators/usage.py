@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.scalar import java_regex, round2
+from ..functions.regex import translate
+from ..functions.scalar import round2
 from ..session import written
 
 TOKENS = ("input_tokens", "output_tokens", "cache_read_tokens", "cache_5m_tokens", "cache_1h_tokens", "cache_total_tokens")
@@ -40,7 +41,7 @@ def price(model: Column, families: list[tuple[str, dict]], default: dict, premiu
 
     out = None
     for pattern, p in families:
-        hit = F.regexp(model, F.lit(java_regex(pattern)))
+        hit = F.regexp(model, F.lit(translate(pattern)))
         out = F.when(hit, struct(p)) if out is None else out.when(hit, struct(p))
     return struct(default) if out is None else out.otherwise(struct(default))
 

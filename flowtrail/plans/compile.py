@@ -15,7 +15,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import net
-from ..functions.scalar import basename, java_regex
+from ..functions.regex import translate
+from ..functions.scalar import basename
 from .rules import Default, Logical, Rule, RuleError, RuleSet, port_bounds
 
 GROUPS = ("source_address", "source_port", "destination_address", "destination_port")
@@ -87,7 +88,7 @@ def _in(x: Context, column: str, values: list) -> Column:
 
 
 def _search(c: Column, patterns: list[str]) -> Column:
-    return sure(F.regexp(c, F.lit("|".join(f"(?:{java_regex(p)})" for p in patterns))))
+    return sure(F.regexp(c, F.lit("|".join(f"(?:{translate(p)})" for p in patterns))))
 
 
 def _ports(x: Context, column: str, ranges: list[str]) -> Column:

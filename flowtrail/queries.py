@@ -7,6 +7,7 @@ lookup tables are small literals that both sides share.
 from __future__ import annotations
 
 from collections.abc import Callable
+from itertools import product
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -270,14 +271,41 @@ def hosts_addresses(spark, sf_dir):
     return lookup.hosts_lookup(hosts(spark, sf_dir), table).select("page_id", F.array_join("addresses", ",").alias("addresses"))
 
 
-LIST = ["||example.com^$important", "@@|m.tionsh.example.com^$important", "||example.org^", "|th.example.net^", "example.net^$dnstype=A", "! comment", "@@||er.example.org^", "ti*sh.", "/^on[a-z]+\\./", "bad/path", "0.0.0.0 atth.example.net", "127.0.0.1 localhost"]
+# Every mark of a filter line with every other, on parts of hosts in turn; and lines that mean something else.
+PARTS = ["th.example.org", "on*.example.net", "er", "m.tionsh.example.com", "an*e", "example.com", "st.example", "in*h.example.org", "re"]
+MARKED = [(x, start, PARTS[k % len(PARTS)], end, important) for k, (x, start, end, important) in enumerate(product(("", "@@"), ("", "|", "||"), ("", "^"), ("", "$important")))]
+OTHER_LINES = ["! note", "/^on[a-z]+\\./", "/un(closed/", "some/path", "0.0.0.0 atth.example.net", "127.0.0.1 localhost", "example.net^$dnstype=A"]
 
 
-@query(rf"""WITH {HOSTS}, h AS (SELECT DISTINCT host FROM hosts WHERE host <> ''), k AS (SELECT host, host = 'm.tionsh.example.com' AS k3, regexp_matches(host, '(^|\.)example\.com$') AS k2, regexp_matches(host, '(^|\.)er\.example\.org$') AS k1,
-    regexp_matches(host, '(^|\.)example\.org$') OR host = 'th.example.net' OR regexp_matches(host, 'ti.*sh\.') OR regexp_matches(host, '^on[a-z]+\.') OR host = 'atth.example.net' AS k0 FROM h)
-    SELECT host, NOT k3 AND (k2 OR NOT k1 AND k0) AS blocked FROM k""")
+def _marked_sql() -> str:
+    """For each class of lines, whether one of them is about the host."""
+    kinds: dict[int, list[str]] = {k: ["false"] for k in range(4)}
+    for x, start, part, end, important in MARKED:
+        pattern = {"": "", "|": "^", "||": r"(^|\.)"}[start] + part.replace(".", r"\.").replace("*", ".*") + ("$" if end else "")
+        kinds[2 * bool(important) + bool(x)].append(f"regexp_matches(host, '{pattern}')")
+    kinds[0] += [r"regexp_matches(host, '^on[a-z]+\.')", "host = 'atth.example.net'"]
+    return ", ".join(f"{' OR '.join(tests)} AS k{k}" for k, tests in kinds.items())
+
+
+@query(rf"WITH {HOSTS}, h AS (SELECT DISTINCT host FROM hosts WHERE host <> ''), k AS (SELECT host, {_marked_sql()} FROM h) SELECT host, NOT k3 AND (k2 OR NOT k1 AND k0) AS blocked FROM k")
 def filterlist_match(spark, sf_dir):
-    return filterlist.match(hosts(spark, sf_dir), filterlist.parse(literal(spark, [(x,) for x in LIST], "value string")))
+    return filterlist.match(hosts(spark, sf_dir), filterlist.parse(literal(spark, [(x,) for x in ["".join(m) for m in MARKED] + OTHER_LINES], "value string")))
+
+
+LISTED = """p AS (SELECT k, page_id, host FROM hosts, range(40) AS r(k) WHERE host <> ''), items AS (SELECT DISTINCT 'c' || k % 7 AS code, 2 AS type, substr(host, CAST(1 + (page_id + k) % 6 AS INT), CAST(3 + k % 5 AS INT)) || CASE WHEN k % 4 = 0 THEN CAST(page_id AS VARCHAR) ELSE '' END AS value FROM p
+    UNION SELECT DISTINCT 'r' || k % 3, 3, '^' || substr(host, 1, CAST(1 + k % 4 AS INT)) || '[a-z.]*' || substr(host, CAST(length(host) - k % 5 AS INT)) || '$' FROM p)"""
+
+
+@query(f"""WITH {HOSTS}, {LISTED}, h AS (SELECT DISTINCT host FROM hosts WHERE host <> '')
+    SELECT host, code, min(type) AS type FROM h JOIN items ON CASE type WHEN 2 THEN contains(host, value) ELSE regexp_matches(host, value) END GROUP BY host, code""")
+def pattern_list_match(spark, sf_dir):
+    """Hosts against a list of keywords and patterns made from every page, forty lines each."""
+    part = lambda at, n: F.substring("host", at.cast("int"), n.cast("int"))
+    k, h = F.col("k"), hosts(spark, sf_dir)
+    lines = h.where("host <> ''").select("page_id", "host", F.explode(F.sequence(F.lit(0), F.lit(39))).alias("k"))
+    words = lines.select(F.concat(F.lit("c"), k % 7).alias("code"), F.lit(2).alias("type"), F.concat(part(1 + (F.col("page_id") + k) % 6, 3 + k % 5), F.when(k % 4 == 0, F.col("page_id").cast("string")).otherwise("")).alias("value"))
+    shapes = lines.select(F.concat(F.lit("r"), k % 3).alias("code"), F.lit(3).alias("type"), F.concat(F.lit("^"), part(F.lit(1), 1 + k % 4), F.lit("[a-z.]*"), F.substring("host", F.length("host") - k % 5, F.lit(1 << 20)), F.lit("$")).alias("value"))
+    return lookup.category_lookup(h, words.unionByName(shapes).distinct())
 
 
 # Accounting
@@ -344,6 +372,14 @@ def connection_deltas(spark, sf_dir):
     return accounting.change_events(s)
 
 
+@query(f"""WITH RECURSIVE {FLOWS}, t AS (SELECT DISTINCT inbound AS key, epoch_us(created_at) // 1000 AS ms FROM flows), o AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY ms) AS n FROM t),
+    s AS (SELECT key, n, ms, ms AS last, CAST(NULL AS BIGINT) AS idle FROM o WHERE n = 1 UNION ALL SELECT o.key, o.n, o.ms, CASE WHEN o.ms - last < 5400000 THEN last ELSE o.ms END, CASE WHEN o.ms - last >= 5400000 THEN o.ms - last END FROM s JOIN o ON o.key = s.key AND o.n = s.n + 1)
+    SELECT key, ms AS at_ms, idle AS idle_ms FROM s WHERE idle >= 7200000""")
+def idle_gaps_ignoring(spark, sf_dir):
+    """Breaks of two hours where touches within an hour and a half of the last refresh do not refresh."""
+    return accounting.idle_gaps(flows(spark, sf_dir).select("inbound", F.col("created_at").alias("ts")), "inbound", gap_s=7200, ignore_s=5400)
+
+
 @query(f"""WITH {FLOWS}, t AS (SELECT DISTINCT inbound AS key, epoch_us(created_at) // 1000 AS ms FROM flows), l AS (SELECT key, list(ms ORDER BY ms) AS a FROM t GROUP BY key),
     w AS (SELECT key, unnest(a) AS ms, unnest(list_prepend(NULL, a[1:len(a) - 1])) AS prev FROM l) SELECT key, CAST(ms AS BIGINT) AS at_ms, CAST(ms - prev AS BIGINT) AS idle_ms FROM w WHERE ms - prev >= 1800000""")
 def idle_gaps(spark, sf_dir):
@@ -560,6 +596,32 @@ def fakeip_alloc(spark, sf_dir):
     return selection.synthetic_addresses(hosts(spark, sf_dir).where("host <> ''").select(F.col("host").alias("domain"), F.col("page_id").alias("seq")), 3323068416, 1 << 17)
 
 
+POOL_SIZE = 23
+
+
+@query(f"""WITH RECURSIVE {FLOWS}, q AS (SELECT inbound AS pool, 'd' || dst_ip % 41 AS domain, row_number() OVER (PARTITION BY inbound ORDER BY event_id) AS n FROM flows),
+    s AS (SELECT DISTINCT pool, CAST(0 AS BIGINT) AS n, CAST([] AS VARCHAR[]) AS ring, CAST(-1 AS BIGINT) AS last FROM q
+          UNION ALL SELECT s.pool, q.n, CASE WHEN list_contains(ring, domain) THEN ring WHEN len(ring) < {POOL_SIZE - 3} THEN list_append(ring, domain) ELSE list_transform(ring, lambda x, i: CASE WHEN i - 1 = (last + 1) % {POOL_SIZE - 3} THEN domain ELSE x END) END,
+                 CASE WHEN list_contains(ring, domain) THEN last ELSE last + 1 END FROM s JOIN q ON q.pool = s.pool AND q.n = s.n + 1),
+    e AS (SELECT pool, arg_max(ring, n) AS ring FROM s GROUP BY pool) SELECT pool, unnest(ring) AS domain, CAST(1001 + generate_subscripts(ring, 1) AS BIGINT) AS address FROM e""")
+def addresses_issued_again(spark, sf_dir):
+    """More domains ask than a pool has addresses; the requests come in two parts, the second going on from what the first left."""
+    q = flows(spark, sf_dir).select(F.col("inbound").alias("pool"), F.concat(F.lit("d"), F.col("dst_ip") % 41).alias("domain"), F.col("event_id").alias("seq"))
+    early = q.where(F.col("seq") < 500)
+    return selection.allocated(q.where(F.col("seq") >= 500), 1000, POOL_SIZE, held=selection.allocated(early, 1000, POOL_SIZE)).select("pool", "domain", "address")
+
+
+@query(f"""WITH RECURSIVE {FLOWS}, q AS (SELECT 'n' || dst_ip % 40 AS key, event_id AS id, epoch_us(created_at) // 1000 AS at_ms, 1000 * 3600 * (event_id % 9) AS took_ms FROM flows),
+    o AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY at_ms, id) AS n FROM q),
+    s AS (SELECT key, n, id, id AS leader, at_ms + greatest(took_ms, 1) AS busy FROM o WHERE n = 1
+          UNION ALL SELECT o.key, o.n, o.id, CASE WHEN o.at_ms >= busy THEN o.id ELSE leader END, CASE WHEN o.at_ms >= busy THEN o.at_ms + greatest(took_ms, 1) ELSE busy END FROM s JOIN o ON o.key = s.key AND o.n = s.n + 1)
+    SELECT id, leader FROM s""")
+def requests_coalesced(spark, sf_dir):
+    """Questions that come while the same one is being asked wait for its answer."""
+    q = flows(spark, sf_dir).select(F.concat(F.lit("n"), F.col("dst_ip") % 40).alias("key"), F.col("event_id").alias("id"), F.unix_millis(F.col("created_at").cast("timestamp")).alias("at_ms"), (F.col("event_id") % 9 * 3_600_000).alias("took_ms"))
+    return selection.coalesced(q).select("id", "leader")
+
+
 @query(f"""WITH {FLOWS}, a AS (SELECT id, [lpad(lower(to_hex(dst_ip)), 8, '0'), '20010db8' || lpad(lower(to_hex(src_ip)), 24, '0'), lpad(lower(to_hex(src_ip)), 8, '0')] AS x FROM flows)
     SELECT id, array_to_string(list_concat(list_filter(x, lambda y: length(y) = 8), list_filter(x, lambda y: length(y) = 32)), ',') AS v4_first, array_to_string(list_concat(list_filter(x, lambda y: length(y) = 32), list_filter(x, lambda y: length(y) = 8)), ',') AS v6_first FROM a""")
 def address_order(spark, sf_dir):

@@ -8,6 +8,7 @@ import uuid
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Time stamps in results and labels are in UTC.
 SETTINGS = {"spark.sql.session.timeZone": "UTC"}
@@ -31,15 +32,28 @@ def prepare(spark: SparkSession) -> SparkSession:
 _local: str | None = None
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """df written once to the folder in spark.checkpoint.dir and read back, which cuts its plan; a local master may do without the setting."""
+def shared(spark: SparkSession, name: str) -> str:
+    """A new folder's path under the one in spark.checkpoint.dir, which driver and executors share; a local master may do without the setting."""
     global _local
-    spark = df.sparkSession
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         if not spark.sparkContext.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         _local = base = _local or "file://" + tempfile.mkdtemp(prefix="flowtrail-")
-    path = f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """df written once to a shared folder and read back, which cuts its plan."""
+    path = shared(df.sparkSession, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+#: Lookup tables up to this many rows are broadcast; larger ones are joined by shuffle.
+BROADCAST_ROWS = 100_000
+
+
+def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """df with a broadcast hint if it has at most `rows` rows, which is counted and not assumed."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df

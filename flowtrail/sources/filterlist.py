@@ -4,12 +4,13 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..operators.lookup import label_suffixes, small, usable
+from ..operators.lookup import label_suffixes
+from ..operators.patterns import matches, quoted
 from ..plans.rules import RuleError
-from ..session import written
+from ..session import small, written
 
 DOMAIN_NAME = r"^[A-Za-z0-9_]([A-Za-z0-9_-]{0,61}[A-Za-z0-9_])?(\.[A-Za-z0-9_]([A-Za-z0-9_-]{0,61}[A-Za-z0-9_])?)*\.?\z"
 ADDRESS = r"^(\d+\.\d+\.\d+\.\d+|[0-9A-Fa-f:.]*:[0-9A-Fa-f:.]*)\z"
@@ -67,70 +68,41 @@ def parse(lines: DataFrame) -> DataFrame:
 def line_regex(line: str) -> str:
     """A filter line without options as a pattern over hosts."""
     suffix, start, end = line.startswith("||"), line.startswith("|") and not line.startswith("||"), line.endswith("^")
-    return _regex(line.removeprefix("||").removeprefix("|").removesuffix("^"), suffix, start, end)
-
-
-def _regex(pattern: str, suffix: bool, start: bool, end: bool) -> str:
-    body = ".*".join(re.escape(x) for x in pattern.split("*"))
+    body = ".*".join(re.escape(x) for x in line.removeprefix("||").removeprefix("|").removesuffix("^").split("*"))
     return (r"(^|\.)" if suffix else "^" if start else "") + body + ("$" if end else "")
 
 
-def _pattern(c: str = "pattern") -> Column:
-    escaped = F.replace(F.regexp_replace(c, r"([.+?(){}\[\]^$|\\-])", r"\\$1"), F.lit("*"), F.lit(".*"))
-    whole = F.concat(F.when(F.col("suffix"), r"(^|\.)").when(F.col("start"), "^").otherwise(""), escaped, F.when(F.col("end"), r"\z").otherwise(""))
-    return F.when(F.col("regex"), F.col(c)).otherwise(whole)
-
-
-#: Lines up to this many are read once and evaluated as literals; more stay a table.
-LITERAL_LINES = 20_000
+def _pattern() -> Column:
+    """A line as a pattern: a regular one as it is, of others `*` is any text and the bounds are those of the line."""
+    any_text = F.replace(quoted(F.col("pattern")), F.lit(r"\*"), F.lit(".*"))
+    whole = F.concat(F.when(F.col("suffix"), r"(^|\.)").when(F.col("start"), "^").otherwise(""), any_text, F.when(F.col("end"), "$").otherwise(""))
+    return F.when(F.col("regex"), F.col("pattern")).otherwise(whole)
 
 
 def match(hosts: DataFrame, parsed: DataFrame) -> DataFrame:
     """host and blocked for distinct hosts. Important exceptions go before important rules, then exceptions, then rules.
 
     `||x^` and exact lines, which are nearly all of most lists, are looked up by equality; the others
-    are tried as patterns, those of one kind as one alternation. A list of raw domains only matches
-    exactly. A pattern that does not compile is passed over.
+    are found by the trigrams that they need (operators/patterns.py). A list of raw domains only matches
+    exactly. A pattern without a meaning is passed over. All of this is the same for a list of any length.
     """
-    spark, columns = hosts.sparkSession, ("pattern", "raw", "exclude", "important", "suffix", "start", "end", "regex")
-    lines = parsed.where("dropped is null").select(*columns).distinct()
-    some = lines.limit(LITERAL_LINES + 1).collect()
-    whole = len(some) <= LITERAL_LINES
-    kept = spark.createDataFrame(some, lines.schema) if whole else written(lines, "filter-lines")
-    only_raw = all(r.raw for r in some) if whole else not kept.where("not raw").limit(1).count()
-    if only_raw:
+    columns = ("pattern", "raw", "exclude", "important", "suffix", "start", "end", "regex")
+    kept = written(parsed.where("dropped is null").select(*columns).distinct(), "filter-lines")
+    if not kept.where("not raw").limit(1).count():
         kept = kept.withColumns({"start": F.lit(True), "end": F.lit(True)})
     kept = kept.withColumns({"pattern": F.when(F.col("regex"), F.col("pattern")).otherwise(F.lower("pattern")), "kind": F.col("important").cast("int") * 2 + F.col("exclude").cast("int")})
     simple = ~F.col("regex") & F.col("end") & ~F.contains("pattern", F.lit("*")) & (F.col("suffix") | F.col("start"))
     h = hosts.select(F.lower("host").alias("host")).where("host <> ''").distinct()
     tails = h.select("host", F.posexplode(label_suffixes(F.col("host"))).alias("at", "tail"))
-    table = kept.where(simple).select("pattern", "suffix", "kind").distinct()
-    equal = tails.join(F.broadcast(table) if whole else small(table), F.col("tail") == F.col("pattern")).where(F.col("suffix") | (F.col("at") == 0)).select("host", "kind")
-    if whole:
-        folded = _alternations(spark, some, only_raw)
-        tried = h.select("host", F.explode(F.array_compact(F.array(*[F.when(F.regexp("host", F.lit(p)), F.lit(k)) for k, p in folded]))).alias("kind")) if folded else equal.limit(0)
-    else:
-        rest = small(kept.where(~simple).select(_pattern().alias("re"), "kind").distinct())
-        tried = h.join(rest, F.regexp("host", "re")).select("host", "kind")
+    table = small(kept.where(simple).select("pattern", "suffix", "kind").distinct())
+    equal = tails.join(table, F.col("tail") == F.col("pattern")).where(F.col("suffix") | (F.col("at") == 0)).select("host", "kind")
+    tried = matches(h, kept.where(~simple).select(_pattern().alias("pattern"), "kind"))
     kinds = equal.unionByName(tried).groupBy("host").agg(*[F.max((F.col("kind") == k).cast("int")).alias(f"k{k}") for k in range(4)])
     has = lambda k: F.coalesce(F.col(f"k{k}"), F.lit(0)) == 1
     blocked = ~has(3) & (has(2) | ~has(1) & has(0))
     return h.join(kinds, "host", "left").select("host", blocked.alias("blocked"))
 
 
-def _alternations(spark: SparkSession, rows, only_raw: bool) -> list[tuple[int, str]]:
-    """(kind, pattern) of the lines that are not looked up by equality; some hundred to a pattern."""
-    by_kind: dict[int, list[str]] = {}
-    for r in rows:
-        start, end = r.start or only_raw, r.end or only_raw
-        if not r.regex and end and "*" not in r.pattern and (r.suffix or start):
-            continue
-        java = usable(spark, r.pattern if r.regex else _regex(r.pattern.lower(), r.suffix, start, end))
-        if java is not None:
-            by_kind.setdefault(r.important * 2 + r.exclude, []).append(f"(?:{java})")
-    return [(k, "|".join(ps[i : i + 200])) for k, ps in sorted(by_kind.items()) for i in range(0, len(ps), 200)]
-
-
 def dropped_counts(parsed: DataFrame) -> DataFrame:
     """Why lines are dropped, and how many for each reason."""
     return parsed.where("dropped is not null").groupBy("dropped").agg(F.count("*").alias("n"))

@@ -6,7 +6,8 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from flowtrail.functions.scalar import human_bytes, java_regex, round2, utc_offset_label
+from flowtrail.functions.regex import translate
+from flowtrail.functions.scalar import human_bytes, round2, utc_offset_label
 from flowtrail.operators import accounting, lookup, selection, sniff, timeseries, usage
 
 
@@ -23,8 +24,9 @@ def test_round2_is_on_the_binary_value(spark):
 
 def test_regex_end_is_the_end_of_the_text(spark):
     df = spark.createDataFrame([("abc",), ("abc\n",)], "t string")
-    assert [r.m for r in df.select(F.regexp("t", F.lit(java_regex("c$"))).alias("m")).collect()] == [True, False]
-    assert java_regex("[$]a\\$") == "[$]a\\$"
+    assert [r.m for r in df.select(F.regexp("t", F.lit(translate("c$"))).alias("m")).collect()] == [True, False]
+    for t, hit in (("$a$", True), ("xa$", False)):
+        assert spark.createDataFrame([(t,)], "t string").select(F.regexp("t", F.lit(translate("[$]a\\$"))).alias("m")).first().m == hit
 
 
 def test_small_helpers(spark):
@@ -215,19 +217,30 @@ def test_history_and_reverse_map(spark):
     assert [tuple(r) for r in selection.reverse_map(a).collect()] == [("1.1.1.1", 1, "x.example", 60)]
 
 
-def test_synthetic_addresses_wrap(spark):
-    req = [("p", d, i) for i, d in enumerate(["a", "b", "c", "a", "d", "e", "a"])]
-    df = spark.createDataFrame(req, "pool string, domain string, seq long")
-    # A range of 6 from 100: 102, 103, 104 are issued in turn, 105 is the broadcast address.
-    held, owner, last = {}, {}, 101
-    for _, d, _ in req:
+def issued(requests, base, size):
+    held, owner, last = {}, {}, base + 1
+    for d in requests:
         if d not in held:
-            last = 102 if last + 1 >= 105 else last + 1
+            last = base + 2 if last + 1 >= base + size - 1 else last + 1
             held.pop(owner.get(last), None)
             held[d], owner[last] = last, d
-    assert {r.domain: r.address for r in selection.synthetic_addresses_wrapping(df, 100, 6).collect()} == held
-    with pytest.raises(ValueError):
-        selection.synthetic_addresses(df, 100, 6)
+    return held
+
+
+def test_synthetic_addresses_are_issued_again(spark):
+    """Random requests of several pools, one of them null, and the same in two parts."""
+    import random
+
+    rng = random.Random(2)
+    req = [(rng.choice(["p", "q", None]), rng.choice("abcdefghij"), i) for i in range(300)] + [("p", None, 7)]
+    df = spark.createDataFrame(req, "pool string, domain string, seq long").repartition(5)
+    for size in (4, 6, 13, 100):
+        want = {(p, d, a) for p in ("p", "q", None) for d, a in issued([d for x, d, _ in req if x == p and d], 100, size).items()}
+        assert {(r.pool, r.domain, r.address) for r in selection.allocated(df, 100, size).collect()} == want
+        half = selection.allocated(df.where("seq < 150"), 100, size)
+        assert {(r.pool, r.domain, r.address) for r in selection.allocated(df.where("seq >= 150"), 100, size, held=half).collect()} == want
+        one_pool = df.where("pool = 'p'").drop("pool")
+        assert {r.domain: r.address for r in selection.synthetic_addresses(one_pool.where("domain is not null"), 100, size).collect()} == issued([d for x, d, _ in req if x == "p" and d], 100, size)
 
 
 PACKETS = [

@@ -9,43 +9,73 @@ from flowtrail.plans.compile import predicate
 from flowtrail.plans.rules import RuleError, RuleSet, parse_rule, parse_rule_set, rule_set_json
 from flowtrail.sources import binary, filterlist, tables
 
-#: A line of each shape and, for each, hosts at, above, below and beside it.
-LINES = ["||ads.test^$important", "@@|ok.ads.test^$important", "||track.test^", "|exact.test^", "tail.test^", "||open.test", "||open.test.zz^", "|front.test", "middle.test", "@@|free.track.test^"]
+#: (exclude, start, name, end, important): every mark with every other, each on a name of its own and on one that all share.
+MARKS = list(itertools.product(("", "@@"), ("", "|", "||"), ("", "^"), ("", "$important")))
+LINES = [(x, start, name, end, important) for k, (x, start, end, important) in enumerate(MARKS) for name in (f"own{k}.test", f"w{k}*d.test", f"both{k % 5}.test")]
+PATTERNS = [(x, "", f"/^re{k}[0-9]+\\./", "", important) for k, (x, important) in enumerate([("", ""), ("@@", ""), ("@@", "$important")])]  # one that begins with a slash has no options
 
 
-def blocked(host):
-    """What LINES say of a host, in plain string tests."""
-    under = lambda d: host == d or host.endswith("." + d)
-    if host == "ok.ads.test":
-        return False
-    if under("ads.test"):
-        return True
-    if host == "free.track.test":
-        return False
-    at_label = lambda t: host.startswith(t) or "." + t in host
-    return under("track.test") or host == "exact.test" or host.endswith("tail.test") or at_label("open.test") or under("open.test.zz") or host.startswith("front.test") or "middle.test" in host
+def finds(line, host):
+    """Whether the line is about the host, in plain string tests."""
+    _, start, name, end, _ = line
+    if name.startswith("/"):
+        label = host.split(".")[0]
+        return "." in host and label.startswith(name[2:5]) and label[3:].isdigit()
+    head, _, tail = name.partition("*")
+    places = [i for i in range(len(host)) if host.startswith(head, i)]
+    places = [i for i in places if not start or i == 0 or start == "||" and host[i - 1] == "."]
+    rest = [host[i + len(head) :] for i in places]
+    if "*" in name:
+        return any(r.endswith(tail) if end else tail in r for r in rest)
+    return any(not end or r == "" for r in rest)
 
 
-HOSTS = [pre + name + post for name in ("ads.test", "ok.ads.test", "track.test", "free.track.test", "exact.test", "tail.test", "open.test", "open.test.zz", "front.test", "middle.test", "other.test") for pre in ("", "www.", "not", "a.b.") for post in ("", ".zz")]
+def blocked(host, lines):
+    kinds = {(bool(x[4]), bool(x[0])) for x in lines if finds(x, host)}
+    return (True, True) not in kinds and ((True, False) in kinds or (False, True) not in kinds and (False, False) in kinds)
+
+
+NAMES = sorted({x[2].replace("*", "mid") for x in LINES}) + [f"re{k}7.test" for k in range(3)] + ["re1.test", "other.test"]
+HOSTS = [pre + name + post for name in NAMES for pre in ("", "www.", "not") for post in ("", ".zz", "zz")]
 
 
 def lines(spark, xs):
     return spark.createDataFrame([(x,) for x in xs], "value string")
 
 
+def written_out(xs):
+    return ["".join(x) for x in xs]
+
+
 def test_filter_list(spark):
-    parsed = filterlist.parse(lines(spark, LINES))
-    hosts, want = spark.createDataFrame([(h,) for h in HOSTS], "host string"), {h: blocked(h) for h in HOSTS}
+    every = LINES + PATTERNS
+    parsed = filterlist.parse(lines(spark, written_out(every)))
+    hosts, want = spark.createDataFrame([(h,) for h in HOSTS], "host string"), {h: blocked(h, every) for h in HOSTS}
     assert 20 < sum(want.values()) < len(want) - 20
     assert {r.host: r.blocked for r in filterlist.match(hosts, parsed).collect()} == want
     rule = filterlist.to_rule(parsed)
     m = predicate(hosts, parse_rule(rule, headless=True))
     assert {r.host: r.m for r in hosts.select("host", m.alias("m")).collect()} == want
-    assert sorted(filterlist.from_rule(rule)) == sorted(LINES)
+    assert sorted(filterlist.from_rule(rule)) == sorted(written_out(every))
     with pytest.raises(RuleError):
         filterlist.from_rule({"port": 1})
 
 
+ODD = ["/ba(d/", "/org$/", "/a**/", "/x{1001}/", "/(?=look)/", "/^li(ne|st)[0-9]*\\.test$/", "/[[:digit:]]{3}/", "/(?i)UPPER/", "st*r.test"]
+
+
+def test_lists_of_any_length_mean_the_same(spark):
+    """Patterns without a meaning are passed over and `$` is the end of the text, in a list of ten lines and of 50,000."""
+    hosts = ["x.org", "x.org\n", "bad.test", "line7.test", "list.test", "line7.testx", "a123.test", "upper.test", "star.test", "stxr.test", "none.test"]
+    want = {"x.org", "line7.test", "list.test", "a123.test", "upper.test", "star.test", "stxr.test"}
+    df = spark.createDataFrame([(h,) for h in hosts], "host string")
+    filler = spark.range(50_000).selectExpr("concat('fil', id, '*ler.test') AS value")
+    for given in (lines(spark, ODD), lines(spark, ODD).union(filler)):
+        made = filterlist.match(df, filterlist.parse(given))
+        assert {r.host for r in made.where("blocked").collect()} == want
+        assert "NestedLoop" not in made._jdf.queryExecution().toString() and "Cartesian" not in made._jdf.queryExecution().toString()
+
+
 @pytest.mark.parametrize("xs, hit, free", [(["192.168.7.7 router", "fe80::7 router #note", "0.0.0.0 pop.test"], ["pop.test"], ["x.pop.test", "mypop.test", "router"]), (["a.raw.test", "raw2.test"], ["a.raw.test", "raw2.test"], ["raw.test", "b.raw2.test", "xraw2.test"])])
 def test_hosts_lines_and_raw_domains(spark, xs, hit, free):
     hosts = spark.createDataFrame([(h,) for h in hit + free], "host string")

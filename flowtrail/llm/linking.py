@@ -5,7 +5,8 @@ compared with it: as many pairs as members. Buckets whose members are then in on
 more. Buckets of a few members can do without: their pairs are compared at once. While the others would need many more pairs than they have members, and pivots settle most of them,
 they get another pivot each. At last each member outside its bucket's largest component is compared with those of other components. So
 a dense group costs about as much as its members, and no link between components is lost: of two linked
-members in different components at least one is outside the bucket's largest.
+members in different components at least one is outside the bucket's largest. Where a bucket keeps so many
+components that this were too many pairs, it is split by a finer key, of which any two members that link share one.
 """
 
 from __future__ import annotations
@@ -47,15 +48,18 @@ def components(edges: DataFrame) -> DataFrame:
 
 #: Pairs for each row of the index up to which what the pivots left apart is compared, and rounds of pivots at most.
 PAIRS_A_ROW, ROUNDS = 4, 6
+#: Pairs for each row from which what is left is split by a finer key, which takes some rows for each row itself.
+FINER = 32
 
 
-def linked(index: DataFrame, bucket: list[str], member: str, order: list[str], fits: Fits, links: Callable[[DataFrame], DataFrame] | None = None, direct: int = 1) -> DataFrame:
+def linked(index: DataFrame, bucket: list[str], member: str, order: list[str], fits: Fits, links: Callable[[DataFrame], DataFrame] | None = None, direct: int = 1, finer: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """(node, root) of every member that links with another: root is the smallest member it reaches.
 
     index: a row for each bucket that a member is in, with the columns that `order` and `fits` name. order:
     what makes a member its bucket's pivot, smallest first. fits: whether two rows of a bucket, read through
     two getters, are worth comparing. links: of pairs (a, b), a < b, those that link; None if all that fit do.
     direct: members of a bucket up to which it needs no pivots, its few pairs being compared at once.
+    finer: adds a column `finer` to rows of the index, and rows with it; any two members that link share a value in a bucket in which they fit.
     """
     of = lambda side: lambda c: F.col(f"{side}.{c}")
     ordered = lambda a, b: (F.least(a, b).alias("a"), F.greatest(a, b).alias("b"))
@@ -95,6 +99,9 @@ def linked(index: DataFrame, bucket: list[str], member: str, order: list[str], f
     if not rows:
         return roots
 
+    if finer and pairs_left > FINER * rows:
+        rest = table(finer(rest), "link-finer")
+        together = together & (F.col("x.finer") == F.col("y.finer"))
     pairs = rest.where("root <> largest").alias("x").join(rest.alias("y"), together & (F.col("x.root") != F.col("y.root")))
     if links:
         pairs = table(pairs.select(*ordered(f"x.{member}", f"y.{member}")).distinct().join(made, ["a", "b"], "left_anti"), "link-pairs")

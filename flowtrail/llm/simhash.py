@@ -144,7 +144,13 @@ def connected(classes: DataFrame, wide: bool = False) -> DataFrame:
     two linked fingerprints share a bucket.
     """
     index = _stored(classes, _asked if wide else _exact, wide)
-    return linked(index, ["start", "key"], "fp", ["fp"], lambda x, y: _near(x("fp"), y("fp"), x("start")), direct=DIRECT)
+    return linked(index, ["start", "key"], "fp", ["fp"], lambda x, y: _near(x("fp"), y("fp"), x("start")), direct=DIRECT, finer=None if wide else _finer)
+
+
+def _finer(rows: DataFrame) -> DataFrame:
+    """Rows under the third and fourth segment from their start, and under each value that differs from these in one bit: what links from there shares one."""
+    of = lambda s: [_key(F.col("fp"), (s + 2) % SEGMENTS, 2).bitwiseXOR(F.lit(m)) for m in _asked(s, 4)]
+    return rows.withColumn("finer", F.explode(F.coalesce(*[F.when(F.col("start") == s, F.array(*of(s))) for s in range(SEGMENTS)])))
 
 
 def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -84,3 +84,34 @@ def to_key(text: Column) -> Column:
     v6 = F.when(short & F.regexp(F.lower(text), F.lit(r"^[0-9a-f:]+\z")) & F.forall(every, lambda x: F.length(x) <= 4), F.array_join(F.transform(every, lambda x: F.lpad(x, 4, "0")), ""))
     v4 = v4_long(text)
     return F.coalesce(F.lower(F.lpad(F.hex(v4), 8, "0")), F.when(F.contains(text, F.lit(":")), v6))
+
+
+def after(key: Column) -> Column:
+    """The key of the next address of its family, null after the last one."""
+    parts = F.transform(F.sequence(F.lit(0), F.floor(F.length(key) / 8).cast("int") - 1), lambda i: F.substring(key, F.length(key) - 8 * i - 7, F.lit(8)))  # from the right
+    start = F.struct(F.lit(1).cast("long").alias("carry"), F.lit("").alias("out"))
+
+    def step(a: Column, x: Column) -> Column:
+        n = F.conv(x, 16, 10).cast("long") + a["carry"]
+        return F.struct(F.shiftright(n, 32).alias("carry"), F.concat(F.lower(F.lpad(F.hex(n.bitwiseAND(F.lit(0xFFFFFFFF))), 8, "0")), a["out"]).alias("out"))
+
+    made = F.aggregate(parts, start, step)
+    return F.when(made["carry"] == 0, made["out"])
+
+
+def last_of(key: Column, bits: Column) -> Column:
+    """The key of the last address of a prefix: an address of it and its length in bits. Of an IPv4 prefix it is the broadcast address."""
+    whole, rest = F.floor(bits / 4).cast("int"), (bits % 4).cast("int")
+    digit = F.conv(F.substring(key, whole + 1, F.lit(1)), 16, 10).cast("int")
+    ones = F.element_at(F.array(*[F.lit(x) for x in (15, 7, 3, 1)]), rest + 1)
+    part = F.when((rest > 0) & (whole < F.length(key)), F.lower(F.hex(digit.bitwiseOR(ones)))).otherwise(F.lit(""))
+    return F.rpad(F.concat(F.substring(key, F.lit(1), whole), part), F.length(key), F.lit("f"))
+
+
+def first_of(key: Column, bits: int, digits: int) -> Column:
+    """The key of the first address of the prefix of so many bits around an address, whose key has so many digits."""
+    whole, rest = divmod(bits, 4)
+    kept = F.substring(key, 1, whole)
+    if rest:
+        kept = F.concat(kept, F.lower(F.hex(F.conv(F.substring(key, whole + 1, 1), 16, 10).cast("int").bitwiseAND(F.lit(16 - (1 << 4 - rest))))))
+    return F.rpad(kept, digits, "0")

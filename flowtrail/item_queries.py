@@ -12,7 +12,7 @@ from .operators import accounting, enrich, lookup, quic, selection, sniff, usage
 from .plans import dns, route, rules
 from .plans.compile import predicate
 from .plans.rules import RuleError, parse_rule
-from .queries import FLOWS, HOSTS, SQL, closed_flows, CLOSED, literal, query, values
+from .queries import CLOSED, FLOWS, HOSTS, SQL, closed_flows, in_prefixes, literal, query, values
 from .session import shared, written
 from .sources import filterlist, store
 from .sources.tables import flows, hosts, hosts_file
@@ -176,32 +176,45 @@ def rule_explain(spark, sf_dir):
 CONVERTED = [("downgraded", 3, 2), ("upgraded", 5, 1), ("merged", 5, 3), ("round_trip", 3, 2), ("binary", 3, 2)]
 
 
-@query(f"SELECT step, CAST(version AS INT) AS version, CAST(n_rules AS INT) AS n_rules, prefixes FROM (VALUES {values([(*c, 'none' if c[0] == 'upgraded' else '198.51.100.0/24') for c in CONVERTED])}) AS v(step, version, n_rules, prefixes)")
+@query(f"""WITH p AS (SELECT string_agg('10.' || n_nationkey || '.0.0/16', ',' ORDER BY n_nationkey) AS every FROM nation)
+    SELECT step, CAST(version AS INT) AS version, CAST(n_rules AS INT) AS n_rules, CASE WHEN step = 'upgraded' THEN 'none' ELSE every END AS prefixes FROM (VALUES {values(CONVERTED)}) AS v(step, version, n_rules), p""")
 def ruleset_conversions(spark, sf_dir):
-    """Compile, decompile, downgrade, upgrade, merge and the prefixes of a set."""
+    """Compile, decompile, downgrade, upgrade, merge and the prefixes of a set with a prefix for each nation."""
     from .sources import binary
 
-    five = rules.parse_rule_set({"version": 5, "rules": [{"network_type": "wifi"}, {"type": "logical", "mode": "or", "rules": [{"ip_cidr": "198.51.100.0/24"}]}]})
+    prefixes = [f"10.{r.n_nationkey}.0.0/16" for r in spark.read.parquet(f"{sf_dir}/nation.parquet").orderBy("n_nationkey").collect()]  # 25 rows: a rule's list
+    five = rules.parse_rule_set({"version": 5, "rules": [{"network_type": "wifi"}, {"type": "logical", "mode": "or", "rules": [{"ip_cidr": prefixes}]}]})
     one = rules.parse_rule_set({"version": 1, "rules": [{"domain": "a.test"}]})
     low = rules.downgraded(five)
-    made = {"downgraded": low, "upgraded": rules.upgraded(one), "merged": rules.merge({"b": five, "a": one}), "round_trip": rules.parse_rule_set(rules.rule_set_json(low)), "binary": binary.read_rule_set(binary.write_rule_set(low))}
-    return literal(spark, [(k, s.version, len(s.rules), ",".join(rules.destination_prefixes(s.rules)) or "none") for k, s in made.items()], "step string, version int, n_rules int, prefixes string")
+    made = {"downgraded": low, "upgraded": rules.upgraded(one), "merged": rules.merge({"b": five, "a": one}), "round_trip": rules.parse_rule_set(rules.rule_set_json(low))}
+    rows = [(k, s.version, len(s.rules), ",".join(rules.destination_prefixes(s.rules)) or "none") for k, s in made.items()]
+    back = binary.read_rule_set(binary.write_rule_set(low))  # which gathers prefixes into ranges: compared as addresses
+    same = net.merged(rules.destination_prefixes(back.rules)) == net.merged(prefixes)
+    return literal(spark, [*rows, ("binary", back.version, len(back.rules), ",".join(prefixes) if same else "other")], "step string, version int, n_rules int, prefixes string")
 
 
-LINES = [("||a.test^$third-party", "modifier"), ("a.test/path", "path"), ("a.test?x", "query"), ("a##b", "cosmetic"), ("/^10\\.1/", "address pattern"), ("198.51.100.7 d.test", "hosts"), ("! note", None), ("||fine.test^", None), ("0.0.0.0 e.test", None)]
+#: What is put before and after a host to make a line, and why the line is dropped.
+SHAPES = [("||", "^$third-party", "modifier"), ("", "/path", "path"), ("", "?x", "query"), ("", "##b", "cosmetic"), ("/^10.1.", "/", "address pattern"), ("198.51.100.7 ", "", "hosts"), ("! ", "", None), ("||", "^", None), ("0.0.0.0 ", "", None)]
 
 
-@query(f"SELECT dropped, count(*) AS n FROM (VALUES {values([(d,) for _, d in LINES if d])}) AS v(dropped) GROUP BY dropped")
+@query(f"""WITH {HOSTS} SELECT dropped, count(*) AS n FROM hosts JOIN (VALUES {values([(k, d) for k, (_, _, d) in enumerate(SHAPES)])}) AS v(k, dropped) ON page_id % {len(SHAPES)} = k WHERE host <> '' AND dropped IS NOT NULL GROUP BY dropped""")
 def filterlist_dropped(spark, sf_dir):
-    return filterlist.dropped_counts(filterlist.parse(literal(spark, [(x,) for x, _ in LINES], "value string")))
+    """A line for each page, of each shape in turn."""
+    h, k = hosts(spark, sf_dir).where("host <> ''"), F.col("page_id") % len(SHAPES)
+    line = F.coalesce(*[F.when(k == i, F.concat(F.lit(a), "host", F.lit(b))) for i, (a, b, _) in enumerate(SHAPES)])
+    return filterlist.dropped_counts(filterlist.parse(h.select(line.alias("value"))))
 
 
-REVERSED = ["||a.test^", "|b.test^", "/^c[0-9]/", "@@||d.a.test^", "||e.test^$important"]
+#: What is put before and after a host to make a line that comes back from a rule as it was.
+REVERSED = [("||", "^"), ("|", "^"), ("/^", "[0-9]/"), ("@@||", "^"), ("||", "^$important")]
 
 
-@query(f"SELECT line FROM (VALUES {values([(x,) for x in REVERSED])}) AS v(line)")
+@query(f"""WITH {HOSTS} SELECT DISTINCT a || host || b AS line FROM hosts JOIN (VALUES {values([(k, *x) for k, x in enumerate(REVERSED)])}) AS v(k, a, b) ON page_id % {len(REVERSED)} = k WHERE host <> ''""")
 def filterlist_reverse(spark, sf_dir):
-    rule = filterlist.to_rule(filterlist.parse(literal(spark, [(x,) for x in REVERSED], "value string")))
+    """A list with a line for each host as one rule, and back: a rule is a literal, so its lines are on the driver."""
+    h, k = hosts(spark, sf_dir).where("host <> ''"), F.col("page_id") % len(REVERSED)
+    lines = h.select(F.coalesce(*[F.when(k == i, F.concat(F.lit(a), "host", F.lit(b))) for i, (a, b) in enumerate(REVERSED)]).alias("value")).distinct()
+    rule = filterlist.to_rule(filterlist.parse(lines))
     return literal(spark, [(x,) for x in filterlist.from_rule(rule)], "line string")
 
 
@@ -284,7 +297,7 @@ def ssm_all_users(spark, sf_dir):
 @query(f"WITH {FLOWS} SELECT 'inbound>>>view>>>traffic>>>uplink' AS name, CAST(sum(upload) AS BIGINT) AS value FROM flows WHERE inbound = 'view'")
 def single_counter(spark, sf_dir):
     name = "inbound>>>view>>>traffic>>>uplink"
-    return literal(spark, [(name, accounting.counter(accounting.counters(flows(spark, sf_dir), inbounds=["view"]), name))], "name string, value long")
+    return accounting.one_counter(accounting.counters(flows(spark, sf_dir), inbounds=["view"]), name)
 
 
 @query(f"WITH {FLOWS} SELECT auth_user AS user, CAST(sum(upload) AS BIGINT) AS uplink_bytes FROM flows WHERE auth_user IN (SELECT 'u' || c_custkey FROM customer) GROUP BY auth_user")
@@ -298,7 +311,7 @@ def counters_pruned(spark, sf_dir):
 def connection_lists(spark, sf_dir):
     """The first fifty by date, by present traffic and by creation; the lists' places are numbered from their order."""
     c = closed_flows(spark, sf_dir).withColumns({"uplink": F.col("upload") % 1000, "downlink": F.col("download") % 1000, "created": F.col("created_at"), "outbound_type": F.lit("proxy")})
-    place = lambda d, name: literal(spark, [(r.id, k + 1) for k, r in enumerate(d.select("id").collect())], f"id string, {name} long")
+    place = lambda d, name: d.coalesce(1).select("id", (F.monotonically_increasing_id() + 1).alias(name))  # noqa: E731  fifty rows, in order
     newest, busiest, oldest = place(accounting.top(c, "date", 50), "newest"), place(accounting.top(c, "traffic", 50), "busiest"), place(accounting.listed(accounting.without_dns(c), ("id", "created")).limit(50), "oldest")
     return newest.join(busiest, "id", "full").join(oldest, "id", "full")
 
@@ -529,3 +542,98 @@ def timeline_replayed(spark, sf_dir):
     for run in range(2):
         store.to_batches(stream, out, shared(spark, f"timeline-state-{run}"), kind="json").awaitTermination()
     return spark.read.schema("event_id long, upload long").json(out).drop("batch")
+
+
+# What only had tests
+
+
+@query(f"""WITH {FLOWS}, f AS (SELECT *, 'd' || event_id % 7 || '.test' AS domain FROM flows) SELECT id, {in_prefixes("dst_ip", ["64.0.0.0/3"])} OR domain IN ('d1.test', 'd2.test') AS cidr_or_name, network = 'tcp' AND dst_port <= 5000 OR network = 'udp' AND domain = 'd3.test' AS either_set,
+    domain = 'd4.test' AND network = 'tcp' AS both_in_one, false AS empty_set, false AS empty_with_outer FROM f""")
+def ruleset_semantics(spark, sf_dir):
+    """Destination prefixes beside a set of names, sets of which one must hold, groups that a set can't lend to another, and empty sets."""
+    df = flows(spark, sf_dir).withColumn("domain", F.concat(F.lit("d"), F.col("event_id") % 7, F.lit(".test")))
+    made = lambda *raw: rules.parse_rule_set({"version": 3, "rules": list(raw)})
+    sets = {
+        "names": made({"domain": ["d1.test", "d2.test"]}), "tcp": made({"network": "tcp", "port_range": ":5000"}), "udp": made({"network": "udp", "domain": "d3.test"}),
+        "one": made({"domain": "d4.test", "network": "tcp"}), "other": made({"domain": "d5.test", "network": "nothing"}), "empty": made(),
+    }
+    items = {"cidr_or_name": {"ip_cidr": "64.0.0.0/3", "rule_set": "names"}, "either_set": {"rule_set": ["tcp", "udp"]}, "both_in_one": {"rule_set": ["one", "other"]}, "empty_set": {"rule_set": "empty"}, "empty_with_outer": {"inbound": ["view", "click"], "rule_set": "empty"}}
+    return judged(df, "id", items, sets=sets)
+
+
+#: Rules, what dns.mode says of them, whether the first one decides, and what a set of them contains.
+TOLD = [
+    ({"domain": "a.test"}, "either", True, ""), ({"ip_cidr": "10.0.0.0/8"}, "legacy", True, "contains_ip_cidr"), ({"query_type": 1, "action": "evaluate", "tag": "u"}, "current", False, "contains_query_type"),
+    ({"wifi_ssid": "s", "action": "route-options"}, "either", False, "contains_wifi"), ({"process_name": "p", "action": "reject"}, "either", True, "contains_process"),
+]
+
+
+@query(f"""WITH {FLOWS} SELECT id, mode, decides, contains FROM flows JOIN (VALUES {values([(k, m, str(d).lower(), c) for k, (_, m, d, c) in enumerate(TOLD)])}) AS v(k, mode, decides, contains) ON event_id % {len(TOLD)} = k""")
+def rules_described(spark, sf_dir):
+    """What is told of the rule that each flow names."""
+    told = []
+    for k, (raw, *_) in enumerate(TOLD):
+        rule = parse_rule(raw)
+        told.append((k, dns.mode([rule]), str(route.decides(rule)).lower(), ",".join(x for x, yes in rules.metadata([rule]).items() if yes)))
+    named = literal(spark, told, "k int, mode string, decides string, contains string")
+    return flows(spark, sf_dir).withColumn("k", (F.col("event_id") % len(TOLD)).cast("int")).join(F.broadcast(named), "k").select("id", "mode", "decides", "contains")
+
+
+@query("SELECT l_orderkey, string_agg(CASE WHEN l_linenumber = 3 THEN CAST(l_partkey % 60 AS VARCHAR) ELSE CAST(l_orderkey % 90 AS VARCHAR) END, ',' ORDER BY l_linenumber, l_partkey) AS ttls FROM lineitem GROUP BY l_orderkey")
+def ttl_rewritten(spark, sf_dir):
+    """The records of an order's lines with one time to live, but for those of the third line, which carry options."""
+    r = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select("l_orderkey", F.struct("l_linenumber", "l_partkey", F.when(F.col("l_linenumber") == 3, 41).otherwise(1).alias("type"), (F.col("l_partkey") % 60).cast("int").alias("ttl")).alias("r"))
+    g = r.groupBy("l_orderkey").agg(F.sort_array(F.collect_list("r")).alias("r"))
+    return g.select("l_orderkey", F.array_join(F.transform(selection.with_ttl(F.col("r"), F.col("l_orderkey") % 90), lambda x: x["ttl"].cast("string")), ",").alias("ttls"))
+
+
+@query("SELECT event_id AS seq, event_type AS level FROM events WHERE event_type = 'error' ORDER BY event_id DESC LIMIT 100")
+def log_ring(spark, sf_dir):
+    """The last hundred lines of one level."""
+    log = spark.read.parquet(f"{sf_dir}/events.parquet").select(F.col("event_id").alias("seq"), F.col("event_type").alias("level"))
+    return accounting.last_lines(log, 100, "error")
+
+
+@query(f"WITH {FLOWS} SELECT id, network, created_at AS created FROM flows WHERE event_id % 4 <> 0")
+def connections_listed(spark, sf_dir):
+    """Chosen columns of connections that do not go to the resolver; a name that isn't a column is an error."""
+    i = F.col("event_id")
+    c = flows(spark, sf_dir).withColumns({"created": F.col("created_at"), "outbound_type": F.when(i % 4 == 0, "dns").when(i % 4 == 1, "direct")})
+    try:
+        accounting.listed(c, ("id", "no such column"))
+    except ValueError:
+        return accounting.listed(accounting.without_dns(c), ("id", "network", "created"))
+    raise AssertionError("an unknown column was listed")
+
+
+@query("SELECT n_name AS tag, row_number() OVER (ORDER BY n_nationkey = 12 DESC, n_nationkey) AS place FROM nation")
+def default_goes_first(spark, sf_dir):
+    proxies = spark.read.parquet(f"{sf_dir}/nation.parquet").select(F.col("n_name").alias("tag"), F.col("n_nationkey").alias("ordinal"))
+    default = proxies.where("ordinal = 12").first().tag
+    return accounting.default_first(proxies, default).coalesce(1).select("tag", (F.monotonically_increasing_id() + 1).alias("place"))
+
+
+@query(f"""WITH {FLOWS}, n AS (SELECT id, upload * CAST(power(900, event_id % 5) AS BIGINT) AS n FROM flows), k AS (SELECT *, CASE WHEN n >= 1125899906842624 THEN 5 WHEN n >= 1099511627776 THEN 4 WHEN n >= 1073741824 THEN 3 WHEN n >= 1048576 THEN 2 WHEN n >= 1024 THEN 1 ELSE 0 END AS k FROM n)
+    SELECT id, CASE WHEN k = 0 THEN n || ' B' ELSE printf('%.1f', round_even(n / power(1024, k), 1)) || ' ' || ['KB', 'MB', 'GB', 'TB', 'PB'][k] END AS size FROM k""")
+def sizes_formatted(spark, sf_dir):
+    n = F.col("upload") * F.pow(F.lit(900), F.col("event_id") % 5).cast("long")
+    return flows(spark, sf_dir).select("id", scalar.human_bytes(n).alias("size"))
+
+
+@query(f"""WITH {FLOWS}, a AS (SELECT id, event_id % 33 AS bits, dst_ip, CASE WHEN event_id % 9 = 0 THEN 4294967295 ELSE dst_ip END AS four, CASE WHEN event_id % 9 = 0 THEN 4294967295 ELSE src_ip END AS six FROM flows)
+    SELECT id, CASE WHEN four < 4294967295 THEN lpad(lower(to_hex(four + 1)), 8, '0') END AS next_four, '20010db8' || lpad(lower(to_hex(six + 1)), 24, '0') AS next_six, lpad(lower(to_hex(dst_ip | ((CAST(1 AS BIGINT) << CAST(32 - bits AS INT)) - 1))), 8, '0') AS last_four FROM a""")
+def addresses_after(spark, sf_dir):
+    """The next address of either family, with a carry over 32 bits, and the broadcast address of a prefix around an address."""
+    h, i = lambda c, n: F.lower(F.lpad(F.hex(c), n, "0")), F.col("event_id")
+    top = lambda c: F.when(i % 9 == 0, F.lit(4294967295)).otherwise(F.col(c))
+    return flows(spark, sf_dir).select("id", net.after(h(top("dst_ip"), 8)).alias("next_four"), net.after(F.concat(F.lit("20010db8"), h(top("src_ip"), 24))).alias("next_six"), net.last_of(h("dst_ip", 8), i % 33).alias("last_four"))
+
+
+@query(f"""WITH {HOSTS}, p AS (SELECT DISTINCT 't' || page_id % 4 AS tag, host AS suffix FROM hosts WHERE page_id % 10 = 0 AND host <> '' UNION SELECT 't9', 'example.org')
+    SELECT page_id, EXISTS (SELECT 1 FROM p WHERE tag IN ('t0', 't9') AND (host = suffix OR ends_with(host, '.' || suffix))) AS preferred FROM hosts""")
+def preferred_by_table(spark, sf_dir):
+    """Rules that ask for who prefers a name, answered by a join to a table of preferences."""
+    h = hosts(spark, sf_dir)
+    p = h.where("page_id % 10 = 0 AND host <> ''").select(F.concat(F.lit("t"), F.col("page_id") % 4).alias("tag"), F.col("host").alias("suffix")).distinct().unionByName(literal(spark, [("t9", "example.org")], "tag string, suffix string"))
+    df = enrich.preferred(h, p, "page_id")
+    return df.select("page_id", predicate(df, parse_rule({"preferred_by": ["t0", "t9"]})).alias("preferred"))

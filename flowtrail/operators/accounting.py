@@ -63,6 +63,12 @@ def with_all_users(stats: DataFrame) -> DataFrame:
     return stats.unionByName(stats.agg(*sums).withColumn("user", F.lit(None).cast("string")))
 
 
+def one_counter(counted: DataFrame, name: str) -> DataFrame:
+    """name and value of one counter; where it isn't counted, reading the row is an error."""
+    value = counted.where(F.col("name") == name).agg(F.max("value").alias("value"))
+    return value.select(F.lit(name).alias("name"), F.coalesce("value", F.raise_error(F.lit(f"no such counter: {name}")).cast("long")).alias("value"))
+
+
 def counter(counted: DataFrame, name: str) -> int:
     """The value of one counter; a name that isn't counted is an error."""
     found = counted.where(F.col("name") == name).limit(1).collect()

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .lookup import asof_join, small
+from .lookup import asof_join, small, suffix_join
 
 MISSING = "no name for this synthetic address"
 
@@ -44,6 +44,12 @@ def enrich(df: DataFrame, processes: DataFrame | None = None, neighbours: DataFr
     return out.withColumn("ip_version", F.when(F.col("dst_ip").isNotNull(), F.when(six, 6).otherwise(4)))
 
 
+def preferred(df: DataFrame, preferences: DataFrame, row_id: str, host: str = "host") -> DataFrame:
+    """df with preferred: the tags whose suffixes (preferences: tag, suffix) the host has, for rules with preferred_by. row_id is unique."""
+    tags = suffix_join(df.select(row_id, host), preferences, host).groupBy(row_id).agg(F.sort_array(F.collect_set("tag")).alias("preferred"))
+    return df.join(tags, row_id, "left").withColumn("preferred", F.coalesce("preferred", F.expr("cast(array() as array<string>)")))
+
+
 def rejected(questions: DataFrame, rejections: DataFrame) -> DataFrame:
     """questions (transport, qname, qtype, ts) with rejected: whether an answer of this transport to the question was rejected before and is remembered still.
 

@@ -3,10 +3,15 @@
 from __future__ import annotations
 
 import heapq
+from collections.abc import Iterator
+from ipaddress import ip_address, summarize_address_range
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from ..functions import net
 from ..session import BROADCAST_ROWS, small, written
 from .patterns import matches, quoted
 from .slices import running
@@ -101,23 +106,37 @@ def range_join(df: DataFrame, ranges: DataFrame, address: str) -> DataFrame:
     return keyed.join(small(_buckets(ranges)), ["level", "bucket"]).where(F.col(address).between(F.col("lo"), F.col("hi"))).drop("level", "bucket")
 
 
-#: Digits of a key by which ranges are dealt: the most in which both ends agree.
-DIGITS = (0, 2, 4, 6, 8, 12, 16, 24)
+def _prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The prefixes that make up each range, as family and length, and the bits that they fix."""
+    for batch in batches:
+        rows, prefixes = [], []
+        for i, (lo, hi) in enumerate(zip(batch["lo"].to_pylist(), batch["hi"].to_pylist())):
+            if lo is None or hi is None or len(lo) != len(hi) or lo > hi:
+                continue  # no address is in it
+            first, last = (ip_address(bytes.fromhex(x)) for x in (lo, hi))
+            for n in summarize_address_range(first, last):
+                rows.append(i)
+                prefixes.append(f"{n.version}:{n.prefixlen}:{n.network_address.packed.hex()}")
+        yield pa.RecordBatch.from_arrays([*batch.take(pa.array(rows, pa.int64())).columns, pa.array(prefixes, pa.string())], [*batch.schema.names, "_prefix"])
 
 
 def key_range_join(df: DataFrame, ranges: DataFrame, address: str) -> DataFrame:
     """Every (row, range) with the address's key (functions/net.py: IPv4 and IPv6) in [lo, hi] of its family.
 
-    A range has one bucket: its family and the digits that both its ends begin with. An address asks for
-    one bucket a level, so this is an equi-join whatever the family.
+    A range is cut into the few prefixes that make it up, and an address is in one of them if its first bits are the
+    prefix's: it asks for one prefix of each length that the table has. So this is an equi-join, no bucket is
+    shared by ranges that are apart, and a row meets a range once.
     """
-    family = lambda c: F.when(F.length(c) == 8, "4").otherwise("6")
-    of = lambda c, n: F.concat(family(c), F.lit(f":{n}:"), F.substring(c, 1, n))
-    bucket = of("lo", 0)
-    for n in DIGITS[1:]:
-        bucket = F.when((F.substring("lo", 1, n) == F.substring("hi", 1, n)) & (F.length("lo") >= n), of("lo", n)).otherwise(bucket)
-    keyed = df.where(F.col(address).isNotNull()).select("*", F.explode(F.array(*[of(address, n) for n in DIGITS])).alias("_bucket"))
-    return keyed.join(small(ranges.select("*", bucket.alias("_bucket"))), "_bucket").where(F.col(address).between(F.col("lo"), F.col("hi"))).drop("_bucket")
+    cut = written(ranges.mapInArrow(_prefixes, T.StructType(ranges.schema.fields + [T.StructField("_prefix", T.StringType())])), "range-prefixes")
+    lengths = [r.n for r in cut.select(F.substring_index("_prefix", ":", 2).alias("n")).distinct().collect()]  # 33 and 129 at most
+
+    def asked(length: str) -> Column:
+        family, bits = map(int, length.split(":"))
+        digits = 8 if family == 4 else 32
+        return F.when(F.length(address) == digits, F.concat(F.lit(f"{length}:"), net.first_of(F.col(address), bits, digits)))
+
+    keyed = df.where(F.col(address).isNotNull()).select("*", F.explode(F.array_compact(F.array(*map(asked, sorted(lengths)))) if lengths else F.array().cast("array<string>")).alias("_prefix"))
+    return keyed.join(small(cut), "_prefix").drop("_prefix")
 
 
 def country_of(df: DataFrame, ranges: DataFrame, row_id: str, address: str, default: str = "unknown") -> DataFrame:

@@ -223,6 +223,8 @@ def _item(x: Context, rule: Default, name: str) -> Column:
         return sure(F.col("response_rcode") == want) if x.has("response_rcode") else F.lit(False)
     if name in ("response_answer", "response_ns", "response_extra"):
         return _records(x, name, want)
+    if name == "preferred_by" and x.has("preferred"):  # the tags that prefer the row, by operators/enrich.py
+        return sure(F.arrays_overlap("preferred", F.array(*map(F.lit, want))))
     if name == "preferred_by":
         preferred = [d for tag in want for d in x.env.get("preferred", {}).get(tag, ())]
         return any_of([suffix_match(host(x), d) for d in preferred]) if preferred else F.lit(False)

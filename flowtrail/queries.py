@@ -223,10 +223,14 @@ def category_counts(spark, sf_dir):
     return lookup.category_counts(geosite_lookup_first(spark, sf_dir))
 
 
-@query(f"WITH items(code, type, value) AS (VALUES {values(CATEGORIES)}), f AS (SELECT code, {', '.join(f'coalesce(list_sort(list(value) FILTER (type = {k})), []) AS {n}' for k, n in enumerate(('domain', 'domain_suffix', 'domain_keyword', 'domain_regex')))} FROM items GROUP BY code) SELECT code, {', '.join(f'array_to_string({n}, chr(10)) AS {n}' for n in ('domain', 'domain_suffix', 'domain_keyword', 'domain_regex'))} FROM f")
+KINDS = ("domain", "domain_suffix", "domain_keyword", "domain_regex")
+
+
+@query(f"""WITH {HOSTS}, items AS (SELECT 'c' || page_id % 7 AS code, page_id % 4 AS type, host AS value FROM hosts WHERE host <> ''), f AS (SELECT code, {', '.join(f'coalesce(list_sort(list(value) FILTER (type = {k})), []) AS {n}' for k, n in enumerate(KINDS))} FROM items GROUP BY code)
+    SELECT code, {', '.join(f'array_to_string({n}, chr(10)) AS {n}' for n in KINDS)} FROM f""")
 def category_export(spark, sf_dir):
-    out = lookup.category_rule(literal(spark, CATEGORIES, "code string, type int, value string"))
-    return out.select("code", *[F.array_join(n, "\n").alias(n) for n in ("domain", "domain_suffix", "domain_keyword", "domain_regex")])
+    items = hosts(spark, sf_dir).where("host <> ''").select(F.concat(F.lit("c"), F.col("page_id") % 7).alias("code"), (F.col("page_id") % 4).cast("int").alias("type"), F.col("host").alias("value"))
+    return lookup.category_rule(items).select("code", *[F.array_join(n, "\n").alias(n) for n in KINDS])
 
 
 RANGES = [(*prefix_range(p)[1:], code) for p, code in (("0.0.0.0/3", "A"), ("16.0.0.0/5", "B"), ("17.128.0.0/9", "C"), ("96.0.0.0/4", "D"), ("200.10.0.0/16", "E"), ("200.10.7.0/24", "F"), ("250.1.2.3/32", "G"))]
@@ -252,13 +256,17 @@ def reverse_map_asof(spark, sf_dir):
     return lookup.asof_join(k.where("event_id % 5 <> 0").select("id", "ip", "ts"), m, "ip").select("id", "value")
 
 
-GROUPS = [("auto", "fast"), ("fast", "eu"), ("eu", "eu-1"), ("us", "us-2"), ("loop", "pool"), ("pool", "loop"), ("direct", "out")]
+CHAINS = "g AS (SELECT 'c' || c_custkey AS tag, CASE WHEN c_custkey % 50 <> 0 THEN 'c' || (c_custkey - 1) WHEN c_custkey // 50 % 5 = 3 THEN 'c' || (c_custkey + 49) ELSE 'leaf' || c_custkey END AS now FROM customer)"
 
 
-@query(f"""WITH RECURSIVE g(tag, now) AS (VALUES {values(GROUPS)}), w AS (SELECT tag, now AS leaf, tag || '>' || now AS chain, 1 AS n FROM g UNION ALL SELECT w.tag, g.now, chain || '>' || g.now, n + 1 FROM w JOIN g ON w.leaf = g.tag WHERE n < 20),
+@query(f"""WITH RECURSIVE {CHAINS}, w AS (SELECT tag, now AS leaf, tag || '>' || now AS chain, 1 AS n FROM g UNION ALL SELECT w.tag, g.now, chain || '>' || g.now, n + 1 FROM w JOIN g ON w.leaf = g.tag WHERE n < 60),
     e AS (SELECT w.tag, leaf, chain FROM w LEFT JOIN g ON w.leaf = g.tag WHERE g.tag IS NULL) SELECT DISTINCT g.tag, e.leaf, e.chain FROM g LEFT JOIN e ON g.tag = e.tag""")
 def group_chain(spark, sf_dir):
-    return lookup.resolve_chain(literal(spark, GROUPS, "tag string, now string")).select("tag", "leaf", F.array_join("chain", ">").alias("chain"))
+    """A group for each customer, which stands for the one before: chains of up to fifty, some of them cycles."""
+    k = F.col("c_custkey")
+    now = F.when(k % 50 != 0, F.concat(F.lit("c"), k - 1)).when(F.expr("c_custkey div 50 % 5 = 3"), F.concat(F.lit("c"), k + 49)).otherwise(F.concat(F.lit("leaf"), k))
+    groups = spark.read.parquet(f"{sf_dir}/customer.parquet").select(F.concat(F.lit("c"), k).alias("tag"), now.alias("now"))
+    return lookup.resolve_chain(groups).select("tag", "leaf", F.array_join("chain", ">").alias("chain"))
 
 
 HOST_LINES = [("h0", "m.tionsh.example.net", "10.0.0.1", 1, 0), ("h1", "m.tionsh.example.net", "10.0.0.2", 0, 0), ("h2", "example.com", "10.0.0.3", 1, 0), ("h3", "example.com", "10.0.0.4", 1, 1)]

@@ -65,6 +65,14 @@ def parse(lines: DataFrame) -> DataFrame:
     )
 
 
+COLUMNS = ("pattern", "raw", "exclude", "important", "suffix", "start", "end", "regex")
+
+
+def kept_lines(parsed: DataFrame) -> DataFrame:
+    """The lines that are kept. They are written first: a condition on why a line is dropped would be put in terms of the line itself, over and over."""
+    return written(parsed.select(*COLUMNS, "dropped"), "filter-lines").where("dropped is null").drop("dropped").distinct()
+
+
 def line_regex(line: str) -> str:
     """A filter line without options as a pattern over hosts."""
     suffix, start, end = line.startswith("||"), line.startswith("|") and not line.startswith("||"), line.endswith("^")
@@ -86,8 +94,7 @@ def match(hosts: DataFrame, parsed: DataFrame) -> DataFrame:
     are found by the trigrams that they need (operators/patterns.py). A list of raw domains only matches
     exactly. A pattern without a meaning is passed over. All of this is the same for a list of any length.
     """
-    columns = ("pattern", "raw", "exclude", "important", "suffix", "start", "end", "regex")
-    kept = written(parsed.where("dropped is null").select(*columns).distinct(), "filter-lines")
+    kept = kept_lines(parsed)
     if not kept.where("not raw").limit(1).count():
         kept = kept.withColumns({"start": F.lit(True), "end": F.lit(True)})
     kept = kept.withColumns({"pattern": F.when(F.col("regex"), F.col("pattern")).otherwise(F.lower("pattern")), "kind": F.col("important").cast("int") * 2 + F.col("exclude").cast("int")})
@@ -105,7 +112,7 @@ def match(hosts: DataFrame, parsed: DataFrame) -> DataFrame:
 
 def dropped_counts(parsed: DataFrame) -> DataFrame:
     """Why lines are dropped, and how many for each reason."""
-    return parsed.where("dropped is not null").groupBy("dropped").agg(F.count("*").alias("n"))
+    return written(parsed.select("dropped"), "filter-dropped").where("dropped is not null").groupBy("dropped").agg(F.count("*").alias("n"))
 
 
 #: Lines that one rule may hold as a literal.
@@ -114,7 +121,7 @@ RULE_LINES = 100_000
 
 def to_rule(parsed: DataFrame) -> dict:
     """The kept lines as one rule of a rule set. The lines become a literal of RULE_LINES at most; a longer list is an error."""
-    rows = parsed.where("dropped is null").limit(RULE_LINES + 1).collect()
+    rows = written(parsed.select(*COLUMNS, "dropped"), "filter-lines").where("dropped is null").limit(RULE_LINES + 1).collect()
     if len(rows) > RULE_LINES:
         raise RuleError(f"over {RULE_LINES} lines do not make one rule")
     if all(r.raw for r in rows):

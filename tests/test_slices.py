@@ -104,3 +104,18 @@ def test_asof_join_with_keys_and_times_that_are_null(spark):
         ties = {ttl for s, v, ttl in seen if (s, v) == top[:2]} if top else set()
         want[i] = {top[1] if ttl is not None and t < top[0] + ttl else None for ttl in ties} or {None}
     assert len(got) == len(rows) and all(r.value in want[r.i] for r in got)
+
+
+def test_ranges_of_any_shape(spark):
+    """Ranges whose ends share no digit, single addresses, whole families, and ranges that are none."""
+    rng = random.Random(3)
+    key = lambda n, digits=8: f"{n:0{digits}x}"
+    ranges = [(key(0x0AFF0000), key(0x0B00FFFF), "a"), (key(0), key(0xFFFFFFFF), "all"), (key(5), key(5), "one"), (key(9), key(3), "none"), (None, key(3), "none"), (key(0x20010DB8 << 96, 32), key((0x20010DB9 << 96) + 7, 32), "six"), (key(1), key(1, 32), "none")]
+    for k in range(40):
+        lo = rng.randrange(1 << 32)
+        ranges.append((key(lo), key(min(lo + rng.randrange(1 << rng.randrange(1, 32)), (1 << 32) - 1)), f"r{k}"))
+    rows = [key(rng.randrange(1 << 32)) for _ in range(300)] + [r[i] for r in ranges for i in (0, 1) if r[i]] + [key((0x20010DB8 << 96) + rng.randrange(1 << 97), 32) for _ in range(20)] + [None]
+    got = lookup.key_range_join(spark.createDataFrame(list(enumerate(rows)), "i int, ip string"), spark.createDataFrame(ranges, "lo string, hi string, code string"), "ip").collect()
+    want = {(i, c) for i, ip in enumerate(rows) for lo, hi, c in ranges if ip and lo and len(ip) == len(lo) == len(hi) and lo <= ip <= hi}
+    assert {(r.i, r.code) for r in got} == want and len(got) == len(want)
+    assert lookup.key_range_join(spark.createDataFrame([("00000001",)], "ip string"), spark.createDataFrame([], "lo string, hi string, code string"), "ip").count() == 0

@@ -143,7 +143,7 @@ def dns_race(spark, sf_dir):
     i, first = F.col("query_id"), F.col("tag") == "m"
     done = two.select("query_id", "tag", F.when(first, i * 37 % 211).otherwise(i * 53 % 199).alias("completed_ms"), F.when(first, i % 6 != 0).otherwise(i % 10 != 0).alias("ok"))
     reads = two.select("query_id", F.when(first, 0).otherwise(1).alias("rule_idx"), "tag", (i % 2 == 0).alias("race"))
-    return dns.race(done, reads)
+    return dns.race(done, reads).select("query_id", "tag", "rule_idx")
 
 
 @query(f"""WITH {HOSTS} SELECT page_id, host || '|1|192.0.2.1;fixed.test|1|192.0.2.2' AS answer FROM hosts""")
@@ -637,3 +637,13 @@ def preferred_by_table(spark, sf_dir):
     p = h.where("page_id % 10 = 0 AND host <> ''").select(F.concat(F.lit("t"), F.col("page_id") % 4).alias("tag"), F.col("host").alias("suffix")).distinct().unionByName(literal(spark, [("t9", "example.org")], "tag string, suffix string"))
     df = enrich.preferred(h, p, "page_id")
     return df.select("page_id", predicate(df, parse_rule({"preferred_by": ["t0", "t9"]})).alias("preferred"))
+
+
+@query(f"""WITH {FLOWS}, e AS (SELECT event_id AS q, event_id * 37 % 211 AS m, event_id % 6 <> 0 AS m_ok, event_id * 53 % 199 AS n, event_id % 10 < 3 AS n_ok, event_id * 29 % 173 AS r, event_id % 4 <> 0 AS r_ok FROM flows)
+    SELECT q AS query_id, CASE WHEN m_ok AND (NOT n_ok OR m <= n) THEN 'm' WHEN n_ok THEN 'n' ELSE 'r' END AS tag, CASE WHEN m_ok AND (NOT n_ok OR m <= n) THEN m WHEN n_ok THEN n ELSE greatest(m, n, r) END AS answered_ms, NOT m_ok AND NOT n_ok AND NOT r_ok AS failed FROM e""")
+def dns_race_speculative(spark, sf_dir):
+    """Two evaluations race, and a route that was started ahead counts only if both fail."""
+    i = F.col("event_id")
+    told = F.array(*[F.struct(F.lit(k).alias("rule_idx"), F.lit(tag).alias("tag"), (ms % most).alias("completed_ms"), ok.alias("ok"), F.lit(tag != "r").alias("race"), F.lit(tag == "r").alias("route")) for k, (tag, ms, most, ok) in enumerate((("m", i * 37, 211, i % 6 != 0), ("n", i * 53, 199, i % 10 < 3), ("r", i * 29, 173, i % 4 != 0)))])
+    each = flows(spark, sf_dir).select(i.alias("query_id"), F.explode(told).alias("e")).select("query_id", "e.*")
+    return dns.race(each.select("query_id", "tag", "completed_ms", "ok"), each.select("query_id", "rule_idx", "tag", "race", "route")).select("query_id", "tag", "answered_ms", "failed")

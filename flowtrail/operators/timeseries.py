@@ -94,21 +94,34 @@ def measurement_window(stability: DataFrame, key: str, order: str, window: int =
 def ewma(df: DataFrame, key: str, order: list[str], value: str, weight: float = 0.3) -> DataFrame:
     """key, its last average and n: weight * x + (1 - weight) * previous, the first value or a previous of exactly 0 starting anew.
 
-    Blocks of BLOCK values in a row are folded for themselves, each to what it makes of 0 and to the factor
-    and term that it applies to any other average; then a key's blocks in turn. An average that a block is
+    BLOCK values in a row are folded for themselves, to what they make of 0 and to the factor and term that they apply to any
+    other average; then BLOCK blocks in a row, and so on, so no row or task has all values of a key. Blocks are counted
+    from a key's first value, so the result is the same however the rows are dealt. An average that a block is
     entered with is taken not to come to exactly 0 within it. Ties in order follow by value; nulls are left out.
     """
     x = df.where(F.col(value).isNotNull()).select(key, F.struct(*order).alias("at"), F.col(value).cast("double").alias("x"))
     parts = _parts(x, [key, "at", "x"], "ewma")
-    nth = F.row_number().over(Window.partitionBy(key, "part").orderBy("at", "x"))
-    rows = F.transform(F.sort_array(F.collect_list(F.struct("nth", "x"))), lambda r: r["x"])
-    blocks = parts.withColumn("nth", nth).groupBy(key, "part", F.floor((F.col("nth") - 1) / BLOCK).alias("block")).agg(rows.alias("s"))
-    step = lambda a, v: F.lit(weight) * v + F.lit(1 - weight) * a
-    anew = F.aggregate("s", F.lit(0.0), lambda a, v: F.when(a == 0, v).otherwise(step(a, v)))
-    factor, term = F.pow(F.lit(1 - weight), F.size("s")), F.aggregate("s", F.lit(0.0), step)
-    folded = blocks.select(key, F.struct("part", "block", anew.alias("anew"), factor.alias("factor"), term.alias("term"), F.size("s").alias("n")).alias("b"))
-    whole = folded.groupBy(key).agg(F.sort_array(F.collect_list("b")).alias("bs"), F.sum("b.n").alias("n"))
-    return whole.select(key, F.aggregate("bs", F.lit(0.0), lambda a, b: F.when(a == 0, b["anew"]).otherwise(b["factor"] * a + b["term"])).alias("ewma"), "n")
+    counts = parts.groupBy(key, "part").agg(F.count("*").alias("m"))
+    before = F.coalesce(F.sum("m").over(Window.partitionBy(key).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    counts = written(counts.select(key, "part", before.alias("before"), (before + F.col("m")).alias("upto")), "ewma-counts")
+    nth = F.row_number().over(Window.partitionBy(key, "part").orderBy("at", "x")) - 1
+    both = parts.withColumn("nth", nth).alias("a").join(counts.alias("b"), (F.col("a.part") == F.col("b.part")) & _same([key]))
+    placed = both.select(f"a.{key}", (F.col("a.nth") + F.col("b.before")).alias("nth"), "a.x")
+    one = F.struct("nth", F.col("x").alias("anew"), F.lit(1 - weight).alias("factor"), (F.lit(weight) * F.col("x")).alias("term"), F.lit(1).cast("long").alias("n")).alias("b")
+    folded, most = placed.select(key, one), counts.agg(F.max("upto")).first()[0] or 0
+
+    def join(a: Column, b: Column) -> Column:
+        """What a and then b make."""
+        anew = F.when(a["anew"] == 0, b["anew"]).otherwise(b["factor"] * a["anew"] + b["term"])
+        return F.struct(anew.alias("anew"), (a["factor"] * b["factor"]).alias("factor"), (b["factor"] * a["term"] + b["term"]).alias("term"), (a["n"] + b["n"]).alias("n"))
+
+    start = F.struct(F.lit(0.0).alias("anew"), F.lit(1.0).alias("factor"), F.lit(0.0).alias("term"), F.lit(0).cast("long").alias("n"))
+    while True:
+        of = F.floor(F.col("b.nth") / BLOCK)
+        made = folded.groupBy(key, of.alias("nth")).agg(F.aggregate(F.sort_array(F.collect_list("b")), start, join).alias("f"))
+        if most <= BLOCK:
+            return made.select(key, F.col("f.anew").alias("ewma"), F.col("f.n").alias("n"))
+        folded, most = made.select(key, F.struct("nth", "f.anew", "f.factor", "f.term", "f.n").alias("b")), -(-most // BLOCK)
 
 
 PROBES = ("tcp", "tls", "http_first", "http_loaded")

@@ -58,20 +58,24 @@ def walk(df: DataFrame, rules, default: str = "default", start: int = 0, **kw) -
 
 
 def race(evaluations: DataFrame, reads: DataFrame) -> DataFrame:
-    """The response that each query gets from its recorded evaluations.
+    """The response that each query gets from its recorded evaluations: query_id, tag, rule_idx, answered_ms and failed.
 
     evaluations: query_id, tag, completed_ms, ok (an evaluation that failed answers nothing).
-    reads: query_id, rule_idx, tag, race. Reads stand in rule order; one without race waits for its
+    reads: query_id, rule_idx, tag, race, and route if there are routes. Reads stand in rule order; one without race waits for its
     evaluation and everything before it, so later reads count only if it fails. Consecutive racing
-    reads commit by completion time, then by rule. Returns query_id, tag, rule_idx.
+    reads commit by completion time, then by rule. A route was started ahead, while what stands before it was still awaited:
+    it counts only if all of that failed, and then it is the answer even if it failed itself.
+    answered_ms: when the answer was there and all that it waited for had failed.
     """
-    at = reads.join(evaluations, ["query_id", "tag"], "left").where(F.coalesce("ok", F.lit(False)))
+    reads = reads if "route" in reads.columns else reads.withColumn("route", F.lit(False))
     # A run of racing reads that no waiting read interrupts shares the order of its first rule.
     w = Window.partitionBy("query_id").orderBy("rule_idx")
     runs = reads.withColumn("new", F.when(~F.col("race") | ~F.coalesce(F.lag("race").over(w), F.lit(False)), 1).otherwise(0)).withColumn("run", F.sum("new").over(w))
-    at = at.join(runs.select("query_id", "rule_idx", "run"), ["query_id", "rule_idx"])
-    best = F.min(F.struct("run", F.when(F.col("race"), F.col("completed_ms")).otherwise(F.lit(0)).alias("t"), "rule_idx", "tag")).alias("b")
-    return at.groupBy("query_id").agg(best).select("query_id", "b.tag", "b.rule_idx")
+    at = runs.join(evaluations, ["query_id", "tag"], "left").withColumn("ok", F.coalesce("ok", F.lit(False)))
+    earlier = F.max("completed_ms").over(Window.partitionBy("query_id").orderBy("run").rangeBetween(Window.unboundedPreceding, -1))
+    at = at.withColumn("answered_ms", F.greatest("completed_ms", earlier)).where(F.col("ok") | F.col("route"))
+    best = F.min(F.struct("run", F.when(F.col("race"), F.col("completed_ms")).otherwise(F.lit(0)).alias("t"), "rule_idx", "tag", "answered_ms", (~F.col("ok")).alias("failed"))).alias("b")
+    return at.groupBy("query_id").agg(best).select("query_id", "b.tag", "b.rule_idx", "b.answered_ms", "b.failed")
 
 
 def predefined(df: DataFrame, records: list[dict]) -> Column:

@@ -1,4 +1,5 @@
 import os
+import tempfile
 
 import pytest
 from pyspark.sql import SparkSession
@@ -11,6 +12,7 @@ def spark():
     session = (
         SparkSession.builder.master(os.environ.get("TEST_MASTER", "local[4]"))
         .config("spark.sql.shuffle.partitions", "4")
+        .config("spark.checkpoint.dir", "file://" + tempfile.mkdtemp(prefix="flowtrail-tests-"))
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", "4g")

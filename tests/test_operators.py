@@ -280,3 +280,28 @@ def test_ja3(spark):
     df = spark.createDataFrame([(771, [2570, 4865], [0, 6682, 11], [29], [0])], "version int, ciphers array<int>, extensions array<int>, groups array<int>, formats array<int>")
     assert one(sniff.ja3(df), "ja3").ja3 == "771,4865,0-11,29,0"
     assert one(sniff.ja3(df, standard=False), "ja3").ja3 == "771,2570,6682,,0"
+
+
+def test_addresses_after_and_around(spark):
+    from ipaddress import ip_address, ip_network
+
+    from flowtrail.functions import net
+
+    texts = ["0.0.0.0", "10.0.255.255", "255.255.255.255", "192.0.2.77", "::", "2001:db8::ffff:ffff", "2001:db8:0:1:ffff:ffff:ffff:ffff", "ffff:ffff:ffff:ffff:ffff:ffff:ffff:ffff"]
+    key = lambda a: a.packed.hex()
+    rows = [(key(ip_address(t)), bits) for t in texts for bits in ((0, 1, 8, 13, 31, 32) if "." in t else (0, 3, 32, 61, 64, 127, 128))]
+    df = spark.createDataFrame(rows, "k string, bits int")
+    for r in df.select("k", "bits", net.after(F.col("k")).alias("next"), net.last_of(F.col("k"), F.col("bits")).alias("last")).collect():
+        a = ip_address(bytes.fromhex(r.k))
+        whole = ip_network((a, r.bits), strict=False)
+        assert r.next == (None if int(a) == 2**a.max_prefixlen - 1 else key(a + 1))
+        assert r.last == key(whole[-1])
+        digits = len(r.k)
+        assert df.where(F.col("k") == r.k).select(net.first_of(F.col("k"), r.bits, digits).alias("f")).first().f == key(whole[0])
+
+
+def test_one_counter(spark):
+    counted = spark.createDataFrame([("a", 3), ("b", 4)], "name string, value long")
+    assert [tuple(r) for r in accounting.one_counter(counted, "b").collect()] == [("b", 4)]
+    with pytest.raises(Exception, match="no such counter"):
+        accounting.one_counter(counted, "c").collect()

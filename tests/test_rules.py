@@ -197,6 +197,14 @@ def test_dns_race(spark):
     assert {r.query_id: r.tag for r in dns.race(done, reads).collect()} == {0: "n", 1: "n", 2: "m", 3: "m"}
 
 
+def test_dns_race_with_a_route_started_ahead(spark):
+    """A route counts only if what it waited for failed, is the answer even if it failed, and is there when the last of these failed."""
+    done = [(q, tag, ms, ok) for q, oks in enumerate([(1, 1, 1), (0, 1, 1), (0, 0, 1), (0, 0, 0)]) for tag, ms, ok in zip("mnr", (50, 30, 10), map(bool, oks))] + [(4, "m", 5, False)]
+    reads = [(q, k, tag, tag != "r", tag == "r") for q in range(5) for k, tag in enumerate("mnr")]
+    got = dns.race(spark.createDataFrame(done, "query_id int, tag string, completed_ms int, ok boolean"), spark.createDataFrame(reads, "query_id int, rule_idx int, tag string, race boolean, route boolean"))
+    assert {r.query_id: (r.tag, r.answered_ms, r.failed) for r in got.collect()} == {0: ("n", 30, False), 1: ("n", 30, False), 2: ("r", 50, False), 3: ("r", 50, True), 4: ("r", 5, True)}
+
+
 def test_dns_fold_reads_named_answers(spark):
     df = spark.createDataFrame([(1, "a.example", {"u": (0, [16843009])}), (2, "a.example", {"u": (3, [])}), (3, "b.test", {"u": (0, [16843009])})], "id long, domain string, responses map<string, struct<rcode:int,addresses:array<bigint>>>")
     rules = [parse_rule({"domain_suffix": "example", "action": "evaluate", "tag": "u"}), parse_rule({"match_response": True, "match_response_tag": "u", "ip_cidr": "1.1.1.0/24", "action": "respond", "tag": "u"}), parse_rule({"match_response": True, "match_response_tag": "u", "response_rcode": 3, "action": "route", "server": "z"})]

@@ -33,13 +33,17 @@ _MIX = tuple(np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x16
 
 @dataclass(frozen=True)
 class Ftrl:
-    """FTRL-proximal: alpha and beta set each coordinate's rate, l1 its sparsity, l2 its shrinkage."""
+    """FTRL-proximal: alpha and beta set each coordinate's rate, l1 its sparsity, l2 its shrinkage; an example with label 1 weighs `positive`.
+
+    l1 and positive were chosen by cross-validation over the rows to learn from, at two sizes of the test tables.
+    """
 
     alpha: float = 0.5
     beta: float = 1.0
-    l1: float = 3.0
+    l1: float = 8.0
     l2: float = 1.0
     epochs: int = 4
+    positive: float = 2.0
 
     def fit(self, rows: list[np.ndarray], labels: list[int], seed: int = 0) -> tuple[np.ndarray, float]:
         """(weights, bias). The last coordinate is the bias, which is not regularised."""
@@ -50,7 +54,7 @@ class Ftrl:
                 x = rows[i]
                 zx, nx = z[x], n[x]
                 p = 1 / (1 + np.exp(-np.clip(self._weights(zx, nx).sum(), -35, 35)))
-                g = p - labels[i]
+                g = (p - labels[i]) * (self.positive if labels[i] else 1.0)
                 rate = (np.sqrt(nx + g * g) - np.sqrt(nx)) / self.alpha
                 z[x] = zx + g - rate * self._weights(zx, nx)
                 n[x] = nx + g * g

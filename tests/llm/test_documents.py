@@ -513,7 +513,7 @@ def plain_features(text):
     return {x >> 44 for x in found}
 
 
-def plain_ftrl(rows, labels, alpha=0.5, beta=1.0, l1=3.0, l2=1.0, epochs=4):
+def plain_ftrl(rows, labels, alpha=0.5, beta=1.0, l1=8.0, l2=1.0, epochs=4, positive=2.0):
     """FTRL-proximal one coordinate at a time, None being the bias."""
     import numpy as np
 
@@ -529,7 +529,7 @@ def plain_ftrl(rows, labels, alpha=0.5, beta=1.0, l1=3.0, l2=1.0, epochs=4):
         for k in order.permutation(len(rows)):
             x = [*rows[k], None]
             w = {i: weight(i) for i in x}
-            g = 1 / (1 + math.exp(-sum(w.values()))) - labels[k]
+            g = (1 / (1 + math.exp(-sum(w.values()))) - labels[k]) * (positive if labels[k] else 1.0)
             for i in x:
                 z[i] += g - (math.sqrt(n[i] + g * g) - math.sqrt(n[i])) / alpha * w[i]
                 n[i] += g * g

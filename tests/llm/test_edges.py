@@ -22,9 +22,10 @@ def plain(rows):
 def test_ids_that_are_text(spark, docs, named):
     as_text = lambda df: [(None if r[0] is None else f"id {r[0]}", *r[1:]) for r in df.collect()]
     assert plain(bpe.encode(named).collect()) == plain(as_text(bpe.encode(docs)))
-    weights = toxicity.train(docs, spark.createDataFrame([(i, i % 2) for i in range(20, 60)], "doc_id long, toxic int"))
+    sparse = toxicity.Ftrl(l1=1.0)
+    weights = toxicity.train(docs, spark.createDataFrame([(i, i % 2) for i in range(20, 60)], "doc_id long, toxic int"), sparse)
     assert plain(toxicity.score(named, weights).collect()) == plain(as_text(toxicity.score(docs, weights)))
-    trained = toxicity.train(named, spark.createDataFrame([(f"id {i}", i % 2) for i in range(20, 60)], "doc_id string, toxic int"))
+    trained = toxicity.train(named, spark.createDataFrame([(f"id {i}", i % 2) for i in range(20, 60)], "doc_id string, toxic int"), sparse)
     assert trained[0].any()
     turns = docs.select(F.col("doc_id").alias("conv_id"), F.col("n_chars").alias("turn"), F.lit("user").alias("role"), "text")
     a = chat.parse(chat.conversations(turns)).select("conv_id", "n_turns", "formatted")

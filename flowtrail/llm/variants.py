@@ -67,7 +67,8 @@ def index(keys: DataFrame) -> DataFrame:
 def near_pairs(vocabulary: DataFrame) -> DataFrame:
     """(a, a_n, b, b_n), a < b, for all words (distinct; word, n) that one letter added, removed or exchanged sets apart, each pair once."""
     made = index(keyed(vocabulary))
-    x, y = made.alias("x"), made.alias("y")
+    # Spark takes the size of the exploded rows for little more than the vocabulary's: never to be broadcast.
+    x, y = made.alias("x"), made.hint("merge").alias("y")
     met = (F.col("x.at") == F.col("y.at")) & (F.col("x.word") < F.col("y.word")) & (F.col("x.letter").isNotNull() | F.col("y.letter").isNotNull())
     # Sums of different letters may agree: the letters taken away must be those that one word has more of.
     more = lambda p, q: F.col(f"{p}.letter").isNull() | (_times(p, p) == _times(q, p) + 1)
@@ -94,7 +95,7 @@ def forms(vocabulary: DataFrame) -> DataFrame:
         vocabulary.join(best, "word", "left").select("word", "n", F.coalesce("n_near", F.lit(0)).cast("long").alias("n_near"), F.when(is_form, F.col("best.form")).alias("form"), F.when(is_form, -F.col("best.less")).alias("form_n")),
         "variant-forms",
     )
-    out = known.join(roots(known.where("form is not null").select("word", "form")), "word", "left")
+    out = known.join(roots(known.where("form is not null").select("word", "form")).hint("merge"), "word", "left")
     return out.select("word", "n", "n_near", "form", "form_n", F.coalesce("root", "word").alias("root"))
 
 
@@ -103,7 +104,7 @@ def roots(chosen: DataFrame) -> DataFrame:
     at = table(chosen.select("word", F.col("form").alias("root")), "variant-roots")
     while True:
         ahead = at.select(F.col("word").alias("root"), F.col("root").alias("further"))
-        step = table(at.join(ahead, "root", "left").select("word", F.coalesce("further", "root").alias("root"), F.col("further").isNotNull().alias("moved")), "variant-roots")
+        step = table(at.join(ahead.hint("merge"), "root", "left").select("word", F.coalesce("further", "root").alias("root"), F.col("further").isNotNull().alias("moved")), "variant-roots")
         forget(at)
         at = step.select("word", "root")
         at._folder = step._folder

@@ -106,3 +106,11 @@ def test_sums_of_letters_that_agree(spark, monkeypatch):
     monkeypatch.setattr(variants, "MODULUS", 7)
     vocabulary = Counter("".join(random.Random(k).choice("abc") for _ in range(6)) for k in range(400))
     same(variants.forms(spark.createDataFrame(list(vocabulary.items()), "word string, n long")).collect(), brute(vocabulary))
+
+
+def test_exploded_rows_are_not_broadcast(spark):
+    """Spark takes the index for little larger than the vocabulary's file, however many rows the words explode into."""
+    vocabulary = variants.table(spark.createDataFrame([("abcdef", 9), ("abcdeg", 50)], "word string, n long"), "test-words")
+    pairs = variants.near_pairs(vocabulary)
+    assert "Broadcast" not in pairs._jdf.queryExecution().executedPlan().toString()
+    assert [(r.a, r.b) for r in pairs.collect()] == [("abcdef", "abcdeg")]

@@ -172,19 +172,31 @@ def asof_join(df: DataFrame, mapping: DataFrame, key: str, at: str = "ts") -> Da
 def resolve_chain(groups: DataFrame) -> DataFrame:
     """tag, leaf, chain (the tags passed, from tag to leaf) and cycle for every group (tag, now; tag unique).
 
-    Each step doubles the distance, until no group moves or more steps were made than there are groups: what
-    still stands on a group then leads into a cycle and has neither leaf nor chain. Each step is a written
-    table, so the plan stays as long as one step.
+    Each step doubles the distance. A path to a leaf has a group at every distance below its own, so once a step
+    brings no further group to its leaf, what still stands on a group leads into a cycle and has neither leaf nor chain.
+    Chains are put together for the other groups only, so none is longer than what is returned. Each step is a
+    written table, so the plan stays as long as one step.
     """
-    tags = groups.select(F.col("tag").alias("leaf"), F.lit(True).alias("_group"))
-    cur, n, reach = groups.select("tag", F.col("now").alias("leaf"), F.array("tag", "now").alias("chain")), groups.count(), 1
-    open_ones = lambda d: d.join(small(tags), "leaf", "left_semi")
-    while reach <= n and open_ones(cur).limit(1).count():
-        nxt = cur.select(F.col("tag").alias("leaf"), F.col("leaf").alias("_leaf"), F.col("chain").alias("_chain"))
-        step = cur.join(small(nxt), "leaf", "left").select("tag", F.coalesce("_leaf", "leaf").alias("leaf"), F.when(F.col("_leaf").isNull(), F.col("chain")).otherwise(F.concat("chain", F.slice("_chain", 2, 1 << 30))).alias("chain"))
-        cur, reach = written(step, "chain"), 2 * reach
-    out = cur.join(small(tags), "leaf", "left").withColumn("cycle", F.coalesce("_group", F.lit(False)))
-    return out.select("tag", F.when(~F.col("cycle"), F.col("leaf")).alias("leaf"), F.when(~F.col("cycle"), F.col("chain")).alias("chain"), "cycle")
+    tags = groups.select(F.col("tag").alias("now"), F.lit(True).alias("_open"))
+    cur = written(groups.select("tag", "now").join(small(tags), "now", "left").select("tag", F.col("now").alias("leaf"), F.coalesce("_open", F.lit(False)).alias("open")), "leaf")
+    start, n, before = cur, cur.where("open").count(), None
+    while n and n != before:
+        cur = _further(cur, [])
+        before, n = n, cur.where("open").count()
+    none = F.lit(None)
+    cycles = cur.where("open").select("tag", none.cast(start.schema["leaf"].dataType).alias("leaf"), none.cast(T.ArrayType(start.schema["leaf"].dataType)).alias("chain"), F.lit(True).alias("cycle"))
+    cur = start.join(cur.where("not open").select("tag"), "tag", "left_semi").withColumn("chain", F.array("tag", "leaf"))
+    while cur.where("open").limit(1).count():
+        cur = _further(cur, ["chain"])
+    return cur.select("tag", "leaf", "chain", F.lit(False).alias("cycle")).unionByName(cycles)
+
+
+def _further(cur: DataFrame, chain: list[str]) -> DataFrame:
+    """cur (tag, leaf, open, and chain if it is named) with the open rows at the leaf of their leaf; chains are too wide to be broadcast by their number of rows."""
+    nxt = cur.select(F.col("tag").alias("leaf"), F.col("leaf").alias("_leaf"), F.col("open").alias("_open"), *[F.slice("chain", 2, 1 << 30).alias("_chain") for _ in chain])
+    moved = cur.where("open").drop("open").join(nxt if chain else small(nxt), "leaf")
+    moved = moved.select("tag", F.col("_leaf").alias("leaf"), F.col("_open").alias("open"), *[F.concat("chain", "_chain").alias("chain") for _ in chain])
+    return written(cur.where("not open").unionByName(moved), "chain")
 
 
 def hosts_lookup(df: DataFrame, hosts: DataFrame, name: str = "host") -> DataFrame:

@@ -164,7 +164,6 @@ def hellos(packets: DataFrame, key: str = "connection", order: str = "seq", payl
     whole = written(whole, "quic-fragments").where("_n > 0").withColumn("_hello", put_together(F.array_distinct("_found")))
     size = _number(F.hex(_cut(F.col("_hello"), F.lit(1), F.lit(3))))
     complete = F.coalesce((_byte(F.col("_hello"), F.lit(0)) == 1) & (F.octet_length("_hello") >= size + 4), F.lit(False))
-    # The name is read as of a record, of which only the length of the header counts.
-    name = F.lower(tls_name(F.concat(F.lit(bytes(5)), F.col("_hello"))))
-    told = whole.select(key, F.lit("quic").alias("protocol"), F.when(complete, name).alias("domain"), (~complete).alias("need_more"))
+    name = F.lower(tls_name(F.when(complete, F.col("_hello"))))
+    told = whole.select(key, F.lit("quic").alias("protocol"), name.alias("domain"), (~complete).alias("need_more"))
     return some.select(key).join(told, key, "left").withColumn("need_more", F.coalesce("need_more", F.lit(False)))

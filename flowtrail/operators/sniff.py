@@ -6,8 +6,10 @@ is ok wins, in the order of STREAM or PACKET.
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.scalar import let
 
@@ -90,18 +92,25 @@ def handshake(p: Column) -> Column:
     return F.when(head & F.coalesce(alone, F.lit(False)), one).when(head, F.aggregate(F.sequence(F.lit(0), F.floor(size / 5).cast("int")), start, step))
 
 
-def tls_name(p: Column) -> Column:
+def hello_name(hello: bytes) -> str | None:
     """The server name of a client hello: found by walking the hello's lengths to its extensions."""
-    b = lambda i: F.conv(F.hex(F.substring(p, i + 1, 1)), 16, 10).cast("int")
-    b2 = lambda i: F.conv(F.hex(F.substring(p, i + 1, 2)), 16, 10).cast("int")
-    session = F.lit(43)
-    suites = session + 1 + b(session)
-    methods = suites + 2 + b2(suites)
-    start = methods + 1 + b(methods)
-    end = start + 2 + b2(start)
-    # An extension has four bytes or more; each step moves to the next one or stays at the one sought.
-    found = F.aggregate(F.sequence(F.lit(0), F.floor(F.octet_length(p) / 4).cast("int")), start + 2, lambda at, _: F.when((at + 4 <= end) & (b2(at) != 0), at + 4 + b2(at + 2)).otherwise(at))
-    return F.when((found + 4 <= end) & (b2(found) == 0), F.decode(F.substring(p, found + 10, b2(found + 7)), "UTF-8"))
+    at = 38
+    for size in (1, 2, 1):  # session, cipher suites, compression methods
+        if at >= len(hello):
+            return None
+        at += size + int.from_bytes(hello[at : at + size], "big")
+    end, at = at + 2 + int.from_bytes(hello[at : at + 2], "big"), at + 2
+    while at + 4 <= min(end, len(hello)):
+        if hello[at] == hello[at + 1] == 0:
+            return hello[at + 9 : at + 9 + int.from_bytes(hello[at + 7 : at + 9], "big")].decode(errors="replace") if at + 7 < len(hello) else None
+        at += 4 + int.from_bytes(hello[at + 2 : at + 4], "big")
+    return None
+
+
+@F.arrow_udf(T.StringType())
+def tls_name(hellos: pa.Array) -> pa.Array:
+    """hello_name() of each; a walk of as many steps as there are extensions."""
+    return pa.array([None if x is None else hello_name(x) for x in hellos.to_pylist()], pa.string())
 
 
 def dns_packet(p: Column):
@@ -166,7 +175,7 @@ NAMED = {"utp": "bittorrent", "udp_tracker": "bittorrent"}
 
 
 def told(p: Column, packet: bool = False) -> Column:
-    """protocol, domain, client and need_more of a payload."""
+    """protocol, domain, client and need_more of a payload, and the hello of which the domain is still to be read (named)."""
     sure = lambda c: F.coalesce(c, F.lit(False))
 
     def made(records: Column | None) -> Column:
@@ -176,16 +185,19 @@ def told(p: Column, packet: bool = False) -> Column:
             name = NAMED.get(name, name)
             protocol = F.when(sure(ok), name) if protocol is None else protocol.when(sure(ok), name)
             more = more | sure(short)
-        # A hello's name is read as of one record; packets have neither.
-        named = lambda x: F.lit(None).cast("string") if records is None else F.when(x == "http", http_host(p)).when(x == "tls", let(F.concat(F.lit(bytes(5)), records["body"]), tls_name))
+        # Packets have neither.
+        domain = lambda x: F.lit(None).cast("string") if records is None else F.when(x == "http", F.lower(http_host(p)))
+        hello = lambda x: F.lit(None).cast("binary") if records is None else F.when(x == "tls", records["body"])
         return let(protocol, lambda x: F.struct(
-            x.alias("protocol"), F.lower(named(x)).alias("domain"),
-            F.when(x == "ssh", ssh_client(p)).alias("client"), (x.isNull() & more).alias("need_more")))
+            x.alias("protocol"), domain(x).alias("domain"),
+            F.when(x == "ssh", ssh_client(p)).alias("client"), (x.isNull() & more).alias("need_more"), hello(x).alias("hello")))
 
     return made(None) if packet else let(handshake(p), made)
 
 
-TOLD = ("protocol", "domain", "client", "need_more")
+def named(told: str) -> list[Column]:
+    """protocol, domain and client of a column that told() made; names are read once a stream, however many pieces it was told from."""
+    return [F.col(f"{told}.protocol"), F.coalesce(f"{told}.domain", F.lower(tls_name(F.col(f"{told}.hello")))).alias("domain"), F.col(f"{told}.client")]
 
 
 def classify(df: DataFrame, payload: str = "payload", packet: bool = False, port: str | None = None) -> DataFrame:
@@ -194,7 +206,7 @@ def classify(df: DataFrame, payload: str = "payload", packet: bool = False, port
     if port and not packet:
         what = F.when(~F.coalesce(F.col(port).isin(*SERVER_FIRST), F.lit(False)), what)
     out = df.withColumn("_told", what)
-    return out.select(*df.columns, *[F.col(f"_told.{c}") for c in TOLD[:3]], F.coalesce("_told.need_more", F.lit(False)).alias("need_more"))
+    return out.select(*df.columns, *named("_told"), F.coalesce("_told.need_more", F.lit(False)).alias("need_more"))
 
 
 #: Bytes of a connection after which no more is waited for.
@@ -212,13 +224,13 @@ def classify_pieces(pieces: DataFrame, key: str, order: str, payload: str = "pay
     before = F.coalesce(F.sum(F.octet_length(payload)).over(Window.partitionBy(key).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     first = F.first(port, ignorenulls=True) if port else F.lit(None).cast("int")
     joined = some.withColumn("_at", before).where(F.col("_at") < limit).groupBy(key).agg(F.array_sort(F.collect_list(F.struct(order, F.col(payload).alias("data")))).alias("_pieces"), first.alias("_port"))
-    start = F.struct(F.lit(b"").alias("data"), F.lit(0).alias("n_pieces"), F.struct(F.lit(None).cast("string").alias("protocol"), F.lit(None).cast("string").alias("domain"), F.lit(None).cast("string").alias("client"), F.lit(True).alias("need_more")).alias("told"))
+    start = F.struct(F.lit(b"").alias("data"), F.lit(0).alias("n_pieces"), F.struct(F.lit(None).cast("string").alias("protocol"), F.lit(None).cast("string").alias("domain"), F.lit(None).cast("string").alias("client"), F.lit(True).alias("need_more"), F.lit(None).cast("binary").alias("hello")).alias("told"))
 
     def step(a: Column, x: Column) -> Column:
         return F.when(~a["told"]["need_more"], a).otherwise(let(F.concat(a["data"], x["data"]), lambda p: F.struct(p.alias("data"), (a["n_pieces"] + 1).alias("n_pieces"), told(p).alias("told"))))
 
     made = joined.withColumn("_made", F.when(~F.coalesce(F.col("_port").isin(*SERVER_FIRST), F.lit(False)), F.aggregate("_pieces", start, step)))
-    return made.select(key, *[F.col(f"_made.told.{c}").alias(c) for c in TOLD[:3]], F.coalesce("_made.told.need_more", F.lit(False)).alias("need_more"), F.coalesce("_made.n_pieces", F.lit(0)).alias("n_pieces"))
+    return made.select(key, *named("_made.told"), F.coalesce("_made.told.need_more", F.lit(False)).alias("need_more"), F.coalesce("_made.n_pieces", F.lit(0)).alias("n_pieces"))
 
 
 def ja3(hello: DataFrame, standard: bool = True) -> DataFrame:

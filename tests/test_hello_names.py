@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from flowtrail.operators import sniff
+from flowtrail.session import prepare
 
 
 def hello(name: bytes, before: int, end: bytes = b"") -> bytes:
@@ -40,3 +41,8 @@ def test_many_extensions(spark):
     began = time.perf_counter()
     assert {tuple(r) for r in sniff.classify(df).select("protocol", "domain").distinct().collect()} == {("tls", "sni.test")}
     assert time.perf_counter() - began < 40
+
+
+def test_long_code_is_compiled(spark):
+    """The JVM leaves methods above this size to its interpreter."""
+    assert int(prepare(spark).conf.get("spark.sql.codegen.hugeMethodLimit")) <= 8000

@@ -52,13 +52,14 @@ PAIRS_A_ROW, ROUNDS = 4, 6
 FINER = 32
 
 
-def linked(index: DataFrame, bucket: list[str], member: str, order: list[str], fits: Fits, links: Callable[[DataFrame], DataFrame] | None = None, direct: int = 1, finer: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+def linked(index: DataFrame, bucket: list[str], member: str, order: list[str], fits: Fits, links: Callable[[DataFrame], DataFrame] | None = None, direct: int = 1, finer: Callable[[DataFrame], DataFrame] | None = None, known: DataFrame | None = None) -> DataFrame:
     """(node, root) of every member that links with another: root is the smallest member it reaches.
 
     index: a row for each bucket that a member is in, with the columns that `order` and `fits` name. order:
     what makes a member its bucket's pivot, smallest first. fits: whether two rows of a bucket, read through
     two getters, are worth comparing. links: of pairs (a, b), a < b, those that link; None if all that fit do.
     direct: members of a bucket up to which it needs no pivots, its few pairs being compared at once.
+    known: (node, root) of members that are known to be connected; they need no comparison with each other, and the result has them too.
     finer: adds a column `finer` to rows of the index, and rows with it; any two members that link share a value in a bucket in which they fit.
     """
     of = lambda side: lambda c: F.col(f"{side}.{c}")
@@ -67,22 +68,28 @@ def linked(index: DataFrame, bucket: list[str], member: str, order: list[str], f
     compare = links or (lambda pairs: pairs)
 
     sizes = index.groupBy(*bucket).agg(F.count("*").alias("n")).where(F.col("n") > direct).drop("n")
-    made = roots = None
+    made, roots = None, known
     if direct > 1:  # chance brings most of these together, so hardly a pair of them fits
         sizes = few(table(sizes, "link-large"))
         small = index.join(sizes, bucket, "left_anti")
         pairs = small.alias("x").join(small.alias("y"), together & (F.col(f"x.{member}") < F.col(f"y.{member}")))
         made = table(pairs.select(F.col(f"x.{member}").alias("a"), F.col(f"y.{member}").alias("b")).distinct(), "link-pairs")
-        roots = table(components(compare(made)), "link-roots")
-    rest = table(index.join(sizes, bucket), "link-index")
-    columns, rows = [c for c in rest.columns if c not in bucket], rest.count()
+        new = compare(made)
+        roots = table(components(new if known is None else new.unionByName(_edges(known))), "link-roots")
+    rest = index.join(sizes, bucket)
+    if known is not None:
+        rest = rest.join(known.withColumnRenamed("node", member), member, "left").withColumn("root", F.coalesce("root", member))
+    rest = table(rest, "link-index")
+    columns, rows = [c for c in rest.columns if c not in (*bucket, "root")], rest.count()
     if roots is not None and not rows:
         return roots
     for k in range(ROUNDS):
-        first = F.struct(*order, *[c for c in columns if c not in order]) if k == 0 else F.struct(F.xxhash64(member, F.lit(k)), *columns)
+        root = [c for c in ("root",) if c in rest.columns]
+        first = F.struct(*order, *[c for c in columns if c not in order], *root) if k == 0 else F.struct(F.xxhash64(member, F.lit(k)), *columns, *root)
         names = [f.name for f in rest.select(first.alias("p")).schema["p"].dataType.fields]
-        pivots = rest.groupBy(*bucket).agg(F.min(first).alias("p")).select(*bucket, *[F.col(f"p.{n}").alias(n) for n in names if n in columns])
-        pairs = rest.alias("x").join(pivots.alias("y"), together & (F.col(f"x.{member}") != F.col(f"y.{member}"))).select(*ordered(f"x.{member}", f"y.{member}")).distinct()
+        apart = F.col("x.root") != F.col("y.root") if root else F.col(f"x.{member}") != F.col(f"y.{member}")
+        pivots = rest.groupBy(*bucket).agg(F.min(first).alias("p")).select(*bucket, *[F.col(f"p.{n}").alias(n) for n in names if n in columns or n in root])
+        pairs = rest.alias("x").join(pivots.alias("y"), together & apart).select(*ordered(f"x.{member}", f"y.{member}")).distinct()
         pairs = table(pairs.join(made, ["a", "b"], "left_anti") if made is not None else pairs, "link-pairs")
         made = pairs if made is None else made.unionByName(pairs)
         new = compare(pairs)

@@ -1,6 +1,7 @@
-"""Near-duplicates by word shingles: texts link at a Jaccard similarity of 0.8 or more of their sets of five words.
+"""Near-duplicates by SimHash and word shingles: texts link at a Jaccard similarity of 0.8 or more of their sets of five words.
 
-No link is lost, whatever the order of shingles: of two sets with a similarity of 4/5 or more, each
+Pairs whose SimHashes differ in three bits or fewer are found first, by pigeonring (simhash.py), and compared exactly. What
+links without that is found by shingles. No link is lost, whatever the order of shingles: of two sets with a similarity of 4/5 or more, each
 keeps at least 4/5 of its shingles in the other, so the first n - ceil(4n/5) + 1 of each, in one
 order for all, share a shingle (prefix filter), and with one shingle more they share two. The sizes and the places of the first shared shingle
 prune pairs that can't reach the similarity; so do bitmaps of 1,024 bits, one for each set, in which every
@@ -13,7 +14,7 @@ dense group link to it, and not each to each (linking.py).
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -21,6 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import simhash
 from .common import few, forget, fresh, quoted, table, without
 from .linking import linked
 from .simhash import SEED, _word
@@ -28,7 +30,7 @@ from .simhash import SEED, _word
 SHINGLE = 5
 #: One text in SAMPLE is counted; shingles in OFTEN or more of those go last, at most HOT of them (16 MB).
 SAMPLE, OFTEN, HOT = 20, 4, 1_000_000
-KEY, SIZE, PREFIX, BITS = "key", "size", "prefix", "bits"
+KEY, SIZE, PREFIX, BITS, PRINT = "key", "size", "prefix", "bits", "fp"
 N_BITS = 10  # of a shingle, that say which bit it flips
 HELD = 4_000_000  # shingles (32 MB) that a worker holds while it compares
 
@@ -74,23 +76,24 @@ def _often(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _keyed(hot: np.ndarray, counts: np.ndarray):
-    """The set's key, size and bitmap, and the shingles of its prefix in order, for each row of row, id and text."""
+    """The set's key, size and bitmap, the shingles of its prefix in order, and the text's SimHash, for each row of row, id and text."""
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys, sizes, prefixes, bits = [], [], [], []
+            keys, sizes, prefixes, bits, prints = [], [], [], [], []
             for t in batch["text"].to_pylist():
                 s = shingles(t)
                 n = len(s)
                 keys.append(xxhash.xxh64_intdigest(s.tobytes(), SEED))
                 sizes.append(n)
                 bits.append(bitmap(s))
+                prints.append(simhash.fingerprint(t))
                 if len(hot) and n:
                     at = np.minimum(np.searchsorted(hot, s), len(hot) - 1)
                     s = s[np.lexsort((s, np.where(hot[at] == s, counts[at], 0)))]
                 prefixes.append(s[: n - (4 * n + 4) // 5 + 2].view(np.int64))  # the prefix and one more
-            new = [pa.array(np.array(keys, np.uint64).view(np.int64)), pa.array(sizes, pa.int32()), pa.array(prefixes, pa.list_(pa.int64())), pa.array(bits, pa.list_(pa.int64()))]
-            yield pa.record_batch([batch["row"], batch["id"], *new], names=["row", "id", KEY, SIZE, PREFIX, BITS])
+            new = [pa.array(np.array(keys, np.uint64).view(np.int64)), pa.array(sizes, pa.int32()), pa.array(prefixes, pa.list_(pa.int64())), pa.array(bits, pa.list_(pa.int64())), pa.array(prints, pa.int64())]
+            yield pa.record_batch([batch["row"], batch["id"], *new], names=["row", "id", KEY, SIZE, PREFIX, BITS, PRINT])
 
     return add
 
@@ -130,7 +133,10 @@ def _alike(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def connected(sets: DataFrame, texts: DataFrame) -> DataFrame:
-    """(node, root) of the keys of sets that are similar to others. sets: row, key, size, prefix, bits, a row for each set; texts: row, text."""
+    """(node, root) of the keys of sets that are similar to others. sets: row, key, size, prefix, bits, fp, a row for each set; texts: row, text.
+
+    Sets whose SimHashes are near link first, each link compared exactly; shingles then add what three bits of a fingerprint leave out.
+    """
 
     def links(pairs: DataFrame) -> DataFrame:
         pairs = table(_alike(pairs, sets), "near-alike")
@@ -147,7 +153,15 @@ def connected(sets: DataFrame, texts: DataFrame) -> DataFrame:
         return rows.join(sets.select(KEY, PREFIX), KEY).select(*rows.columns, after.alias("finer"))
 
     index = sets.select(KEY, SIZE, F.posexplode(PREFIX).alias("i", "s")).where((F.col(SIZE) > 0) & (F.col("i") <= F.col(SIZE) - F.ceil(4 * F.col(SIZE) / 5)))
-    return linked(index, ["s"], KEY, ["i", KEY], _fits, links, finer=finer)
+    return linked(index, ["s"], KEY, ["i", KEY], _fits, links, finer=finer, known=by_fingerprint(sets, links))
+
+
+def by_fingerprint(sets: DataFrame, links: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """(node, root) of the keys of sets that links() finds similar among those whose SimHashes differ in simhash.LIMIT bits or fewer."""
+    some = sets.where(F.col(SIZE) > 0).select(KEY, SIZE, F.col(PRINT).alias("fp"))
+    near = lambda x, y: simhash.near(x, y) & (5 * F.least(x(SIZE), y(SIZE)) >= 4 * F.greatest(x(SIZE), y(SIZE)))
+    wide = some.count() > simhash.WIDE_FROM
+    return linked(simhash.index(some, wide), ["start", "bucket"], KEY, [KEY], near, links, direct=simhash.DIRECT, finer=None if wide else simhash._finer)
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -162,7 +176,7 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     number, kind = fresh("row"), docs.schema[id_col].dataType.simpleString()
     rows = table(docs.withColumn(number, F.monotonically_increasing_id()), "near-rows")
     texts = rows.select(F.col(number).alias("row"), F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    made = table(texts.mapInArrow(_keyed(*_often(texts)), f"row long, id {kind}, {KEY} long, {SIZE} int, {PREFIX} array<long>, {BITS} array<long>"), "near-sets")
+    made = table(texts.mapInArrow(_keyed(*_often(texts)), f"row long, id {kind}, {KEY} long, {SIZE} int, {PREFIX} array<long>, {BITS} array<long>, {PRINT} long"), "near-sets")
     rank = F.struct(F.col("id").isNull().alias("none"), "id", "row")
     classes = table(made.groupBy(KEY).agg(F.min(rank).alias("rank")), "near-classes")
     # Of rows with equal sets all but the first go; the first stands for the set.

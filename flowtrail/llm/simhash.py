@@ -137,6 +137,17 @@ def _stored(classes: DataFrame, flips: Callable[[int, int], list[int]], wide: bo
     return classes.select("fp", F.explode(F.flatten(F.array(*keys))).alias("k")).select("fp", "k.*")
 
 
+def index(classes: DataFrame, wide: bool = False) -> DataFrame:
+    """classes (fp, and other columns) with a row for each start and key, as `bucket`, under which near fingerprints meet."""
+    keys = _stored(classes.select("fp").distinct(), _asked if wide else _exact, wide).withColumnRenamed("key", "bucket")
+    return classes.join(keys, "fp")
+
+
+def near(x: Callable[[str], Column], y: Callable[[str], Column]) -> Column:
+    """Whether two rows of index() that share a bucket differ in at most LIMIT bits, and by the chains from their start."""
+    return _near(x("fp"), y("fp"), x("start"))
+
+
 def connected(classes: DataFrame, wide: bool = False) -> DataFrame:
     """(node, root) for the fingerprints that link with others, without all pairs of a dense group.
 

@@ -7,7 +7,7 @@ from collections import Counter
 import pytest
 
 import corpus_pipeline
-from flowtrail.llm import near
+from flowtrail.llm import near, simhash
 from tests.llm.test_documents import WORD, lower
 
 STAGE = dict(corpus_pipeline.STAGES)["simhash_near_dedup"]
@@ -63,3 +63,21 @@ def test_stage_keeps_one_of_each_group(spark, rows, monkeypatch, often):
 
 def test_stage_on_documents(spark):
     check(spark, [(r.doc_id, r.text, at) for at, r in enumerate(spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect())])
+
+
+def test_simhash_comes_first(spark, monkeypatch):
+    """Texts with near fingerprints are linked by them, after an exact comparison, before shingles are looked at."""
+    words = [f"w{k}" for k in range(400)]
+    texts = [" ".join(words), " ".join([*words, "more"]), " ".join(f"v{k}" for k in range(400))]
+    assert bin((simhash.fingerprint(texts[0]) ^ simhash.fingerprint(texts[1])) & (2**64 - 1)).count("1") <= 3
+    found, by = [], near.by_fingerprint
+
+    def seen(sets, links):
+        roots = by(sets, links)
+        found.append(roots.select("node").distinct().count())
+        return roots
+
+    monkeypatch.setattr(near, "by_fingerprint", seen)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert sorted(r.doc_id for r in near.one_of_each(docs).collect()) == [0, 2]
+    assert found == [2]

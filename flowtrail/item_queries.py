@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -472,25 +473,31 @@ def hello_fingerprints(spark, sf_dir):
 # Streams
 
 
-def _in_files(df: DataFrame, name: str, order: str, n: int = 4) -> DataFrame:
-    """df as a stream of n files, written one after the other in an order."""
+def _parts(df: DataFrame, order: str, n: int = 4) -> list[DataFrame]:
+    """df in n ranges of an order, one after the other."""
+    bounds, at = df.approxQuantile(order, [k / n for k in range(1, n)], 0.001), F.col(order)
+    return [df.where((F.lit(True) if low is None else at > low) & (F.lit(True) if high is None else at <= high)) for low, high in zip([None, *bounds], [*bounds, None])]
+
+
+def _arriving(df: DataFrame, name: str, order: str) -> Iterator[DataFrame]:
+    """df as a stream that gets its parts one after the other; a query that is run to the end after each has a batch for each.
+
+    A part is as many files as its scan has tasks, so none goes through one task.
+    """
     spark, folder = df.sparkSession, shared(df.sparkSession, name)
-    bounds = df.approxQuantile(order, [k / n for k in range(1, n)], 0.001)
-    low = None
-    for high in [*bounds, None]:
-        part = df if low is None else df.where(F.col(order) > low)
-        (part if high is None else part.where(F.col(order) <= high)).coalesce(1).write.mode("append").parquet(folder)
-        low = high
-    return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(folder)
+    for part in _parts(df, order):
+        part.write.mode("append").parquet(folder)
+        yield spark.readStream.schema(df.schema).parquet(folder)
 
 
 @query(SQL["connection_deltas"])
 def connection_deltas_stream(spark, sf_dir):
     """connection_deltas from samples that come in four batches, with one small state a connection."""
     s = flows(spark, sf_dir).select(F.col("auth_user").alias("id"), F.col("event_id").alias("ts"), F.expr("upload % 300 div 100 * 50").alias("upload"), F.expr("download % 200 div 100 * 70").alias("download"))
-    out = shared(spark, "deltas")
+    out, checkpoint = shared(spark, "deltas"), shared(spark, "deltas-state")
     with subscribe.settings(spark):
-        store.to_batches(subscribe.deltas(_in_files(s, "samples", "ts")), out, shared(spark, "deltas-state")).awaitTermination()
+        for stream in _arriving(s, "samples", "ts"):
+            store.to_batches(subscribe.deltas(stream), out, checkpoint).awaitTermination()
     return spark.read.schema("id string, ts long, up_delta long, down_delta long").parquet(out).drop("batch")
 
 
@@ -503,10 +510,10 @@ def subscription(spark, sf_dir):
     )
     half, quarter = ev.approxQuantile("seq", [0.5, 0.25], 0.001)
     snapshot = accounting.apply_changes(ev.where(F.col("seq") <= half)).withColumn("seq", F.lit(half).cast("long"))
-    out = shared(spark, "subscription")
+    out, checkpoint = shared(spark, "subscription"), shared(spark, "subscription-state")
     with subscribe.settings(spark):
-        changes = _in_files(ev.where(F.col("seq") > quarter), "changes", "seq")
-        subscribe.subscribe(changes, snapshot, out, shared(spark, "subscription-state")).awaitTermination()
+        for changes in _arriving(ev.where(F.col("seq") > quarter), "changes", "seq"):
+            subscribe.subscribe(changes, snapshot, out, checkpoint).awaitTermination()
     return subscribe.subscribed(spark, out).drop("seq")
 
 
@@ -537,8 +544,11 @@ def rules_reloaded(spark, sf_dir):
 @query(f"WITH {FLOWS} SELECT event_id, upload FROM flows")
 def timeline_replayed(spark, sf_dir):
     """Samples are written by a stream whose progress is lost between two runs: what it writes again replaces what was there."""
-    s, out = flows(spark, sf_dir).select("event_id", "upload"), shared(spark, "timeline")
-    stream = _in_files(s, "timeline-samples", "event_id")
+    s, out, folder = flows(spark, sf_dir).select("event_id", "upload"), shared(spark, "timeline"), shared(spark, "timeline-samples")
+    for part in _parts(s, "event_id"):
+        part.write.mode("append").parquet(folder)
+    files = len(spark.read.schema(s.schema).parquet(folder).inputFiles())
+    stream = spark.readStream.schema(s.schema).option("maxFilesPerTrigger", -(-files // 4)).parquet(folder)
     for run in range(2):
         store.to_batches(stream, out, shared(spark, f"timeline-state-{run}"), kind="json").awaitTermination()
     return spark.read.schema("event_id long, upload long").json(out).drop("batch")

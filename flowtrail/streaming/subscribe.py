@@ -1,7 +1,7 @@
 """Connections as a subscriber sees them: a snapshot first, then changes; and changes from samples of running totals.
 
-State is one small row a connection, kept by transformWithState; an earlier batch result may be its initial
-state. A micro-batch is one write, under its number, so a batch that is replayed after a failure replaces what
+State is one small row a connection, kept by transformWithState; an earlier batch result may be its initial state. What
+Spark hands to it costs far more by row than by value, so a connection's rows of a batch are packed into arrays first. A micro-batch is one write, under its number, so a batch that is replayed after a failure replaces what
 it wrote.
 """
 
@@ -9,9 +9,13 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from contextlib import contextmanager
+from datetime import datetime, timedelta, timezone
+from operator import itemgetter
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.query import StreamingQuery
@@ -19,6 +23,10 @@ from pyspark.sql.streaming.query import StreamingQuery
 PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 CONNECTION = "uplink_total long, downlink_total long, uplink long, downlink long, created_ms long, closed_ms long, seq long"
 COLUMNS = [c.split()[0] for c in CONNECTION.split(", ")]
+CHANGE, SAMPLE, DELTA = ["seq", "type", "ts_ms", "up_delta", "down_delta"], ["ts", "upload", "download"], ["ts", "up_delta", "down_delta"]
+_CONNECTION, _DELTAS = Row("id", *COLUMNS), Row("id", *DELTA)
+#: A task packs so many rows at a time, some 50 MB.
+PACK_ROWS = 1 << 19
 #: A connection's state goes so long after it closed.
 EVICT_MS = 5 * 60 * 1000
 
@@ -37,43 +45,74 @@ def settings(spark: SparkSession) -> Iterator[None]:
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
+def packed(rows: DataFrame, order: str, columns: list[str]) -> DataFrame:
+    """The rows of each batch by id: an array of each column, in the order of one of them. An id of more than PACK_ROWS may have several rows."""
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block, size = [], 0
+        for batch in batches:
+            block.append(batch)
+            size += batch.num_rows
+            if size >= PACK_ROWS:
+                yield arrays(block)
+                block, size = [], 0
+        if size:
+            yield arrays(block)
+
+    def arrays(block: list[pa.RecordBatch]) -> pa.RecordBatch:
+        t = pa.Table.from_batches(block).sort_by([("id", "ascending"), (order, "ascending")]).combine_chunks()
+        ids = t["id"].combine_chunks()
+        starts = np.flatnonzero(np.diff(ids.dictionary_encode(null_encoding="encode").indices.to_numpy(), prepend=-1))
+        bounds = pa.array(np.append(starts, len(ids)), pa.int32())
+        return pa.RecordBatch.from_arrays([ids.take(pa.array(starts)), *[pa.ListArray.from_arrays(bounds, t[c].combine_chunks()) for c in columns]], ["id", *columns])
+
+    kinds = {c: rows.schema[c].dataType.simpleString() for c in columns}
+    return rows.select("id", *columns).repartition("id").mapInArrow(pack, ", ".join(["id string", *[f"{c} array<{k}>" for c, k in kinds.items()]]))
+
+
+def _unpacked(rows: Iterator[Row], columns: list[str]) -> list[tuple]:
+    """The packed rows of one id, by the first column."""
+    return sorted((x for row in rows for x in zip(*(row[c] for c in columns))), key=itemgetter(0))
+
+
 class _Follow(StatefulProcessor):
     """The connection after each batch of its events. Events that the snapshot has seen already are passed over."""
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle, self.state = handle, handle.getValueState("connection", CONNECTION)
 
-    def handleInitialState(self, key, initialState: pd.DataFrame, timerValues) -> None:
-        row = initialState[COLUMNS].astype(object).where(initialState[COLUMNS].notna(), None).iloc[0]
-        self.state.update(tuple(None if x is None else int(x) for x in row))
+    def handleInitialState(self, key, initialState: Row, timerValues) -> None:
+        self.state.update(tuple(initialState[c] for c in COLUMNS))
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        known = self.state.exists()
-        up, down, rate_up, rate_down, created, closed, seq = self.state.get() if known else (0, 0, 0, 0, None, None, None)
-        changed = False
-        for at, kind, ts, u, d in pd.concat(list(rows)).sort_values("seq")[["seq", "type", "ts_ms", "up_delta", "down_delta"]].itertuples(index=False):
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        before = self.state.get()
+        known = before is not None
+        up, down, rate_up, rate_down, created, closed, seq = before or (0, 0, 0, 0, None, None, None)
+        timed, changed = closed is not None, False
+        for at, kind, ts, u, d in _unpacked(rows, CHANGE):
             if seq is not None and at <= seq:
                 continue
             if kind == "NEW":
-                up, down, rate_up, rate_down, created, closed, known = int(u), int(d), 0, 0, int(ts), None, True
+                up, down, rate_up, rate_down, created, closed, known = u, d, 0, 0, ts, None, True
             elif known and kind == "UPDATE":
-                up, down, rate_up, rate_down = up + int(u), down + int(d), int(u), int(d)
+                up, down, rate_up, rate_down = up + u, down + d, u, d
             elif known and kind == "CLOSED":
-                rate_up, rate_down, closed = 0, 0, int(ts)
+                rate_up, rate_down, closed = 0, 0, ts
             else:
                 continue
-            seq, changed = int(at), True
+            seq, changed = at, True
         if not changed:
             return
         now = (up, down, rate_up, rate_down, created, closed, seq)
         self.state.update(now)
-        for timer in list(self.handle.listTimers()):
-            self.handle.deleteTimer(timer)
+        if timed:  # only a closed connection has a timer
+            for timer in list(self.handle.listTimers()):
+                self.handle.deleteTimer(timer)
         if closed is not None:
             self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + EVICT_MS)
-        yield pd.DataFrame({"id": [key[0]], **{c: pd.array([x], "Int64") for c, x in zip(COLUMNS, now)}})
+        yield _CONNECTION(key[0], *now)
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
         self.state.clear()
         return iter(())
 
@@ -88,7 +127,7 @@ def follow(changes: DataFrame, snapshot: DataFrame | None = None) -> DataFrame:
     the changes. Updates of connections that neither has told of are ignored.
     """
     first = snapshot.select("id", *COLUMNS).groupBy("id") if snapshot is not None else None
-    return changes.groupBy("id").transformWithStateInPandas(_Follow(), f"id string, {CONNECTION}", "Update", "ProcessingTime", first)
+    return packed(changes, "seq", CHANGE).groupBy("id").transformWithState(_Follow(), f"id string, {CONNECTION}", "Update", "ProcessingTime", first)
 
 
 def subscribe(changes: DataFrame, snapshot: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
@@ -112,6 +151,14 @@ def subscribed(spark: SparkSession, path: str) -> DataFrame:
     return rows.groupBy("id").agg(F.max_by(F.struct(*COLUMNS), F.struct("seq", "batch")).alias("s")).select("id", "s.*")
 
 
+EPOCH = datetime(1970, 1, 1, tzinfo=timezone.utc)
+
+
+def _millis(at: datetime) -> int:
+    """Milliseconds since 1970; a time without a zone is in UTC."""
+    return ((at if at.tzinfo else at.replace(tzinfo=timezone.utc)) - EPOCH) // timedelta(milliseconds=1)
+
+
 class _Deltas(StatefulProcessor):
     """Updates from samples; a connection that falls silent gives one zero, by its next sample or by its timer."""
 
@@ -121,29 +168,30 @@ class _Deltas(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle, self.state = handle, handle.getValueState("sample", "upload long, download long, had boolean")
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        up, down, had = self.state.get() if self.state.exists() else (0, 0, False)
-        made, last = [], None
-        for ts, u, d in pd.concat(list(rows)).sort_values("ts")[["ts", "upload", "download"]].itertuples(index=False):
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        up, down, had = self.state.get() or (0, 0, False)
+        made, timed, last = [], had, None
+        for ts, u, d in _unpacked(rows, SAMPLE):
             more = u - up, d - down
             moved = min(more) >= 0 and max(more) > 0
             if moved or had:
-                made.append((key[0], ts, *(more if moved else (0, 0))))
-            up, down, had, last = int(u), int(d), bool(moved), ts
+                made.append((ts, *(more if moved else (0, 0))))
+            up, down, had, last = u, d, moved, ts
         self.state.update((up, down, had))
         if self.quiet_ms is not None:
-            for timer in list(self.handle.listTimers()):
-                self.handle.deleteTimer(timer)
+            if timed:  # only after traffic there is a timer
+                for timer in list(self.handle.listTimers()):
+                    self.handle.deleteTimer(timer)
             if had:
-                self.handle.registerTimer(int(pd.Timestamp(last).timestamp() * 1000) + self.quiet_ms)
+                self.handle.registerTimer(_millis(last) + self.quiet_ms)
         if made:
-            yield pd.DataFrame(made, columns=["id", "ts", "up_delta", "down_delta"])
+            yield _DELTAS(key[0], *map(list, zip(*made)))
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
         up, down, had = self.state.get()
         if had:
             self.state.update((up, down, False))
-            yield pd.DataFrame({"id": [key[0]], "ts": [pd.Timestamp(expiredTimerInfo.getExpiryTimeInMs(), unit="ms")], "up_delta": [0], "down_delta": [0]})
+            yield _DELTAS(key[0], [EPOCH + timedelta(milliseconds=expiredTimerInfo.getExpiryTimeInMs())], [0], [0])
 
     def close(self) -> None:
         pass
@@ -156,8 +204,12 @@ def deltas(samples: DataFrame, quiet: str | None = None) -> DataFrame:
     rows count up to that long after the latest one. Without it only samples give zeros, and ts may be of any type.
     """
     kind = samples.schema["ts"].dataType.simpleString()
-    out = f"id string, ts {kind}, up_delta long, down_delta long"
+    out = f"id string, ts array<{kind}>, up_delta array<long>, down_delta array<long>"
     if quiet is None:
-        return samples.groupBy("id").transformWithStateInPandas(_Deltas(None), out, "Append", "None")
-    ms = int(pd.Timedelta(quiet).total_seconds() * 1000)
-    return samples.withWatermark("ts", quiet).groupBy("id").transformWithStateInPandas(_Deltas(ms), out, "Append", "EventTime")
+        made = packed(samples, "ts", SAMPLE).groupBy("id").transformWithState(_Deltas(None), out, "Append", "None")
+    else:
+        ms = int(pd.Timedelta(quiet).total_seconds() * 1000)
+        # the watermark is told by row, so rows stay apart
+        single = samples.withWatermark("ts", quiet).select("id", *[F.array(c).alias(c) for c in SAMPLE], F.col("ts").alias("_at"))
+        made = single.groupBy("id").transformWithState(_Deltas(ms), out, "Append", "EventTime")
+    return made.select("id", F.inline(F.arrays_zip(*DELTA)))

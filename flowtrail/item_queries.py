@@ -509,7 +509,7 @@ def subscription(spark, sf_dir):
         F.unix_millis(F.col("created_at").cast("timestamp")).alias("ts_ms"), F.col("upload").alias("up_delta"), F.col("download").alias("down_delta"),
     )
     half, quarter = ev.approxQuantile("seq", [0.5, 0.25], 0.001)
-    snapshot = accounting.apply_changes(ev.where(F.col("seq") <= half)).withColumn("seq", F.lit(half).cast("long"))
+    snapshot = written(accounting.apply_changes(ev.where(F.col("seq") <= half)).withColumn("seq", F.lit(half).cast("long")), "snapshot")
     out, checkpoint = shared(spark, "subscription"), shared(spark, "subscription-state")
     with subscribe.settings(spark):
         for changes in _arriving(ev.where(F.col("seq") > quarter), "changes", "seq"):

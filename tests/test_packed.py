@@ -4,7 +4,7 @@ import random
 
 import pytest
 
-from flowtrail import item_queries
+from flowtrail import item_queries, queries
 from flowtrail.operators import accounting
 from flowtrail.sources import store
 from flowtrail.streaming import subscribe
@@ -40,3 +40,19 @@ def test_parts_arrive_in_order_from_several_tasks(spark, tmp_path, monkeypatch):
     assert sorted(map(tuple, (r[:4] for r in got))) == sorted(map(tuple, accounting.change_events(df).collect()))
     assert {r.batch for r in got} == {0, 1, 2, 3}
     assert len(list((tmp_path / "test-parts").glob("*.parquet"))) == 4 * 5  # one file a part before
+
+
+def test_a_snapshot_is_written_before_a_stream_starts_from_it(spark, monkeypatch):
+    """It is read for the state of the first batch and for what that batch tells, and was computed for each before."""
+    plans, start = [], subscribe.subscribe
+
+    def seen(changes, snapshot, *folders):
+        plans.append(snapshot._jdf.queryExecution().optimizedPlan().toString())
+        return start(changes, snapshot, *folders)
+
+    monkeypatch.setattr(subscribe, "subscribe", seen)
+    sf_dir = "/root/testdata/sf0.001"
+    got = item_queries.subscription(spark, sf_dir)
+    want = queries.QUERIES["changelog_fold"](spark, sf_dir).select(*got.columns)
+    assert sorted(map(tuple, got.collect()), key=str) == sorted(map(tuple, want.collect()), key=str)
+    assert len(plans) == 4 and not any("Aggregate" in p or "Join" in p for p in plans)

@@ -31,9 +31,9 @@ NONE = np.iinfo(np.int32).max
 #: Places of one rank from which they are merged at once, not one by one.
 MANY = 12
 #: Characters of text after which a block ends.
-BLOCK_CHARS = 1 << 21
+BLOCK_CHARS = 1 << 19
 #: Bytes of words and their ids that a worker remembers, besides those of the block at hand; and what an entry takes besides letters and ids.
-REMEMBERED, ENTRY = 1 << 27, 180
+REMEMBERED, ENTRY = 1 << 26, 180
 
 
 class Vocabulary:

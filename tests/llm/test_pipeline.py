@@ -1,11 +1,14 @@
 """The pipeline and the registered queries."""
 
 import hashlib
+import random
 import re
+import tracemalloc
 from collections import Counter
 
 import duckdb
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import tiktoken
 from pyspark.sql import functions as F
@@ -30,6 +33,31 @@ def test_stages_compose(spark, clashing):
     assert 0 < seen[2] <= seen[1] <= seen[0] < clashing.count() and seen[4] == seen[3]
 
 
+def test_workers_get_few_rows_of_long_texts_at_once(spark):
+    """Also where a stage is run by itself, in a session that nothing prepared."""
+    setting = "spark.sql.execution.arrow.maxBytesPerBatch"
+    docs = spark.range(5_000, numPartitions=1).select(F.col("id").alias("doc_id"), F.repeat(F.lit("word "), 1_000).alias("text"))
+    spark.conf.unset(setting)
+    made = dict(corpus_pipeline.STAGES)["byte_bpe"](spark, docs, None)
+    sizes = docs.mapInArrow(lambda batches: (pa.record_batch({"n": pa.array([b.nbytes])}) for b in batches), "n long")
+    assert sizes.agg(F.max("n")).first()[0] < 5_000_000
+    assert made.agg(F.sum("n_tokens")).first()[0] == 5_000 * made.first().n_tokens
+
+
+def test_a_block_takes_little_memory(monkeypatch):
+    """Words that a worker need not remember go with their block."""
+    rng = random.Random(3)
+    texts = ["".join(rng.choices("abcdefghijklmnopqrst      ", k=2_000)) for _ in range(1_200)]
+    v = bpe.Vocabulary(open(public_tokenizers.path(bpe.RANKS), "rb").read(), public_tokenizers.PATTERN)
+    monkeypatch.setattr(bpe, "REMEMBERED", 0)
+    batch = pa.record_batch({"doc_id": pa.array(range(len(texts))), "text": pa.array(texts)})
+    tracemalloc.start()
+    n = sum(len(ids) for _, block in bpe._blocks(batch) for ids in v.encode(block))
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert n > 1_000_000 and most < 80_000_000, (n, most)
+
+
 def test_empty_input(spark, none):
     docs = none
     for _, stage in corpus_pipeline.STAGES:

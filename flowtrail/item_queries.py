@@ -428,8 +428,9 @@ def sniff_pieces(spark, sf_dir):
     n = F.floor(F.length("p") / 2)
     most = F.when(i % 6 == 0, 8).otherwise(n)  # a banner is decided as soon as its first bytes are there
     cuts = whole.select("id", "p", F.array_sort(F.array(F.lit(0), (i % most).cast("int"), (i * 7 % most).cast("int"), n.cast("int"))).alias("at"))
-    parts = cuts.select("id", F.posexplode(F.transform(F.sequence(F.lit(1), F.lit(3)), lambda k: F.unhex(F.substring(F.col("p"), 2 * F.element_at("at", k) + 1, 2 * (F.element_at("at", k + 1) - F.element_at("at", k)))))).alias("seq", "payload"))
-    return sniff.classify_pieces(parts.repartition(8, "seq"), "id", "seq").select("id", "protocol", "domain", "client", "need_more")
+    piece = lambda k: F.struct((k - 1).alias("seq"), F.unhex(F.substring(F.col("p"), 2 * F.element_at("at", k) + 1, 2 * (F.element_at("at", k + 1) - F.element_at("at", k)))).alias("payload"))
+    parts = cuts.select("id", F.inline(F.transform(F.sequence(F.lit(3), F.lit(1)), piece)))  # the last one first
+    return sniff.classify_pieces(parts, "id", "seq").select("id", "protocol", "domain", "client", "need_more")
 
 
 def _sealed(df, number, frames):

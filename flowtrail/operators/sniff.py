@@ -19,7 +19,8 @@ SERVER_FIRST = (25, 465, 587, 143, 993, 110, 995)
 
 def _at(p: Column, i: int, n: int = 1) -> Column:
     """n bytes from offset i as an unsigned number; null beyond the end."""
-    return F.when(F.octet_length(p) >= i + n, F.conv(F.hex(F.substring(p, i + 1, n)), 16, 10).cast("decimal(20,0)"))
+    # A decimal takes several times as long as a long.
+    return F.when(F.octet_length(p) >= i + n, F.conv(F.hex(F.substring(p, i + 1, n)), 16, 10).cast("long" if n < 8 else "decimal(20,0)"))
 
 
 def _has(p: Column, text: str, at: int = 0) -> tuple[Column, Column]:

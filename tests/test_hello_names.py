@@ -5,6 +5,7 @@ import time
 import pytest
 from pyspark.sql import functions as F
 
+from flowtrail import item_queries
 from flowtrail.operators import sniff
 from flowtrail.session import prepare
 
@@ -46,3 +47,14 @@ def test_many_extensions(spark):
 def test_long_code_is_compiled(spark):
     """The JVM leaves methods above this size to its interpreter."""
     assert int(prepare(spark).conf.get("spark.sql.codegen.hugeMethodLimit")) <= 8000
+
+
+def test_pieces_are_dealt_by_stream(spark):
+    """Not by their places in the streams, of which there are three, whatever the number of streams; and numbers of a few bytes are longs."""
+    plan = item_queries.sniff_pieces(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    exchanges = [x for x in plan.split("\n") if "Exchange hashpartitioning" in x]
+    assert len(exchanges) == 1 and "hashpartitioning(id#" in exchanges[0]
+    data = spark.createDataFrame([(bytearray(b"\xff" * 9),), (bytearray(b"\x01"),)], "p binary")
+    got = data.select(*[sniff._at(F.col("p"), 1, n).alias(f"n{n}") for n in (1, 4, 7, 8)])
+    assert [t for _, t in got.dtypes] == ["bigint", "bigint", "bigint", "decimal(20,0)"]
+    assert [tuple(r) for r in got.collect()] == [(0xFF, (1 << 32) - 1, (1 << 56) - 1, (1 << 64) - 1), (None,) * 4]
